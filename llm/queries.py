@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, packing, suffix_dedup
+from llm import bpe, fingerprints, packing, suffix_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -22,6 +22,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
+    spelt = fingerprints.spelt
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), spelt(F.col("fingerprint")).alias("fingerprint"), spelt(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = bpe.encode_decode(read(spark, sf_dir, "documents"), TOKENIZER)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -33,7 +39,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op7_bpe": op7_bpe, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_packing": op1_packing, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
