@@ -42,7 +42,7 @@ _BEYOND_LATIN = re.compile("[^\0-\u024f]")
 BLOCK_WORDS, BLOCK_CHARS = 1 << 14, 1 << 21
 #: Bytes of ids and decoded text handed to the JVM at a time.
 OUT_BYTES = 1 << 23
-NONE = 1 << 62
+NONE, NO_RANK = 1 << 62, 1 << 30
 
 
 def byte_alphabet() -> list[str]:
@@ -62,8 +62,8 @@ class WordBPE:
         vocab: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
         letters = byte_alphabet()
-        self.inner = np.array([vocab[c] for c in letters], np.int64)
-        self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
+        self.inner = np.array([vocab[c] for c in letters], np.int32)
+        self.last = np.array([vocab[c + suffix] for c in letters], np.int32)
         #: (left id, right id) as one integer -> (rank, merged id) as one integer; ranks order the integers.
         self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -72,7 +72,8 @@ class WordBPE:
         keys = np.fromiter(self.merges.keys(), np.int64, len(self.merges))
         order = np.argsort(keys)
         self.pairs = np.append(keys[order], NONE)
-        self.pair_ranks = np.append(np.fromiter(self.merges.values(), np.int64, len(self.merges))[order], NONE)
+        self.pair_ranks = np.append(order, NO_RANK).astype(np.int32)  # merges are listed by rank
+        self.merged = (np.fromiter(self.merges.values(), np.int64, len(self.merges)) & 0xFFFFF).astype(np.int32)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern + "|\n")
         below = [chr(c) for c in range(LATIN_END)]
@@ -88,10 +89,10 @@ class WordBPE:
 
     # -- words ------------------------------------------------------------------------------
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Rank and merged id of each adjacent pair, NONE where the pair doesn't merge."""
-        key = left << 20 | right
+        """Rank of each adjacent pair, NO_RANK where the pair doesn't merge."""
+        key = left.astype(np.int64) << 20 | right
         at = np.searchsorted(self.pairs, key)
-        return np.where(self.pairs[at] == key, self.pair_ranks[at], NONE)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], NO_RANK)
 
     def _short(self, parts: np.ndarray, n: np.ndarray) -> None:
         """Merges a block of words in place: parts is words x longest, n the parts in use of each word.
@@ -101,7 +102,7 @@ class WordBPE:
         """
         width = parts.shape[1]
         column = np.arange(width)
-        ranks = np.full(parts.shape, NONE, np.int64)
+        ranks = np.full(parts.shape, NO_RANK, np.int32)
         used = column[None, 1:] < n[:, None]
         ranks[:, :-1][used] = self._ranks(parts[:, :-1][used], parts[:, 1:][used])
         live = np.arange(len(parts))
@@ -109,7 +110,7 @@ class WordBPE:
             block = ranks[live]
             at = block.argmin(axis=1)
             best = block[np.arange(len(live)), at]
-            going = best != NONE
+            going = best != NO_RANK
             live, at, best, block = live[going], at[going], best[going], block[going]
             if not len(live):
                 return
@@ -121,16 +122,16 @@ class WordBPE:
             source = column[None, :] + (column[None, :] >= at[:, None])
             source = np.minimum(source, width - 1)
             block = np.take_along_axis(block, source, 1)
-            block[:, -1] = NONE
+            block[:, -1] = NO_RANK
             here = np.arange(len(live))
-            merged = best & 0xFFFFF
+            merged = self.merged[best]
             moved[here, at] = merged
             n[live] -= 1
             left = at > 0
             block[here[left], at[left] - 1] = self._ranks(moved[here[left], at[left] - 1], merged[left])
             right = at + 1 < n[live]
             block[here[right], at[right]] = self._ranks(merged[right], moved[here[right], at[right] + 1])
-            block[here[~right], at[~right]] = NONE
+            block[here[~right], at[~right]] = NO_RANK
             parts[live], ranks[live] = moved, block
 
     def _long(self, parts: list[int]) -> list[int]:
@@ -155,25 +156,31 @@ class WordBPE:
 
     def _learn_words(self, words: list[str]) -> None:
         """Puts the ids of words of the splitting pattern into the word table, in blocks of like length."""
-        by_width: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words:
-            data = w.encode()
-            if len(data) > LONG_WORD:
-                at = np.frombuffer(data, np.uint8)
-                self.words[w] = np.array(self._long([*self.inner[at[:-1]].tolist(), int(self.last[at[-1]])]), "<u4").tobytes()
-            else:
-                by_width.setdefault((len(data) + 3) // 4 * 4, []).append((w, data))
-        for width, block in by_width.items():
-            for first in range(0, len(block), BLOCK_WORDS):
-                some = block[first : first + BLOCK_WORDS]
-                n = np.fromiter((len(d) for _, d in some), np.int64, len(some))
-                flat = np.frombuffer(b"".join(d.ljust(width, b"\0") for _, d in some), np.uint8).reshape(len(some), width)
-                parts = self.inner[flat]
-                parts[np.arange(len(some)), n - 1] = self.last[flat[np.arange(len(some)), n - 1]]
-                self._short(parts, n)
-                data = parts[np.arange(width)[None, :] < n[:, None]].astype("<u4").tobytes()
-                ends = (4 * np.cumsum(n)).tolist()
-                self.words.update(zip((w for w, _ in some), (data[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+        if not words:
+            return
+        flat = np.frombuffer("\n".join(words).encode() + b"\n", np.uint8)
+        ends = np.flatnonzero(flat == 10)
+        starts = np.append(0, ends[:-1] + 1)
+        n = ends - starts
+        by = np.argsort(n, kind="stable")
+        by_length = n[by]
+        at = 0
+        while at < len(by) and by_length[at] <= LONG_WORD:
+            width = int(by_length[at] + 3) // 4 * 4
+            stop = min(int(np.searchsorted(by_length, width, side="right")), at + BLOCK_WORDS)
+            some = by[at:stop]
+            used = n[some]
+            place = starts[some][:, None] + np.arange(width)[None, :]
+            parts = self.inner[flat[np.minimum(place, len(flat) - 1)]]
+            parts[np.arange(len(some)), used - 1] = self.last[flat[ends[some] - 1]]
+            self._short(parts, used)
+            data = parts[np.arange(width)[None, :] < used[:, None]].astype("<u4").tobytes()
+            cuts = (4 * np.cumsum(used)).tolist()
+            self.words.update(zip([words[i] for i in some.tolist()], [data[a:b] for a, b in zip([0, *cuts], cuts)]))
+            at = stop
+        for i in by[at:].tolist():
+            data = flat[starts[i] : ends[i]]
+            self.words[words[i]] = np.array(self._long([*self.inner[data[:-1]].tolist(), int(self.last[data[-1]])]), "<u4").tobytes()
 
     # -- texts ------------------------------------------------------------------------------
     def _normal(self, text: str) -> str:
@@ -181,23 +188,36 @@ class WordBPE:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() alone makes a final sigma
         return text.lower()
 
+    def _known(self, words: list[str]) -> dict[str, bytes]:
+        """The word table, with these words in it."""
+        distinct = dict.fromkeys(words)
+        new = list(distinct.keys() - self.words.keys())
+        if len(self.words) + len(new) > CACHE_WORDS:
+            self.words.clear()
+            new = list(distinct)
+        self._learn_words(new)
+        return self.words
+
     def _learn(self, chunks: list[str]) -> None:
         """Puts stretches of text without white space and added tokens into the chunk table."""
-        if len(self.chunks) + len(chunks) > CACHE_WORDS:
-            self.chunks.clear()
-        text = "\n".join(map(self._normal, chunks))
-        pieces = (self.pieces if _BEYOND_LATIN.search(text) else self.latin).findall(text)
+        text = "\n".join(chunks)
+        latin = not _BEYOND_LATIN.search(text)
+        if latin and "\u0130" not in text:  # letters only: a word as it is (but for a letter whose lower case has a mark)
+            words = [c for c in chunks if c.isalpha()]
+            if words:
+                lower = self._normal("\n".join(words)).split("\n")
+                self.chunks.update(zip(words, map(self._known(lower).__getitem__, lower)))
+            chunks = [c for c in chunks if not c.isalpha()]
+            text = "\n".join(chunks)
+        if not chunks:
+            return
+        pieces = (self.latin if latin else self.pieces).findall(self._normal(text))
+        known = self._known([w for w in pieces if w != "\n"])
         pieces.append("\n")
-        known = self.words
-        new = [w for w in dict.fromkeys(pieces) if w not in known and w != "\n"]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = [w for w in dict.fromkeys(pieces) if w != "\n"]
-        self._learn_words(new)
         at = 0
         for chunk in chunks:
             end = pieces.index("\n", at)
-            self.chunks[chunk] = known[pieces[at]] if end == at + 1 else b"".join(map(known.__getitem__, pieces[at:end]))
+            self.chunks[chunk] = b"".join(map(known.__getitem__, pieces[at:end]))
             at = end + 1
 
     def ids_bytes_of(self, texts: Iterable[str | None]) -> Iterator[bytes]:

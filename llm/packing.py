@@ -23,7 +23,6 @@ other columns of the input don't matter; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +35,6 @@ from llm.bpe import encoder
 
 #: Tokens after which a block is cut.
 BLOCK_TOKENS = 1 << 19
-FREE = 1 << 60
 
 
 def cut(places: np.ndarray, penalties: np.ndarray, length: int) -> list[int]:
@@ -56,26 +54,28 @@ def cut(places: np.ndarray, penalties: np.ndarray, length: int) -> list[int]:
             exact.setdefault(i, []).append(j)
         size *= 2
     f, back = [0] * (n + 1), [0] * (n + 1)
-    queue: deque[int] = deque([0])  # of j, f[j] + c[j] ascending
-    worth: deque[int] = deque([0])
+    queue: list[int] = [0] * (n + 1)  # of j, f[j] + c[j] ascending, from head to tail
+    worth: list[int] = [0] * (n + 1)
+    head = tail = 0
     for i in range(1, n + 1):
         here = c[i]
-        while c[queue[0]] < here - length:
-            queue.popleft()
-            worth.popleft()
-        best, j = worth[0] + length - here, queue[0]
+        low = here - length
+        while c[queue[head]] < low:
+            head += 1
+        j = queue[head]
+        best = worth[head] - low
         if i in exact:
             for e in exact[i]:
                 if f[e] < best:
                     best, j = f[e], e
-        best += pen[i]
-        f[i], back[i] = best, j
+        f[i] = best = best + pen[i]
+        back[i] = j
         best += here
-        while worth and worth[-1] >= best:
-            worth.pop()
-            queue.pop()
-        worth.append(best)
-        queue.append(i)
+        while tail >= head and worth[tail] >= best:
+            tail -= 1
+        tail += 1
+        worth[tail] = best
+        queue[tail] = i
     ends, i = [], n
     while i:
         ends.append(c[i])
@@ -87,17 +87,15 @@ def allowed(ids: np.ndarray, doc_ends: np.ndarray, sentence_ids: np.ndarray, len
     """Places where a cut is allowed in a run of tokens, and their penalties."""
     is_end = np.zeros(len(ids) + 1, bool)
     is_end[doc_ends] = True
-    sentences = np.flatnonzero(sentence_ids[ids]) + 1
-    sentences = sentences[~is_end[sentences] & ~is_end[np.minimum(sentences + 1, len(ids))]]
-    places = np.union1d(sentences, doc_ends)
+    after = np.zeros(len(ids) + 1, bool)  # after a sentence, but not just before a document's end_id
+    after[1:-1] = sentence_ids[ids[:-1]] & ~is_end[2:]
+    places = np.flatnonzero(after | is_end)
     gaps = np.diff(places, prepend=0)
     wide = np.flatnonzero(gaps > length // 4)
     if len(wide):
-        starts = places[wide] - gaps[wide]
-        more = [np.arange(s + length // 8, e, length // 8) for s, e in zip(starts.tolist(), places[wide].tolist())]
-        places = np.union1d(places, np.concatenate(more))
-    penalties = np.full(len(places), cut_penalty)
-    penalties[np.isin(places, sentences, assume_unique=True)] = sentence_penalty
+        more = [np.arange(e - g + length // 8, e, length // 8) for e, g in zip(places[wide].tolist(), gaps[wide].tolist())]
+        places = np.sort(np.concatenate([places, *more]))
+    penalties = np.where(after[places], sentence_penalty, cut_penalty)
     penalties[is_end[places]] = 0
     return places, penalties
 
