@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from llm.tables import release, written
+from llm.tables import written
 
 GRAM = 24
 HOT = 4096
@@ -189,7 +189,6 @@ def _position() -> Column:
 
 def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, text (what is left, as binary: a cut may part a character), n_bytes, n_removed, removed (spans of bytes)."""
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType
     id_type, id_sql = to_arrow_type(kind), kind.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -205,14 +204,15 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([trigger, trigger[twice]]).view(np.int64))], ["trigger"])
 
     common = written(texts.mapInArrow(triggers, "trigger long").groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger"), "triggers")
-    release(spark)
     phrases = texts.mapInArrow(parsed, f"trigger long, phrase long, id {id_sql}, start int, windows int, twice boolean").join(common, "trigger", "left_semi")
     phrases = written(phrases, "phrases")
-    release(spark)
 
-    dictionary = _first(phrases, "trigger", "phrase", more=(F.max("twice").alias("twice"),))
+    dictionary = _first(phrases, "trigger", "phrase", more=(F.max("twice").alias("twice"), F.max("windows").alias("windows")))
     several = dictionary.groupBy("trigger").agg(F.count("*").alias("n_phrases"), F.max("twice").alias("again")).where("n_phrases > 1 or again")
-    firsts = phrases.withColumn("at", _position()).join(dictionary.join(several, "trigger").select("trigger", "phrase", "at", "n_phrases"), ["trigger", "phrase", "at"]).dropDuplicates(["trigger", "phrase"])
+    start = F.pmod("at", F.lit(1 << 31).cast("decimal(11,0)"))
+    number = ((F.col("at") - start) / F.lit(1 << 31).cast("decimal(11,0)")).cast("decimal(20,0)")
+    id_again = F.when(number >= F.lit(-(1 << 63) + 1), number).cast(kind)
+    firsts = dictionary.join(several, "trigger").select("trigger", "phrase", id_again.alias("id"), start.cast("int").alias("start"), "windows", "n_phrases")
     wanted = firsts.groupBy("id").agg(F.collect_list(F.struct("trigger", "phrase", "start", "windows", "n_phrases")).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +222,7 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), batch.column(0).take(pa.array(c[5], pa.int64())), pa.array(c[2], pa.int32()), pa.array(c[4], pa.int64()), pa.array(c[6], pa.binary())], ["trigger", "phrase", "id", "start", "n_phrases", "bytes"])
 
     cut = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select(texts["id"], "text", "wanted")
-    cut = written(cut.mapInArrow(cut_out, f"trigger long, phrase long, id {id_sql}, start int, n_phrases long, bytes binary").dropDuplicates(["trigger", "phrase"]), "dictionary")
-    release(spark)
+    cut = written(cut.mapInArrow(cut_out, f"trigger long, phrase long, id {id_sql}, start int, n_phrases long, bytes binary"), "dictionary")
 
     def sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(rows: list[tuple]) -> pa.RecordBatch:
@@ -234,8 +233,10 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
 
         rows: list[tuple] = []
         size = 0
-        for batch in batches:  # sorted by trigger
+        for batch in batches:  # sorted by trigger and phrase
             for row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if rows and row[:2] == rows[-1][:2]:
+                    continue  # of a repeated row
                 if size > BLOCK_BYTES and row[0] != rows[-1][0]:
                     yield result(rows)
                     rows, size = [], 0
@@ -244,7 +245,7 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
         if rows:
             yield result(rows)
 
-    usual = cut.where(F.col("n_phrases") <= HOT).select("trigger", "phrase", "id", "start", "bytes").repartition("trigger").sortWithinPartitions("trigger").mapInArrow(sorted_suffixes, "trigger long, phrase long, runs array<int>")
+    usual = cut.where(F.col("n_phrases") <= HOT).select("trigger", "phrase", "id", "start", "bytes").repartition("trigger").sortWithinPartitions("trigger", "phrase").mapInArrow(sorted_suffixes, "trigger long, phrase long, runs array<int>")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches, 4):
@@ -268,7 +269,6 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
     every = phrases.withColumn("own", _position()).join(known, ["trigger", "phrase"])
     runs = F.when(F.col("own") > F.col("at"), F.array("start", F.col("start") + F.col("windows"))).otherwise(F.transform("runs", lambda x: x + F.col("start")))
     removed = written(every.select("id", runs.alias("runs")).where("runs is not null").groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs")), "removed")
-    release(spark)
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches):
