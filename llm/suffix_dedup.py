@@ -40,7 +40,7 @@ from llm.tables import written
 GRAM = 24
 HOT = 4096
 #: Bytes that a worker parses or sorts at a time (a longer text is taken alone).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15 | 1, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
