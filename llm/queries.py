@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprints, ngram_join, packing, quality, suffix_dedup
+from llm import bpe, fingerprints, ngram_join, packing, pii, quality, suffix_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: For these queries only; a deployment hands its own secret to the operator.
+PII_KEY = "public test key"
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -26,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).select("doc_id", *quality.NAMES, "base_failed", "kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), PII_KEY, count_col="n_replaced").select("doc_id", "text", "n_replaced")
+
+
 def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fingerprints.edited_fingerprints(read(spark, sf_dir, "documents"))
     spelt = fingerprints.spelt
@@ -47,7 +54,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_quality": op4_quality, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_packing": op1_packing, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
