@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprints, html_text, ngram_join, packing, pii, quality, suffix_dedup
+from llm import bpe, fingerprints, html_text, language_id, ngram_join, packing, pii, quality, suffix_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -29,6 +29,12 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    return language_id.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents")).select("doc_id", *quality.NAMES, "base_failed", "kept")
 
@@ -58,7 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_html": op2_html, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_packing": op1_packing, "op2_html": op2_html, "op3_language": op3_language, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
