@@ -14,7 +14,8 @@ the amount of work, never the result.
 *Prefixes.*  A set of n shingles shares at least ceil(n * percent / 100) of them with any
 partner, so its first n - ceil(...) + l shingles share at least l with the partner's.  Each
 class takes the l of 1 to ``MATCHES`` that has the least estimated cost: the postings that the
-longer prefix meets, plus the verification of the candidates that are then left.  A pair is
+longer prefix meets, plus the verification of the candidates that are then left (each
+further match asked for is taken to leave one in ``DECAY``).  A pair is
 a candidate if it shares min(l, l') prefix shingles or more.
 
 *Verification.*  A shingle that over ``BUCKET`` classes have in their prefixes doesn't make
@@ -32,7 +33,6 @@ columns don't matter.  Set and shingle identity is that of 64-bit hashes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,63 +41,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from llm.components import components
+from llm.hashing import MIX2, mixed, powers, prefix_sums
 from llm.tables import written
 
-FREQUENT, COUNT_BLOCK, MATCHES, BUCKET, BLOCK, REPRESENTATIVES = 1 << 20, 1 << 22, 4, 32, 256, 4
+FREQUENT, COUNT_BLOCK, MATCHES, BUCKET, BLOCK, REPRESENTATIVES = 1 << 21, 1 << 22, 4, 64, 256, 4
 #: Cost of reading a posting and of verifying a candidate, for each shingle of the set.
 POSTING_COST, VERIFY_COST = 1.0, 0.05
-WORDS = re.compile("[^ \t-\r]+")
-UPPER = {c: c + 32 for c in range(65, 91)}
-TEXT_BLOCK, CACHE_WORDS = 1 << 21, 1 << 19
-C1, C2, C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-class Words(dict):
-    """64-bit hash of a word, remembered."""
-
-    def __missing__(self, word: str) -> int:
-        import hashlib
-
-        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) < CACHE_WORDS:
-            self[word] = h
-        return h
-
-
-_words = Words()
+TEXT_BLOCK = 1 << 20
+#: What another prefix shingle asked for leaves of the candidates, and what a shingle that isn't frequent is taken to meet.
+DECAY, RARE = 8.0, 0.25
+C2, C3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    words = [WORDS.findall(t.translate(UPPER) if not t.isascii() else t.lower()) if t else [] for t in texts]
-    if len(_words) >= CACHE_WORDS:
-        _words.clear()
-    sizes = np.array([len(w) for w in words], np.int64)
-    flat = np.fromiter((h for w in words for h in map(_words.__getitem__, w)), np.uint64, int(sizes.sum()))
-    ends = np.cumsum(sizes)
+    """Sorted distinct shingle hashes of each text; all words of the block are hashed at once, from their bytes."""
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = LOWER[np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)]
+    space = SPACES[data]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    sums = prefix_sums(data)
+    words = mixed((sums[stops] - sums[starts]) * powers(len(data))[1][starts] + (stops - starts).astype(np.uint64))
+    rolled = np.zeros(0, np.uint64)
+    if len(words) >= n:
+        rolled = words[: len(words) - n + 1].copy()
+        for i in range(1, n):
+            rolled = mixed(rolled * C2 + words[i : len(words) - n + 1 + i], MIX2)
+    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw])).tolist()
     out = []
-    rolled = flat
-    if len(flat) >= n:
-        rolled = np.zeros(len(flat) - n + 1, np.uint64)
-        for i in range(n):
-            rolled = rolled * C1 + mixed(flat[i : len(flat) - n + 1 + i] + np.uint64(i))
-        rolled = mixed(rolled)
-    for a, b in zip((ends - sizes).tolist(), ends.tolist()):
+    for a, b in zip([0, *ends[:-1]], ends):
         if b - a >= n:
-            out.append(np.unique(rolled[a : b - n + 1]))
+            own = np.sort(rolled[a : b - n + 1])
+            fresh = np.ones(len(own), bool)
+            np.not_equal(own[1:], own[:-1], out=fresh[1:])
+            out.append(own[fresh])
         elif b > a:
-            whole = np.uint64(b - a)
-            for x in flat[a:b]:
-                whole = np.uint64((int(whole) * int(C2) + int(x)) & 0xFFFFFFFFFFFFFFFF)
-            out.append(mixed(np.array([whole])))
+            whole = words[a : a + 1] + np.uint64(b - a)
+            for i in range(a + 1, b):
+                whole = mixed(whole * C3 + words[i : i + 1])
+            out.append(mixed(whole))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(words[:0])
     return out
 
 
@@ -123,18 +111,39 @@ def needed(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-def choose_prefix(s: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set and the number of matches that it asks for.  common: sorted frequent shingles; counts: of each."""
-    at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
-    count = np.where(common[at] == s, counts[at], 0) if len(common) else np.zeros(len(s), np.int64)
-    n = len(s)
-    length = n - int(needed(n, percent)) + 1
-    most = min(n, length + MATCHES - 1)
-    by = np.lexsort((s, count))[:most]
-    postings = np.cumsum(np.maximum(count[by], 1) - 1)
-    costs = [(POSTING_COST + VERIFY_COST * n / l) * postings[length + l - 2] for l in range(1, most - length + 2)]
-    l = int(np.argmin(costs)) + 1
-    return s[by[: length + l - 1]], l
+class Order:
+    """The order of shingles: those that aren't frequent first, by hash, then the frequent ones by count."""
+
+    def __init__(self, common: np.ndarray, counts: np.ndarray):
+        self.common, self.counts = common, counts
+        self.maybe = np.zeros(1 << 24, bool)  # by upper bits, so that most look-ups end here
+        self.maybe[(common >> np.uint64(40)).astype(np.int64)] = True
+
+    def count(self, s: np.ndarray) -> np.ndarray:
+        """How often a frequent shingle was counted, 0 for the others."""
+        out = np.zeros(len(s), np.int64)
+        look = np.flatnonzero(self.maybe[(s >> np.uint64(40)).astype(np.int64)])
+        at = np.searchsorted(self.common, s[look])
+        at[at == len(self.common)] = 0
+        hit = self.common[at] == s[look] if len(self.common) else np.zeros(len(look), bool)
+        out[look[hit]] = self.counts[at[hit]]
+        return out
+
+    def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+        """The prefix of a set (sorted) and the number of matches that it asks for."""
+        n = len(s)
+        count = self.count(s)
+        length = n - int(needed(n, percent)) + 1
+        most = min(n, length + MATCHES - 1)
+        rare = np.flatnonzero(count == 0)
+        by = rare[:most]
+        if len(rare) < most:
+            rest = np.flatnonzero(count)
+            by = np.concatenate([rare, rest[np.lexsort((s[rest], count[rest]))[: most - len(rare)]]])
+        postings = np.cumsum(np.maximum(count[by] - 1.0, RARE))
+        costs = [(POSTING_COST + VERIFY_COST * n / DECAY ** (l - 1)) * postings[length + l - 2] for l in range(1, most - length + 2)]
+        l = int(np.argmin(costs)) + 1
+        return s[by[: length + l - 1]], l
 
 
 def linked_parts(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -236,12 +245,13 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     common = np.asarray(top.column("shingle"), np.int64).view(np.uint64)
     order = np.argsort(common)
     frequent = spark.sparkContext.broadcast((common[order], np.asarray(top.column("n"), np.int64)[order]))  # FREQUENT rows at most
+    del top, common
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, counts = frequent.value
+        known = Order(*frequent.value)
         for _, values in _blocks(batches, 0):
             sets = [s for s in shingle_sets(values, n) if len(s)]
-            chosen = [choose_prefix(s, common, counts, percent) for s in sets]
+            chosen = [known.prefix(s, percent) for s in sets]
             size = [len(p) for p, _ in chosen]
             columns = [np.concatenate([p for p, _ in chosen] or [np.zeros(0, np.uint64)]).view(np.int64), np.repeat(np.array([set_key(s) for s in sets], np.int64), size), np.repeat(np.array([len(s) for s in sets], np.int32), size), np.repeat(np.array([l for _, l in chosen], np.int32), size)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "key", "n", "l"])
