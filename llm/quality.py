@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.tables import written
+from llm.tables import broadcast_if_small, written
 
 SUPPORT, STEPS, MIN_ROWS = 0.75, 3, 100
 P = 5
@@ -145,15 +145,15 @@ def fit(vectors: DataFrame) -> DataFrame:
 
     centre = rows.groupBy(*key).agg(F.count("*").alias("rows"), *[quantile(f"x{i}", f"m{i}") for i in range(P)]).where((F.col("rows") >= MIN_ROWS) | (F.col("level") == 0))
     centre = written(centre.drop("rows"), "medians")
-    away = rows.join(centre, key).select(*key, *[f"m{i}" for i in range(P)], *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"a{i}") for i in range(P)])
+    away = rows.join(broadcast_if_small(centre), key).select(*key, *[f"m{i}" for i in range(P)], *[F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"a{i}") for i in range(P)])
     scale = away.groupBy(*key, *[f"m{i}" for i in range(P)]).agg(*[quantile(f"a{i}", f"d{i}") for i in range(P)])
     inverse = [(1 / F.greatest(F.lit(f), 1.4826 * F.col(f"d{i}")) ** 2 if i == j else F.lit(0.0)).alias(f"i{i}{j}") for i, f in enumerate(FLOORS) for j in range(i, P)]
     now = written(scale.select(*key, *[f"m{i}" for i in range(P)], *inverse), "start")
     names = [*[f"s{i} double" for i in range(P)], *[f"c{i}{j} double" for i in range(P) for j in range(i, P)]]
     for _ in range(STEPS):
-        measured = rows.join(now, key).withColumn("d", distance())
+        measured = rows.join(broadcast_if_small(now), key).withColumn("d", distance())
         cut = written(measured.groupBy(*key).agg(quantile("d", "cut", SUPPORT)), "cuts")
-        near = measured.join(cut, key).where("d <= cut")
+        near = measured.join(broadcast_if_small(cut), key).where("d <= cut")
         moments = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"c{i}{j}") for i in range(P) for j in range(i, P)]
         sums = near.groupBy(*key).agg(F.count("*").alias("n"), *moments)
         now = written(sums.mapInPandas(lambda it: (estimate(x) for x in it), now.schema), "estimates")
@@ -185,7 +185,7 @@ def judge(docs: DataFrame, alpha: float = 1e-6, min_words: int = 50, repeat_perc
     parts = [c for c in found.columns if c not in ("level", "grp")]
 
     def at(level: int, grp: Column, df: DataFrame) -> DataFrame:
-        own = found.where(F.col("level") == level).select(F.col("grp").alias(f"g{level}"), F.struct(*parts).alias(f"e{level}"))
+        own = broadcast_if_small(found.where(F.col("level") == level)).select(F.col("grp").alias(f"g{level}"), F.struct(*parts).alias(f"e{level}"))
         return df.withColumn(f"g{level}", grp).join(own, f"g{level}", "left")
 
     out = at(2, _group(), vectors)

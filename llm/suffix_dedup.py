@@ -119,14 +119,23 @@ def repeats(phrases: list[bytes], order: np.ndarray, starts: np.ndarray, length:
     return out
 
 
-def uncovered(text: bytes, runs: list[int], length: int) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and its removed spans; runs: of windows, as pairs in any order."""
+def uncovered(text: bytes, runs: list[int], length: int, whole_characters: bool = False) -> tuple[bytes, list[tuple[int, int]]]:
+    """What is left of a text, and its removed spans; runs: of windows, as pairs in any order.
+
+    whole_characters: of a UTF-8 character that is covered in part, all bytes stay."""
     spans: list[list[int]] = []
     for a, b in sorted(zip(runs[::2], runs[1::2])):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b + length - 1)
         else:
             spans.append([a, b + length - 1])
+    if whole_characters:
+        for s in spans:
+            while s[0] < s[1] and text[s[0]] & 0xC0 == 0x80:
+                s[0] += 1
+            while s[1] > s[0] and s[1] < len(text) and text[s[1]] & 0xC0 == 0x80:
+                s[1] -= 1
+        spans = [s for s in spans if s[0] < s[1]]
     kept, at = [], 0
     for a, b in spans:
         kept.append(text[at:a])
@@ -157,8 +166,9 @@ def _position() -> Column:
     return (number * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")).cast("decimal(38,0)")
 
 
-def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text (what is left, as binary: a cut may part a character), n_bytes, n_removed, removed (spans of bytes)."""
+def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
+    """id, text (what is left, as binary: a cut may part a character), n_bytes, n_removed, removed (spans of
+    bytes), rest (a struct of the other columns).  With ``whole_characters`` no cut parts a character."""
     kind = docs.schema[id_col].dataType
     id_type, id_sql = to_arrow_type(kind), kind.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -242,8 +252,10 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches):
-            done = [uncovered(t, r or [], length) for t, r in zip(values, batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in done], pa.binary()), pa.array([len(t) for t in values], pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(values, done)], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], ["id", "text", "n_bytes", "n_removed", "removed"])
+            done = [uncovered(t, r or [], length, whole_characters) for t, r in zip(values, batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in done], pa.binary()), pa.array([len(t) for t in values], pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(values, done)], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column(3)], ["id", "text", "n_bytes", "n_removed", "removed", "rest"])
 
-    out = texts.join(removed, texts["id"].eqNullSafe(removed["id"]), "left").select(texts["id"], "text", "runs")
-    return out.mapInArrow(cleaned, f"id {id_sql}, text binary, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>").withColumnRenamed("id", id_col)
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
+    full = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*others).alias("rest"))
+    out = full.join(removed, full["id"].eqNullSafe(removed["id"]), "left").select(full["id"], "text", "runs", "rest")
+    return out.mapInArrow(cleaned, f"id {id_sql}, text binary, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, rest {full.schema['rest'].dataType.simpleString()}").withColumnRenamed("id", id_col)

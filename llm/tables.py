@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
+
+
+def broadcast_if_small(table: DataFrame, rows: int = 20_000) -> DataFrame:
+    """The written table with a broadcast hint if it has few rows; otherwise as it is, for a join that Spark may split."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
