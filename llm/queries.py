@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprints, html_text, language_id, ngram_join, packing, pii, quality, suffix_dedup
+from llm import bpe, fingerprints, html_text, language_id, licenses, ngram_join, packing, pii, quality, suffix_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -58,13 +58,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.deduplicate(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_html": op2_html, "op3_language": op3_language, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_packing": op1_packing, "op2_html": op2_html, "op3_language": op3_language, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op9_licenses": op9_licenses, "op10_suffix_dedup": op10_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
