@@ -30,16 +30,28 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from llm.hashing import mixed, powers, prefix_sums
+
 LONG_WORD = 128
-#: Entries of a worker's word table; when it is full it starts anew (a cache, results don't depend on it).
-CACHE_WORDS = 1 << 19
-#: str.split() splits at these and the library's \s doesn't.
-_SPLIT_ONLY = re.compile("[\x1c-\x1f]")
+#: Ids held in a worker's table of stretches, which then starts anew (a cache, results don't depend on it).
+CACHE_IDS = 1 << 22
 _ONIG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: White space beyond the six common characters, or a mark of an added token.
+_RARE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+#: Kinds of bytes: an ASCII letter, an ASCII sign, the first and the second byte of a letter of Latin-1, others.
+LETTER, SIGN, LEAD, TAIL, OTHER = range(5)
+KINDS = np.full(256, SIGN, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+KINDS[[*range(48, 58), 39]] = OTHER
+KINDS[0xC3] = LEAD
+KINDS[0x80:0xC0] = TAIL
+KINDS[0xC0:0xC3] = KINDS[0xC4:] = OTHER
 #: Text below this code point is split by a pattern with its letters and digits spelt out.
 LATIN_END = 0x250
 _BEYOND_LATIN = re.compile("[^\0-\u024f]")
-BLOCK_WORDS, BLOCK_CHARS = 1 << 14, 1 << 21
+BLOCK_WORDS, BLOCK_CHARS = 1 << 14, 1 << 20
 #: Bytes of ids and decoded text handed to the JVM at a time.
 OUT_BYTES = 1 << 23
 NONE, NO_RANK = 1 << 62, 1 << 30
@@ -52,6 +64,12 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the runs that begin at ``starts``, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class WordBPE:
     """Encoder and decoder of one vocabulary file; made once in each Python worker."""
 
@@ -78,14 +96,13 @@ class WordBPE:
         self.pieces = regex.compile(pattern + "|\n")
         below = [chr(c) for c in range(LATIN_END)]
         kinds = {k: "".join(c for c in below if unicodedata.category(c)[0] == k) for k in "LN"}
-        plain = pattern.replace("[\\p{L}]", "[LL]").replace("[\\p{N}]", "[NN]").replace("\\p{L}", "LL").replace("\\p{N}", "NN")
+        plain = pattern.replace("[\\p{L}]", "[LL]").replace("[\\p{N}]", "[NN]").replace("\\p{L}", "LL").replace("\\p{N}", "NN").replace("[^\\s", r"[^ \t-\r\x85\xa0")
         #: The same pattern for text below LATIN_END, for Python's own faster matcher.
         self.latin = re.compile(plain.replace("LL", kinds["L"]).replace("NN", kinds["N"]) + "|\n") if "\\p" not in plain else self.pieces
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self._forget()
 
     # -- words ------------------------------------------------------------------------------
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -154,103 +171,184 @@ class WordBPE:
                 heapq.heappush(heap, (r, h))
         return [p for p in parts if p >= 0]
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Puts the ids of words of the splitting pattern into the word table, in blocks of like length."""
-        if not words:
-            return
-        flat = np.frombuffer("\n".join(words).encode() + b"\n", np.uint8)
-        ends = np.flatnonzero(flat == 10)
-        starts = np.append(0, ends[:-1] + 1)
-        n = ends - starts
-        by = np.argsort(n, kind="stable")
-        by_length = n[by]
-        at = 0
-        while at < len(by) and by_length[at] <= LONG_WORD:
-            width = int(by_length[at] + 3) // 4 * 4
-            stop = min(int(np.searchsorted(by_length, width, side="right")), at + BLOCK_WORDS)
-            some = by[at:stop]
-            used = n[some]
-            place = starts[some][:, None] + np.arange(width)[None, :]
-            parts = self.inner[flat[np.minimum(place, len(flat) - 1)]]
-            parts[np.arange(len(some)), used - 1] = self.last[flat[ends[some] - 1]]
-            self._short(parts, used)
-            data = parts[np.arange(width)[None, :] < used[:, None]].astype("<u4").tobytes()
-            cuts = (4 * np.cumsum(used)).tolist()
-            self.words.update(zip([words[i] for i in some.tolist()], [data[a:b] for a, b in zip([0, *cuts], cuts)]))
-            at = stop
-        for i in by[at:].tolist():
-            data = flat[starts[i] : ends[i]]
-            self.words[words[i]] = np.array(self._long([*self.inner[data[:-1]].tolist(), int(self.last[data[-1]])]), "<u4").tobytes()
-
-    # -- texts ------------------------------------------------------------------------------
+    # -- stretches of text between white space ----------------------------------------------
     def _normal(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() alone makes a final sigma
         return text.lower()
 
-    def _known(self, words: list[str]) -> dict[str, bytes]:
-        """The word table, with these words in it."""
-        distinct = dict.fromkeys(words)
-        new = list(distinct.keys() - self.words.keys())
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words.clear()
-            new = list(distinct)
-        self._learn_words(new)
-        return self.words
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Puts stretches of text without white space and added tokens into the chunk table."""
+    def _ids_of(self, chunks: list[str]) -> list[bytes]:
+        """Ids of stretches of text, any of them, by the splitting pattern."""
         text = "\n".join(chunks)
-        latin = not _BEYOND_LATIN.search(text)
-        if latin and "\u0130" not in text:  # letters only: a word as it is (but for a letter whose lower case has a mark)
-            words = [c for c in chunks if c.isalpha()]
-            if words:
-                lower = self._normal("\n".join(words)).split("\n")
-                self.chunks.update(zip(words, map(self._known(lower).__getitem__, lower)))
-            chunks = [c for c in chunks if not c.isalpha()]
-            text = "\n".join(chunks)
-        if not chunks:
-            return
-        pieces = (self.latin if latin else self.pieces).findall(self._normal(text))
-        known = self._known([w for w in pieces if w != "\n"])
+        matcher = self.pieces if _BEYOND_LATIN.search(text) else self.latin
+        pieces = matcher.findall(self._normal(text))
+        distinct = list(dict.fromkeys(w for w in pieces if w != "\n"))
+        known = dict(zip(distinct, self._words_of(distinct)))
+        known["\n"] = b"\n"
         pieces.append("\n")
-        at = 0
-        for chunk in chunks:
+        out, at = [], 0
+        for _ in chunks:
             end = pieces.index("\n", at)
-            self.chunks[chunk] = b"".join(map(known.__getitem__, pieces[at:end]))
+            out.append(b"".join(map(known.__getitem__, pieces[at:end])))
             at = end + 1
+        return out
 
+    def _words_of(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        flat = np.frombuffer("\n".join(words).encode() + b"\n", np.uint8)
+        stops = np.flatnonzero(flat == 10)
+        ids, n = self._encode_words(flat, np.append(0, stops[:-1] + 1), stops)
+        data, cuts = ids.tobytes(), (4 * np.cumsum(n)).tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _encode_words(self, flat: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and their number in each: words of the pattern, in lower case, as bytes."""
+        size = stops - starts
+        n = np.zeros(len(size), np.int64)
+        by = np.argsort(size, kind="stable")
+        in_order = size[by]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        at = 0
+        while at < len(by) and in_order[at] <= LONG_WORD:
+            width = int(in_order[at] + 3) // 4 * 4
+            stop = min(int(np.searchsorted(in_order, width, side="right")), at + BLOCK_WORDS)
+            some = by[at:stop]
+            used = size[some]
+            column = np.arange(width)
+            parts = self.inner[flat[np.minimum(starts[some][:, None] + column[None, :], len(flat) - 1)]]
+            parts[np.arange(len(some)), used - 1] = self.last[flat[stops[some] - 1]]
+            self._short(parts, used)
+            n[some] = used
+            found.append((some, parts[column[None, :] < used[:, None]]))
+            at = stop
+        for i in by[at:].tolist():
+            data = flat[starts[i] : stops[i]]
+            one = np.array(self._long([*self.inner[data[:-1]].tolist(), int(self.last[data[-1]])]), np.int32)
+            n[i] = len(one)
+            found.append((np.array([i]), one))
+        ids = np.zeros(int(n.sum()), np.int32)
+        begin = np.cumsum(n) - n
+        for some, own in found:
+            ids[runs(begin[some], n[some])] = own
+        return ids, n
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct stretches (places in a block's bytes), one after the other, and their number in each.
+
+        Stretches of plain letters and signs are split and encoded as arrays; what has digits,
+        apostrophes or letters beyond two Latin blocks goes through the pattern."""
+        size = stops - starts
+        flat = data[runs(starts, size)]
+        begin = np.cumsum(size) - size
+        kind = KINDS[flat]
+        after = np.append(np.uint8(0), flat[:-1])
+        after[begin] = 0
+        pair = kind == LEAD
+        tail = after == 0xC3
+        # a byte from 0x80 on must follow 0xC3 and make a letter (not the multiplication or division sign)
+        bad = (kind == OTHER) | (tail & ((flat < 0x80) | (flat > 0xBF) | (flat == 0x97) | (flat == 0xB7))) | ((kind == TAIL) & ~tail)
+        lone = np.zeros(len(flat), bool)
+        lone[begin + size - 1] = pair[begin + size - 1]
+        hard = np.bitwise_or.reduceat(bad | lone, begin)
+        # lower case
+        low = flat.copy()
+        low[(flat >= 65) & (flat <= 90)] += 32
+        low[tail & (flat >= 0x80) & (flat <= 0x9E)] += 32
+        # words: runs of letters, runs of signs
+        letter = kind != SIGN
+        first = np.ones(len(flat), bool)
+        first[1:] = letter[1:] != letter[:-1]
+        first[begin] = True
+        owner = np.repeat(np.arange(len(size)), size)
+        easy = ~hard[owner]
+        heads = np.flatnonzero(first)
+        ends = np.append(heads[1:], len(flat))
+        keep = easy[heads]
+        heads, ends = heads[keep], ends[keep]
+        sums, inverse = prefix_sums(low), powers(len(low))[1]
+        hashes = mixed((sums[ends] - sums[heads]) * inverse[heads] + (ends - heads).astype(np.uint64))
+        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        ids, n = self._encode_words(low, heads[one], ends[one])
+        place = np.cumsum(n) - n
+        count = np.zeros(len(size), np.int64)
+        np.add.at(count, owner[heads], n[which])
+        slow = np.flatnonzero(hard)
+        if len(slow):
+            raw = flat.tobytes()
+            more = self._ids_of([raw[a : a + b].decode("utf-8", "surrogatepass") for a, b in zip(begin[slow].tolist(), size[slow].tolist())])
+            count[slow] = [len(x) // 4 for x in more]
+        out = np.zeros(int(count.sum()), np.int32)
+        base = np.cumsum(count) - count
+        if len(heads):
+            out[runs(base[~hard], count[~hard])] = ids[runs(place[which], n[which])]
+        if len(slow):
+            out[runs(base[slow], count[slow])] = np.frombuffer(b"".join(more), "<u4").astype(np.int32)
+        return out, count
+
+    # -- texts ------------------------------------------------------------------------------
     def ids_bytes_of(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of whole texts as little-endian unsigned 32-bit integers; a few MB of text at a time."""
+        """Ids of whole texts as little-endian unsigned 32-bit integers; about a MB of text at a time."""
         some, size = [], 0
         for text in texts:
-            some.append(self._stretches(text or ""))
-            size += len(text or "")
+            some.append(text or "")
+            size += len(some[-1])
             if size > BLOCK_CHARS:
                 yield from self._block(some)
                 some, size = [], 0
         yield from self._block(some)
 
+    def _block(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [not _RARE.search(t) for t in texts]
+        done = self._plain_block([t for t, p in zip(texts, plain) if p])
+        for t, p in zip(texts, plain):
+            yield next(done) if p else b"".join(self._ids_of([x])[0] if x not in self.added else struct.pack("<I", self.added[x]) for x in self._stretches(t))
+
     def _stretches(self, text: str) -> list[str]:
         """What stands between white space and added tokens; an added token is a stretch of its own."""
         if self.split_added is not None and "<|" in text and self.split_added.search(text):
             return [c for x in self.split_added.split(text) for c in ([x] if x in self.added else self._stretches(x))]
-        return _ONIG_SPACE.split(text) if _SPLIT_ONLY.search(text) else text.split()
-
-    def _block(self, some: list[list[str]]) -> Iterator[bytes]:
-        missing = set().union(*some) - self.chunks.keys()
-        added = {t: struct.pack("<I", i) for t, i in self.added.items() if t in missing}
-        missing.difference_update(added)
-        missing.discard("")
-        if len(missing) + len(self.chunks) > CACHE_WORDS:
-            self.chunks.clear()
-            missing = set().union(*some) - added.keys() - {""}
-        self._learn(list(missing))
-        self.chunks.update(added)
-        self.chunks[""] = b""
-        look = self.chunks.__getitem__
-        for stretches in some:
-            yield b"".join(map(look, stretches))
+        return [x for x in _ONIG_SPACE.split(text) if x]
+
+    def _plain_block(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts whose white space is the common one and that have no added token."""
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
+        space = SPACES[data]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        sums = prefix_sums(data)
+        hashes = mixed((sums[stops] - sums[starts]) * powers(len(data))[1][starts] + (stops - starts).astype(np.uint64))
+        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        n, where = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        old = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        new = ~old
+        if len(self.pool) > CACHE_IDS:
+            self._forget()
+            old, new = np.zeros(len(distinct), bool), np.ones(len(distinct), bool)
+        if new.any():
+            ids, count = self._learn(data, starts[one[new]], stops[one[new]])
+            self._keep(distinct[new], ids, count)
+            at = np.searchsorted(self.known, distinct)
+        n, where = self.count[at], self.place[at]
+        ids = self.pool[runs(where[which], n[which])].astype("<u4").tobytes()
+        upto = np.append(0, np.cumsum(n[which]))
+        ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
+        cuts = (4 * upto[ends]).tolist()
+        for a, b in zip([0, *cuts], cuts):
+            yield ids[a:b]
+
+    def _forget(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+        self.count, self.place, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+        place = len(self.pool) + np.cumsum(count) - count
+        self.pool = np.concatenate([self.pool, ids])
+        into = np.searchsorted(self.known, hashes)
+        self.known = np.insert(self.known, into, hashes)
+        self.count, self.place = np.insert(self.count, into, count), np.insert(self.place, into, place)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(next(self.ids_bytes_of([text])), "<u4").tolist()
