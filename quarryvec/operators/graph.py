@@ -130,7 +130,7 @@ class Cursor:
     frontier: list = field(default_factory=list)
     turned_away: list = field(default_factory=list)
     found: list = field(default_factory=list)
-    given: int = 0
+    given: set = field(default_factory=set)
 
     def open(self) -> "Cursor":
         self.seen = np.zeros(len(self.graph.ids), bool)
@@ -195,15 +195,15 @@ class Cursor:
 
     def next_batch(self) -> list[tuple[float, int]]:
         """The next ``step`` rows as (dist, id)."""
-        while len(self.found) < self.given + self.options.step and (self.frontier or self.turned_away):
+        while len(self.found) < len(self.given) + self.options.step and (self.frontier or self.turned_away):
             self.ef += self.options.step
             for x in self.turned_away:
                 heapq.heappush(self.frontier, x)
             self.turned_away = []
             self.walk()
-        out = [(d, i) for d, i, _ in heapq.nsmallest(self.given + self.options.step, self.found)[self.given :]]
-        self.given += len(out)
-        return out
+        best = heapq.nsmallest(self.options.step, (f for f in self.found if f[2] not in self.given))
+        self.given |= {n for _, _, n in best}
+        return [(d, i) for d, i, _ in best]
 
     def __iter__(self) -> Iterator[tuple[float, int]]:
         while batch := self.next_batch():
