@@ -240,12 +240,24 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
             yield several(held)
 
     keys = written(texts.mapInArrow(keyed, f"id {id_sql}, key long, n_shingles long"), "set-keys")
-    totals = texts.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = totals.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
-    common = np.asarray(top.column("shingle"), np.int64).view(np.uint64)
+    totals = written(texts.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts")
+    least, held = 2, 0
+    for row in totals.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).collect():
+        if held + row["shingles"] > FREQUENT:
+            least = row["n"] + 1
+            break
+        held += row["shingles"]
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.asarray(batch.column(0), np.int64).tobytes()]), pa.array([np.asarray(batch.column(1), np.int64).tobytes()])], ["shingles", "counts"])
+
+    rows = totals.where(F.col("n") >= least).select("shingle", "n").mapInArrow(packed, "shingles binary, counts binary").collect()  # FREQUENT shingles at most
+    common = np.frombuffer(b"".join(r["shingles"] for r in rows), np.uint64)
+    counts = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
     order = np.argsort(common)
-    frequent = spark.sparkContext.broadcast((common[order], np.asarray(top.column("n"), np.int64)[order]))  # FREQUENT rows at most
-    del top, common
+    frequent = spark.sparkContext.broadcast((common[order], np.minimum(counts[order], 1 << 30).astype(np.int32)))
+    del rows, common, counts, order
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Order(*frequent.value)
