@@ -201,9 +201,8 @@ def cross_links(few: list[tuple], many: list[tuple], percent: int) -> list[tuple
     labels = np.array([r[1] for r in many], np.int64)
     out = set()
     for _, label, s in few:
-        own = np.searchsorted(shingles, s)
-        own = own[own < len(shingles)]
-        own = own[np.isin(shingles[own], s)]
+        own = np.minimum(np.searchsorted(shingles, s), len(shingles) - 1)
+        own = own[shingles[own] == s]
         size = at[own + 1] - at[own]
         place = np.repeat(at[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         shared = np.bincount(docs[place], minlength=len(sets))
