@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Parts into which the values of an attribute are cut for ranges.
+STEPS = 1000
+
+
 def unit(seed: int, key: str = "id") -> Column:
     """Uniform in (0, 1)."""
     return (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
@@ -34,28 +38,26 @@ def correlated(base: DataFrame, rho: float = 0.5, sigma: float = 10.0, seed: int
     return base.select("*", (sigma * a).cast("float").alias(names[0]), (sigma * (rho * a + math.sqrt(1 - rho * rho) * b)).cast("float").alias(names[1]))
 
 
+def _points(base: DataFrame, attr: str) -> DataFrame:
+    """n and the thousandths of an attribute, from a mergeable sketch: one row."""
+    return base.where(F.col(attr).isNotNull()).agg(F.count("*").alias("n"), F.percentile_approx(attr, [i / STEPS for i in range(STEPS + 1)], 100 * STEPS).alias("p"))
+
+
 def ranges(queries: DataFrame, base: DataFrame, attr: str, least: int = 100, seed: int = 0) -> DataFrame:
-    """qid, low, high: closed ranges of the attribute around a random value, widened until ``least`` rows pass.
+    """qid, low, high: closed ranges of the attribute from a random rank on, that ``least`` rows pass (or all).
 
-    Widening by hand is a loop; on the running count of the attribute's values it is two look-ups."""
-    counts = base.where(F.col(attr).isNotNull()).groupBy(F.col(attr).alias("v")).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(F.lit(1)).orderBy("v")
-    steps = counts.select("v", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(order).alias("upto"))
-    total = base.where(F.col(attr).isNotNull()).count()
-    start = queries.select("qid", F.floor(unit(seed, "qid") * max(1, total - least)).alias("start"))
-    start = start.withColumn("stop", F.least(F.lit(total), F.col("start") + least))
-    met = start.join(steps, (F.col("upto") > F.col("start")) & (F.col("before") < F.col("stop")))
-    return met.groupBy("qid").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    Bounds are thousandths, taken a step wider than the ranks ask for, which is more than the sketch can err."""
+    met = queries.crossJoin(F.broadcast(_points(base, attr)))
+    start = F.floor(unit(seed, "qid") * F.greatest(F.col("n") - least, F.lit(1)))
+    low = F.greatest(F.floor(start * STEPS / F.col("n")) - 1, F.lit(0)).cast("int")
+    high = F.least(F.ceil((start + least) * STEPS / F.col("n")) + 1, F.lit(STEPS)).cast("int")
+    return met.select("qid", F.col("p")[low].alias("low"), F.col("p")[high].alias("high"))
 
 
 def values(queries: DataFrame, base: DataFrame, attr: str, seed: int = 0) -> DataFrame:
-    """qid, v: for each query the attribute of a row, by hash."""
-    ids = base.where(F.col(attr).isNotNull()).agg(F.count("*").alias("n")).first()["n"]
-    numbered = base.where(F.col(attr).isNotNull()).groupBy(F.col(attr).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("v"))
-    numbered = numbered.select("v", (upto - F.col("n")).alias("before"), upto.alias("upto"))
-    at = queries.select("qid", F.floor(unit(seed, "qid") * ids).alias("at"))
-    return at.join(numbered, (F.col("at") >= F.col("before")) & (F.col("at") < F.col("upto"))).select("qid", "v")
+    """qid, v: for each query a value that the attribute has, frequent ones more often."""
+    met = queries.crossJoin(F.broadcast(_points(base, attr)))
+    return met.select("qid", F.col("p")[F.floor(unit(seed, "qid") * (STEPS + 1)).cast("int")].alias("v"))
 
 
 def packed_ranges(queries: DataFrame, n: int, percent: int, seed: int = 0) -> DataFrame:
