@@ -1,7 +1,7 @@
 """Byte-pair encoding and decoding with a contiguous rank array (operator 7).
 
-A short word is held as two small contiguous arrays: its parts (the ids between part
-boundaries) and the merge rank of every adjacent pair.  The smallest rank is found by
+A short word is a row of two contiguous arrays (all words of a like length are done
+together): its parts (the ids between part boundaries) and the merge rank of every adjacent pair.  The smallest rank is found by
 scanning, its boundary is deleted, and only the two neighbouring ranks are refreshed.
 Words of more than ``LONG_WORD`` parts keep the same order of merges with a heap, so a
 degenerate word of n bytes costs n log n and not n squared.
@@ -10,6 +10,9 @@ Reads the JSON of a public tokenizer with the parts: NFC, ``\\s+`` to one space,
 case; a splitting pattern; byte-level alphabet; BPE with an end-of-word suffix; added
 tokens that are found in the raw text.  Results equal those of the tokenizers library; only
 code points that Python's Unicode tables don't assign yet may be split at other places.
+Blocks of text are worked off as arrays: stretches between white space are told apart by a
+64-bit hash of their bytes, each distinct one is split and merged once, and its ids are
+remembered in a table of bounded size.
 
 Null text is the empty text (no ids, empty decoding); any other column of the input is
 kept out of the result; repeated rows give repeated rows.

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from llm.components import components
 from llm.hashing import MIX2, mixed, powers, prefix_sums
-from llm.tables import written
+from llm.tables import broadcast_if_small, written
 
 FREQUENT, COUNT_BLOCK, MATCHES, BUCKET, BLOCK, REPRESENTATIVES = 1 << 21, 1 << 22, 4, 64, 256, 4
 #: Cost of reading a posting and of verifying a candidate, for each shingle of the set.
@@ -337,7 +337,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     two = {"a": pa.int64(), "b": pa.int64()}
     lots = large.where("leads").withColumn("block", F.pmod(F.xxhash64("label"), F.lit(1 << 20)).cast("int"))
     lots = lots.join(lots.groupBy("grp").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("n_lots")), "grp").withColumn("block", F.pmod("block", "n_lots"))
-    joined = components(lots.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(groupwise(join_leads, two), "a long, b long"), "leads")
+    joined = broadcast_if_small(components(lots.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(groupwise(join_leads, two), "a long, b long"), "leads"))
     named = large.join(joined, large["label"] == joined["node"], "left").select("key", F.coalesce("root", "label").alias("label"), "grp", "block", "shingles")
     named = written(named, "named")
     # then what isn't in a group's largest part, against all its blocks
@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         return cross_links(*sides, percent) if all(sides) else []
 
     facing = minor.unionByName(major).withColumn("block", F.xxhash64("m", "chunk")).repartition("grp", "block").sortWithinPartitions("grp", "block")
-    last = components(facing.mapInArrow(groupwise(against, two), "a long, b long"), "parts")
+    last = broadcast_if_small(components(facing.mapInArrow(groupwise(against, two), "a long, b long"), "parts"))
     final = parts.where("not large").select("key", "label").unionByName(named.select("key", "label"))
     final = final.join(last, final["label"] == last["node"], "left").select("key", F.coalesce("root", "label").alias("label"))
 

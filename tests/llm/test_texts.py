@@ -31,6 +31,16 @@ def test_article_of_pages(spark):
     assert html_text.extract(pages(spark, [])).count() == 0
 
 
+def test_odd_markup():
+    def text(page):
+        return html_text.main_text(html_text.parse(page), [], set())
+
+    assert text('<article><div class="entry-header"><h1>Title</h1></div><p title="a > b">one<p class="x>two</article>') == "Title one two"
+    assert text("<article><p>a<br/>b<script>if (x < 3) y('</p>')</script> c<!-- no --> d</p><ul><li>e<li>f</ul></article><div id=comments>g</div>") == "a b c d e f"
+    assert text("<main>a &lt;b&gt; &#233;&nbsp;c &unknown; d</main>") == "a <b> é c &unknown; d"
+    assert text("x < y and <3 <") == "x < y and <3 <"
+
+
 def test_constant_slots_are_template_without_an_article(spark):
     page = "<body><div><p>Welcome to the site of many words and more</p></div><div><p>Story number {i} has words of its own {i}{i}</p></div></body>"
     rows = [(i, "http://one.example/", page.format(i=i), 1, "x") for i in range(5)]
