@@ -80,23 +80,27 @@ def _arrow_block(rows: DataFrame, block: DataFrame, k: int, metric: str, vector:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q = shared.value
+        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)  # query, id, distance: k rows a query at most
         for batch in batches:
             n = batch.num_rows
             if not n or not len(qid):
                 continue
             ids = np.asarray(batch.column(0), np.int64)
             x = np.asarray(batch.column(1).flatten(), np.float32).reshape(n, -1)
+            found = [best]
             for first in range(0, len(qid), 256):
                 some = slice(first, first + 256)
                 rough = matrix_distance(metric, x.astype(float), q[some].astype(float))
                 m = min(n, k)
                 bar = np.partition(rough, m - 1, axis=1)[:, m - 1 : m]
                 who, which = np.nonzero(rough <= bar + 1e-6 * (1 + np.abs(bar)))  # near ties stay for the exact score
-                dist = folded_distance(metric, x[which], q[some][who])
-                by = np.lexsort((ids[which], dist, who))
-                rank = np.arange(len(by)) - np.searchsorted(who[by], who[by])
-                by = by[rank < k]
-                yield pa.RecordBatch.from_arrays([pa.array(qid[some][who[by]]), pa.array(ids[which[by]]), pa.array(dist[by])], ["qid", "id", "dist"])
+                found.append((who + first, ids[which], folded_distance(metric, x[which], q[some][who])))
+            who, which, dist = (np.concatenate(c) for c in zip(*found))
+            by = np.lexsort((which, dist, who))
+            rank = np.arange(len(by)) - np.searchsorted(who[by], who[by])
+            best = tuple(c[by[rank < k]] for c in (who, which, dist))
+        if len(best[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(qid[best[0]]), pa.array(best[1]), pa.array(best[2])], ["qid", "id", "dist"])
 
     return top_k(rows.select("id", F.col(vector).cast("array<float>").alias("v")).mapInArrow(run, "qid long, id long, dist double"), k)
 
