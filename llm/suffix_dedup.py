@@ -187,8 +187,9 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
     phrases = texts.mapInArrow(parsed, f"trigger long, phrase long, id {id_sql}, start int, windows int, twice boolean").join(common, "trigger", "left_semi")
     phrases = written(phrases, "phrases")
 
-    dictionary = _first(phrases, "trigger", "phrase", more=(F.max("twice").alias("twice"), F.max("windows").alias("windows")))
-    several = dictionary.groupBy("trigger").agg(F.count("*").alias("n_phrases"), F.max("twice").alias("again")).where("n_phrases > 1 or again")
+    dictionary = written(_first(phrases, "trigger", "phrase", more=(F.max("twice").alias("twice"), F.max("windows").alias("windows"))), "first-phrases")
+    # written too, so that the join with it is one that Spark may split where a trigger has very many phrases
+    several = written(dictionary.groupBy("trigger").agg(F.count("*").alias("n_phrases"), F.max("twice").alias("again")).where("n_phrases > 1 or again"), "several")
     start = F.pmod("at", F.lit(1 << 31).cast("decimal(11,0)"))
     number = ((F.col("at") - start) / F.lit(1 << 31).cast("decimal(11,0)")).cast("decimal(20,0)")
     id_again = F.when(number >= F.lit(-(1 << 63) + 1), number).cast(kind)
