@@ -34,11 +34,24 @@ def train(base: DataFrame, nlist: int, how: str = "kmeans", seed: int = 1, vecto
     return base.sparkSession.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(centres)], "cluster int, centroid array<double>")
 
 
+def _nearest(base: DataFrame, centroids: DataFrame, distance) -> DataFrame:
+    """base with cluster and cluster_dist; distance: of a row and a centroid (a struct).
+
+    A table of centroids of bounded size goes to every task as one array, so that nothing is
+    shuffled; a larger one is joined, and the minimum taken by id."""
+    if centroids.limit(MOST_CLUSTERS + 1).count() <= MOST_CLUSTERS:
+        one = centroids.agg(F.collect_list(F.struct(*centroids.columns)).alias("__centroids"))
+        best = F.array_min(F.transform("__centroids", lambda c: F.struct(distance(c).alias("dist"), c["cluster"].alias("cluster"))))
+        out = base.crossJoin(F.broadcast(one)).withColumn("__best", best)
+        return out.select(*base.columns, F.col("__best.cluster").alias("cluster"), F.col("__best.dist").alias("cluster_dist"))
+    near = base.crossJoin(centroids.select(F.struct(*centroids.columns).alias("__c"))).select("id", F.struct(distance(F.col("__c")).alias("dist"), F.col("__c.cluster").alias("cluster")).alias("__b"))
+    best = near.groupBy("id").agg(F.min("__b").alias("__b"))
+    return base.join(best.select("id", F.col("__b.cluster").alias("cluster"), F.col("__b.dist").alias("cluster_dist")), "id")
+
+
 def assign(base: DataFrame, centroids: DataFrame, metric: str = "l2sq", vector: str = "embedding") -> DataFrame:
     """The table with the nearest cluster of each row (of equal ones the least) and its distance."""
-    near = base.where(F.col(vector).isNotNull()).crossJoin(_small(centroids)).select("id", "cluster", DISTANCES[metric](F.col(vector), F.col("centroid")).alias("dist"))
-    best = near.groupBy("id").agg(F.min(F.struct("dist", "cluster")).alias("b"))
-    return base.join(best.select("id", F.col("b.cluster").alias("cluster"), F.col("b.dist").alias("cluster_dist")), "id")
+    return _nearest(base.where(F.col(vector).isNotNull()), centroids.select("cluster", "centroid"), lambda c: DISTANCES[metric](F.col(vector), c["centroid"]))
 
 
 def rank_clusters(queries: DataFrame, centroids: DataFrame, nprobe: int | None = None, metric: str = "l2sq") -> DataFrame:
@@ -118,9 +131,11 @@ def rank_imi_cells(queries: DataFrame, halves: list[DataFrame], dim: int, nprobe
 
 def proclus_assign(base: DataFrame, medoids: DataFrame, vector: str = "embedding") -> DataFrame:
     """medoids: cluster, centroid, mask.  Nearest by L1 over the cluster's dimensions, divided by their number."""
-    used = F.aggregate("mask", F.lit(0), lambda s, m: s + (m != 0).cast("int"))
-    near = base.crossJoin(_small(medoids)).select("id", "cluster", (masked_l1(F.col("mask"))(F.col(vector), F.col("centroid")) / used).alias("dist"))
-    return near.groupBy("id").agg(F.min(F.struct("dist", "cluster")).alias("b")).select("id", F.col("b.cluster").alias("cluster"), F.col("b.dist").alias("cluster_dist"))
+    def distance(c):
+        used = F.aggregate(c["mask"], F.lit(0), lambda s, m: s + (m != 0).cast("int"))
+        return masked_l1(c["mask"])(F.col(vector), c["centroid"]) / used
+
+    return _nearest(base.where(F.col(vector).isNotNull()), medoids.select("cluster", "centroid", "mask"), distance).select("id", "cluster", "cluster_dist")
 
 
 def rerank(base: DataFrame, queries: DataFrame, shortlist: DataFrame, k: int) -> DataFrame:
