@@ -113,18 +113,24 @@ class Scanner:
         for i, seeds in enumerate(self.seeds):
             for s in seeds:
                 self.of.setdefault(s, []).append(i)
-        self.hint = re.compile("|".join(map(re.escape, sorted(self.of, key=len, reverse=True))), re.I)
+        self.words = [set(ws) for _, ws in self.templates]
 
     def scan(self, text: str | None, coverage: float) -> list[tuple[str, int, int, float]]:
         """(license, start, stop, coverage) of the finds, in order."""
-        if not text or not self.hint.search(text):
+        if not text:
+            return []
+        # a template of which too many words are nowhere in the text can't be covered
+        there = set(WORD.findall(text.lower()))
+        possible = {t for t, own in enumerate(self.words) if len(own - there) <= (1 - coverage) * len(self.templates[t][1])}
+        if not possible:
             return []
         spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
         words = [text[a:b].lower() for a, b in spans]
         hits: dict[int, list[int]] = {}
         for p, w in enumerate(words):
             for t in self.of.get(w, ()):
-                hits.setdefault(t, []).append(p)
+                if t in possible:
+                    hits.setdefault(t, []).append(p)
         finds = []
         for t, places in hits.items():
             name, template = self.templates[t]
@@ -134,7 +140,10 @@ class Scanner:
                 if p < stop:
                     continue
                 low = max(0, p - reach, stop)
-                pairs = patience(template, words[low : p + reach])
+                region = words[low : p + reach]
+                if len(self.words[t].difference(region)) > (1 - coverage) * len(template):
+                    continue
+                pairs = patience(template, region)
                 if len(pairs) >= coverage * len(template):
                     first, last = low + pairs[0][1], low + pairs[-1][1]
                     stop = last + 1
