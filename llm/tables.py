@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests, one machine) a temporary folder is set."""
+    """spark.checkpoint.dir of the session.  Where it is unset: on one machine a temporary folder, on a
+    cluster a folder of the warehouse, which all executors share."""
     if at := spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
         return at
+    if not spark.sparkContext.master.startswith("local"):
+        return f"{spark.conf.get('spark.sql.warehouse.dir')}/written-tables"
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     return spark.sparkContext.getCheckpointDir()
 
