@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryvec.functions import quantize
-from quarryvec.functions.distances import l2sq, masked_l1
+from quarryvec.functions.distances import masked_l1
 from quarryvec.operators import clustering, exact, generators, graph, hybrid, ivf, metrics
 from quarryvec.operators import predicates as P
 
@@ -217,8 +217,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_build": lambda s, d: graph.build_graph(base(s, d), 4),
         "graph_search": lambda s, d: _graph(s, d, "plain"),
         "graph_two_hop": lambda s, d: _graph(s, d, "two_hop"),
-        "graph_navix": lambda s, d: _graph(s, d, "directed"),
-        "acorn_search": lambda s, d: _graph(s, d, "subgraph"),
+        "graph_directed": lambda s, d: _graph(s, d, "directed"),
+        "graph_subgraph": lambda s, d: _graph(s, d, "subgraph"),
         "graph_exhaustive": lambda s, d: _graph(s, d, "plain", ef=1 << 20),
         "graph_per_query_range": lambda s, d: graph.graph_search(base(s, d), graph.build_graph(base(s, d), 4), asked(s, d), K, options=graph.GraphOptions(ef=128), attrs=("attr_1",), bounds=(("l_1", "u_1"),)),
         "inbound_degree": lambda s, d: graph.inbound_degree(graph.build_graph(base(s, d), 4)),
