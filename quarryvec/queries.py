@@ -129,6 +129,14 @@ def _sq8(s, d):
     return exact.filtered_knn(b, q, K, P.between("attr_0", 2, 6))
 
 
+def _wave_sq8(s, d):
+    """Clusters and rows by their codes."""
+    b = base(s, d).withColumn("embedding", quantize.encode_sq8(F.col("embedding"), -1.0, 1.0))
+    q = asked(s, d).withColumn("q", quantize.encode_sq8(F.col("q"), -1.0, 1.0))
+    c = centroids(s, d).withColumn("centroid", quantize.encode_sq8(F.col("centroid"), -1.0, 1.0))
+    return ivf.wave_search(ivf.assign(b, c), q, c, K, 60, P.between("attr_0", 2, 6))
+
+
 def _code(x: str) -> str:
     return f"list_transform({x}, lambda v: least(255, greatest(0, CAST(floor((v::DOUBLE - (-1.0::DOUBLE)) / {2.0 / 255!r}::DOUBLE) AS INTEGER))))"
 
@@ -193,6 +201,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ivf_exhaustive": lambda s, d: ivf.search(_assigned(s, d), asked(s, d), centroids(s, d), K, 16, P.between("attr_0", 2, 6)),
         "ivf_wave": lambda s, d: ivf.wave_search(_assigned(s, d), asked(s, d), centroids(s, d), K, 60, P.between("attr_0", 2, 6)),
         "ivf_wave_per_query": lambda s, d: ivf.wave_search(_assigned(s, d), asked(s, d), centroids(s, d), K, 40, _ROW_BOX),
+        "ivf_wave_sq8": _wave_sq8,
         "ivf_pca": _pca_search,
         "imi_cells": lambda s, d: ivf.imi_cells(base(s, d), _halves(s, d), 64),
         "imi_search": lambda s, d: ivf.probe_search(base(s, d).join(_cells(s, d), "id"), asked(s, d), ivf.rank_imi_cells(asked(s, d), _halves(s, d), 64, 8), K, P.between("attr_0", 2, 6)),
@@ -221,6 +230,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "graph_subgraph": lambda s, d: _graph(s, d, "subgraph"),
         "graph_exhaustive": lambda s, d: _graph(s, d, "plain", ef=1 << 20),
         "graph_per_query_range": lambda s, d: graph.graph_search(base(s, d), graph.build_graph(base(s, d), 4), asked(s, d), K, options=graph.GraphOptions(ef=128), attrs=("attr_1",), bounds=(("l_1", "u_1"),)),
+        "degree_histogram": lambda s, d: graph.degree_histogram(graph.build_graph(base(s, d), 4)),
         "inbound_degree": lambda s, d: graph.inbound_degree(graph.build_graph(base(s, d), 4)),
         "hybrid_search": _hybrid("cooperative"),
         "hybrid_clusters": _hybrid("clusters"),
@@ -239,6 +249,10 @@ def oracle_sql() -> dict[str, str]:
     recall = "SELECT t.qid, count_if({hit})::BIGINT AS tp, max(t.n_truth) AS n_truth, count(f.id) AS n_result, count_if({hit}) / max(t.n_truth) AS recall, count_if({hit}) / nullif(count(f.id), 0) AS precision FROM (SELECT qid, count(*) AS n_truth, max(dist) AS farthest FROM truth GROUP BY qid) t LEFT JOIN (SELECT f.*, truth.id IS NOT NULL AS hit FROM found f LEFT JOIN truth USING (qid, id)) f ON f.qid = t.qid GROUP BY t.qid"
     hist = f"{IVF}, {_TRUTH}, hist AS (SELECT probe_rank, count(*) AS n FROM truth JOIN assigned USING (id) JOIN ranked USING (qid, cluster) GROUP BY probe_rank)"
     runs = "SELECT l_returnflag AS method, l_linestatus AS workload, l_orderkey * 10 + l_linenumber AS ts, l_extendedprice AS qps, l_discount * 10 AS recall, l_quantity AS ncomp FROM lineitem"
+    def coded(text: str) -> str:
+        """The same over codes."""
+        return text.replace(f"SELECT {ATTRS} FROM embeddings", f"SELECT {ATTRS} FROM (SELECT * REPLACE ({_code('embedding')} AS embedding) FROM embeddings)").replace(f"SELECT {QUERY} FROM embeddings", f"SELECT {QUERY} FROM (SELECT * REPLACE ({_code('embedding')} AS embedding) FROM embeddings)")
+
     masked = "abs(x[i]::DOUBLE - y[i]::DOUBLE) * CASE WHEN (i - 1) % {m} = 0 THEN 1 ELSE 0 END"
     return {
         "knn_unfiltered": _knn(),
@@ -276,6 +290,7 @@ def oracle_sql() -> dict[str, str]:
         "ivf_exhaustive": two_to_six,
         "ivf_wave": f"{IVF} {_probe_sql(wave.format(counts='SELECT cluster, count(*) AS n FROM assigned WHERE attr_0 BETWEEN 2 AND 6 GROUP BY cluster', on='r.cluster = c.cluster', efs=60), 'attr_0 BETWEEN 2 AND 6')}",
         "ivf_wave_per_query": f"{IVF} {_probe_sql(wave.format(counts=f'SELECT qid, cluster, count(*) AS n FROM assigned JOIN asked ON {_ROW_SQL} GROUP BY qid, cluster', on='r.cluster = c.cluster AND r.qid = c.qid', efs=40), _ROW_SQL)}",
+        "ivf_wave_sq8": coded(f"{IVF} {_probe_sql(wave.format(counts='SELECT cluster, count(*) AS n FROM assigned WHERE attr_0 BETWEEN 2 AND 6 GROUP BY cluster', on='r.cluster = c.cluster', efs=60), 'attr_0 BETWEEN 2 AND 6')}"),
         "imi_cells": _imi_sql(),
         "proclus_assign": f"{CTE}, near AS (SELECT id, cluster, {_fold(masked.format(m=2))} / 32 AS dist FROM (SELECT id, cluster, embedding AS x, centroid AS y FROM base, centroids)) SELECT id, cluster, dist AS cluster_dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cluster) AS r FROM near) WHERE r = 1",
         "cluster_histogram": f"{IVF} SELECT cluster, count(assigned.id) AS n FROM centroids LEFT JOIN assigned USING (cluster) GROUP BY cluster",
