@@ -50,6 +50,20 @@ def test_constant_slots_are_template_without_an_article(spark):
     assert {r["text"] for r in html_text.extract(pages(spark, same)).collect()} == {"All the same here"}
 
 
+def test_a_recurring_paragraph_leaves_the_others(spark):
+    page = "<body><article><h1>Head {i}</h1><p>First {i}</p>{line}<p>Second {i}</p></article></body>"
+    rows = [(i, "http://l.example/", page.format(i=i, line="<p>All rights reserved.</p>" if i % 2 else ""), 1, "x") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Head {i} First {i} Second {i}" for i in range(8)}
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    page = "<body><nav>Menu {n}</nav><article><h1>Head {i}</h1><p>First {i}</p><p>By the staff</p></article></body>"
+    rows = [(n, "http://c.example/", page.format(n=n, i=min(n, 4)), 1, "x") for n in range(10)]  # six of them are copies
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {n: f"Head {min(n, 4)} First {min(n, 4)}" for n in range(10)}
+
+
 def brute_match(a, b):
     """Simple tree matching by its recursive definition, on (label, children)."""
     if a[0] != b[0]:
