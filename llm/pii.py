@@ -4,7 +4,8 @@ Found and validated: payment card numbers (13 to 19 digits with an optional sing
 hyphen between groups; Luhn), phone numbers (international, or 3-3-4 digits with separators),
 IPv4 addresses (four octets of 0 to 255), US social security numbers, IBANs (mod 97), dates
 (year first, or day or month first; real days of 1600 to 2399), e-mail addresses, and keys
-(32 or more hexadecimal digits in one word).  What looks alike but isn't valid stays.
+(32 or more hexadecimal digits in one word).  What looks alike but isn't valid stays.  Where digits or capitals
+stand beside a number, every run of whole groups is tried.
 
 Numbers and dates are permuted within their format by a balanced-as-can-be Feistel network of
 ``ROUNDS`` rounds, whose round function is SHA-256 of the key, the kind, the length, the round
@@ -27,14 +28,27 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-HEX = r"[0-9a-fA-F]{32,128}"
+#: Of more than 128 digits some are decimal: a repeated syllable is no key.
+HEX = r"[0-9a-fA-F]{32,128}|(?=[a-fA-F]*[0-9])[0-9a-fA-F]{129,}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}([\-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([\-/.])[0-9]{1,2}\2[0-9]{4}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
 CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
-#: In order of preference; a match neither follows nor precedes a letter, a digit or what would go on with it.
-PII = rf"(?<![\p{{L}}\p{{N}}_]|[0-9][.\-])(?:{EMAIL}|{IBAN}|{HEX}|{DATE}|{IP}|{SSN}|{PHONE}|{CARD})(?![\p{{L}}\p{{N}}_@]|[.\-][0-9])"
+#: What neither precedes nor follows a match: a letter, a digit or what would go on with it.
+BEFORE, AFTER = r"(?<![\p{L}\p{N}_]|[0-9][.\-])", r"(?![\p{L}\p{N}_@]|[.\-][0-9])"
+#: All groups in a row that may belong to an account number or a card, without backtracking, for which a long run would need
+#: as deep a stack.  A group that a letter, a fraction, a date or an address goes on with isn't one of them.
+_ENDS = r"(?![\p{L}\p{N}_]|[./][0-9]|[A-Za-z0-9._%+\-]{0,64}@)"
+IBANS = rf"(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2}})[A-Z0-9]++{_ENDS}(?: [A-Z0-9]++{_ENDS}(?!-[0-9]))*+"
+CARDS = rf"(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++{_ENDS}(?:[ \-][0-9]++{_ENDS})*+"
+OTHERS = rf"{HEX}|{DATE}|{IP}|{SSN}|{PHONE}"
+#: In order of preference.
+PII = rf"{BEFORE}(?:{EMAIL}|{IBANS}|{OTHERS}|{CARDS}){AFTER}"
+#: Groups of a number at most.
+MOST_GROUPS = 19
+#: Length of an account number by country (ISO 13616).
+IBAN_LENGTHS = {c[:2]: int(c[2:]) for c in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20".split()}
 
 
 def _digits(x: Column) -> Column:
@@ -246,19 +260,83 @@ def pseudonym(x: Column, key: Column) -> Column:
     )
 
 
+def _part(text: Column, n: Column | int) -> Column:
+    """A text and the number of values replaced in it."""
+    return F.struct(text.alias("text"), (n if isinstance(n, Column) else F.lit(n)).alias("n"))
+
+
+def _joined(parts: Column) -> Column:
+    return _let(parts, lambda p: _part(F.array_join(p["text"], ""), F.aggregate(p["n"], F.lit(0), lambda s, n: s + n)))
+
+
+def _replaced(x: Column, pattern: str, use) -> Column:
+    """x with its matches put through ``use``, all of them parts."""
+    new = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), use)
+    return _joined(F.flatten(F.zip_with(F.split(x, pattern, -1), new, lambda p, m: F.array(_part(p, 0), F.coalesce(m, _part(F.lit(""), 0))))))
+
+
+def _single(x: Column, key: Column) -> Column:
+    return _let(pseudonym(x, key), lambda y: _part(y, (x != y).cast("int")))
+
+
+def _cut(x: Column, key: Column) -> Column:
+    """Of a run of groups: the account numbers and cards that are whole groups in a row, and the other values between them.
+
+    Of those that overlap account numbers go first, then the longest, then the first."""
+    group = "[A-Z0-9]+"
+    lengths = F.create_map(*[F.lit(v) for pair in IBAN_LENGTHS.items() for v in pair])
+
+    def kind(t: Column) -> Column:
+        is_account = t.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$") & (F.length(t) == F.coalesce(lengths[F.substring(t, 1, 2)], F.length(t)))
+        return F.when(is_account, F.when(is_iban(t), 0)).when(t.rlike("^[0-9]{13,19}$"), F.when(is_card(t), 1))
+
+    def candidate(g: Column, i: Column, j: Column) -> Column:
+        return _let(F.array_join(F.slice(g, i + 1, j - i + 1), ""), lambda t: F.struct(kind(t).alias("kind"), (-F.length(t)).alias("longest"), i.alias("i"), j.alias("j")))
+
+    def best(g: Column) -> Column:
+        ends = F.transform(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.filter(F.transform(F.sequence(i, F.least(i + MOST_GROUPS - 1, F.size(g) - 1)), lambda j: candidate(g, i, j)), lambda c: c["kind"].isNotNull()))
+        none = F.array().cast("array<struct<kind:int,longest:int,i:int,j:int>>")
+        taken = F.aggregate(F.array_sort(F.flatten(ends)), none, lambda s, c: F.when(F.exists(s, lambda k: (k["i"] <= c["j"]) & (c["i"] <= k["j"])), s).otherwise(F.concat(s, F.array(c))))
+        return F.array_sort(F.transform(taken, lambda k: F.struct(k["i"].alias("i"), k["j"].alias("j"), k["kind"].alias("kind"))))
+
+    def pieces(g: Column, marks: Column) -> Column:
+        """The numbers and what stands between them; marks: what follows each group."""
+        def some(a: Column, b: Column) -> Column:
+            return F.array_join(F.flatten(F.zip_with(F.slice(g, a + 1, b - a), F.slice(marks, a + 1, b - a), lambda c, m: F.array(c, m))), "")
+
+        def piece(text: Column, of: Column) -> Column:
+            return F.struct(text.alias("text"), of.alias("kind"))
+
+        def add(s: Column, k: Column) -> Column:
+            number = F.concat(some(k["i"], k["j"]), F.element_at(g, k["j"] + 1))
+            return F.struct((k["j"] + 1).alias("at"), F.concat(s["out"], F.array(piece(some(s["at"], k["i"]), F.lit(2)), piece(number, k["kind"]), piece(F.element_at(marks, k["j"] + 1), F.lit(3)))).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,kind:int>>").alias("out"))
+        return F.aggregate(best(g), start, add, lambda s: F.concat(s["out"], F.array(piece(some(s["at"], F.size(g)), F.lit(2)))))
+
+    def new(p: Column) -> Column:
+        others = _replaced(p["text"], f"{BEFORE}(?:{OTHERS}){AFTER}", lambda m: _single(m, key))
+        return F.when(p["kind"] == 0, _part(iban(p["text"], key), 1)).when(p["kind"] == 1, _part(card(p["text"], key), 1)).when(p["kind"] == 2, others).otherwise(_part(p["text"], 0))
+
+    both = F.struct(F.regexp_extract_all(x, F.lit(group), F.lit(0)).alias("groups"), F.split(x, group, -1).alias("marks"))
+    return _joined(F.transform(_let(both, lambda b: _let(F.slice(b["marks"], F.lit(2), F.size(b["groups"])), lambda marks: pieces(b["groups"], marks))), new))
+
+
+def replaced(x: Column, key: Column) -> Column:
+    """Of one match; a run of groups that is no valid number as a whole is cut."""
+    return _let(_single(x, key), lambda y: F.when((y["n"] == 0) & x.rlike(rf"^(?:{IBANS}|{CARDS})$"), _cut(x, key)).otherwise(y))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The table with its texts' personal data replaced, and, if asked for, the number of values replaced."""
     names = docs.columns
-    found, used = "__found", "__new"
-    while {found, used} & set(names):
-        found, used = found + "_", used + "_"
+    used = "__new"
+    while used in names:
+        used += "_"
     text = F.col(f"`{text_col}`")
-    some = text.rlike("[0-9@]|[a-fA-F]{32}")  # every match has one of these
-    df = docs.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(PII), F.lit(0))))
-    df = df.withColumn(used, F.when(F.size(found) > 0, F.transform(found, lambda x: pseudonym(x, F.lit(key)))))
-    joined = F.array_join(F.flatten(F.zip_with(F.split(text, PII, -1), F.col(used), lambda p, m: F.array(p, F.coalesce(m, F.lit(""))))), "")
-    df = df.withColumn(text_col, F.when(F.size(found) > 0, joined).otherwise(text))
+    some = text.rlike("[0-9@]|[a-fA-F]{32}") & text.rlike(PII)  # every match has one of the first
+    df = docs.withColumn(used, F.when(some, _replaced(text, PII, lambda x: replaced(x, F.lit(key)))))
+    df = df.withColumn(text_col, F.coalesce(F.col(used)["text"], text))
     if count_col:
-        changed = F.size(F.filter(F.arrays_zip(F.col(found).alias("a"), F.col(used).alias("b")), lambda z: z["a"] != z["b"]))
-        df = df.withColumn(count_col, F.when(F.size(found) > 0, changed).otherwise(0).cast("long"))
+        df = df.withColumn(count_col, F.coalesce(F.col(used)["n"], F.lit(0)).cast("long"))
     return df.select(*[f"`{c}`" for c in names], *([count_col] if count_col else []))

@@ -172,6 +172,22 @@ def test_what_is_not_valid_stays(spark, odd_texts):
     assert replaced(spark, texts) == texts
 
 
+def test_numbers_beside_other_groups(spark):
+    card, iban, key = "4111 1111 1111 1111", "BE68 5390 0754 7034", "9f86d081884c7d65" * 16
+    others = ["{} 123", "{} 12/27", "{} 12", "no. 7 {}", "12 34 {} 99", "{} 31/12/1999", "2020-02-29 {} 7"]
+    texts = [o.format(card) for o in others] + ["no. 7 4111-1111-1111-1111", "4111-1111-1111-1111-1234", "4111-1111-1111-1111-123"]
+    texts += [f"{iban} EUR", "BE68539007547034 EUR", f"AB12 CD34 EF56 GH78 {iban} PAID NOW", f"{iban} {card}", f"AB12 CD34 EFGH {card} 5500 0000 0000 0004 415 555 0199"]
+    texts += [f"key {key}", "call 7 415 555 0199 22 33"]
+    left = ["4111 1111 1111 1112 123", "BE69 5390 0754 7034 EUR", "AB12 CD34 EFGH JOHN", "1 " * 5_000]
+    n = len(texts)
+    got = replaced(spark, [*texts, card, iban, *left])
+    for t, g in zip(texts, got):
+        assert len(t) == len(g) and not any(v in g for v in (card, card.replace(" ", "-"), iban, iban.replace(" ", ""), key, "5500 0000 0000 0004", "415 555 0199", "31/12/1999", "2020-02-29")), t
+    alone = got[n : n + 2]
+    assert got[0] == f"{alone[0]} 123" and got[1] == f"{alone[0]} 12/27" and got[3] == f"no. 7 {alone[0]}" and got[10] == f"{alone[1]} EUR" and got[13] == f"{alone[1]} {alone[0]}"
+    assert got[n + 2 :] == left
+
+
 def test_permutations(spark):
     n = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = [r[0] for r in n.select(pii.permuted_digits(F.col("d"), F.lit("k"), "t")).collect()]
