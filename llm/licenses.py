@@ -101,27 +101,44 @@ def patience(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(set(out))
 
 
+def may_miss(words: list[str], coverage: float) -> int:
+    """How many of a template's words a find may lack."""
+    return int((1 - coverage) * len(words) + 1e-9)
+
+
 class Scanner:
     """Templates with the words by which they are looked for."""
 
-    def __init__(self, found: list[tuple[str, list[str]]] | None = None):
+    def __init__(self, found: list[tuple[str, list[str]]] | None = None, coverage: float = 0.9):
         self.templates = found or templates()
         total = Counter(w for _, ws in self.templates for w in set(ws))
-        #: The few words of each template that are in the fewest templates, the longest of them.
-        self.seeds = [sorted(set(ws), key=lambda w: (total[w] if len(w) > 2 else 99, -len(w), w))[: 1 + len(ws) // 20] for _, ws in self.templates]
+        #: The words of each template that are in the fewest templates, the longest of them: one more than may be missing.
+        self.seeds = [sorted(set(ws), key=lambda w: (total[w] if len(w) > 2 else 99, -len(w), w))[: 1 + may_miss(ws, coverage)] for _, ws in self.templates]
         self.of: dict[str, list[int]] = {}
         for i, seeds in enumerate(self.seeds):
             for s in seeds:
                 self.of.setdefault(s, []).append(i)
         self.words = [set(ws) for _, ws in self.templates]
 
+    def regions(self, t: int, words: list[str], p: int, reach: int, miss: int) -> Iterator[tuple[int, int]]:
+        """Where template t may stand around its seed at p; copies close together leave no word unique, so narrower ones follow:
+        to the next repetition of the seed, and as the seed stands in the template."""
+        template = self.templates[t][1]
+        low, high = max(0, p - reach), min(len(words), p + reach)
+        yield low, high
+        same = [q for q in range(low, high) if words[q] == words[p] and q != p]
+        if same:
+            yield max((q + 1 for q in same if q < p), default=low), min((q for q in same if q > p), default=high)
+            for q in (q for q, w in enumerate(template) if w == words[p]):
+                yield p - q - miss, p - q + len(template) + miss
+
     def scan(self, text: str | None, coverage: float) -> list[tuple[str, int, int, float]]:
         """(license, start, stop, coverage) of the finds, in order."""
         if not text:
             return []
         # a template of which too many words are nowhere in the text can't be covered
         there = set(WORD.findall(text.lower()))
-        possible = {t for t, own in enumerate(self.words) if len(own - there) <= (1 - coverage) * len(self.templates[t][1])}
+        possible = {t for t, own in enumerate(self.words) if len(own - there) <= may_miss(self.templates[t][1], coverage)}
         if not possible:
             return []
         spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
@@ -139,15 +156,17 @@ class Scanner:
             for p in places:
                 if p < stop:
                     continue
-                low = max(0, p - reach, stop)
-                region = words[low : p + reach]
-                if len(self.words[t].difference(region)) > (1 - coverage) * len(template):
+                miss = may_miss(template, coverage)
+                if len(self.words[t].difference(words[max(0, p - reach, stop) : p + reach])) > miss:
                     continue
-                pairs = patience(template, region)
-                if len(pairs) >= coverage * len(template):
-                    first, last = low + pairs[0][1], low + pairs[-1][1]
-                    stop = last + 1
-                    finds.append((len(pairs), first, last, name, len(pairs) / len(template)))
+                for low, high in self.regions(t, words, p, reach, miss):
+                    low = max(0, low, stop)
+                    pairs = patience(template, words[low:high])
+                    if len(pairs) >= len(template) - miss:
+                        first, last = low + pairs[0][1], low + pairs[-1][1]
+                        stop = last + 1
+                        finds.append((len(pairs), first, last, name, len(pairs) / len(template)))
+                        break
         finds.sort(key=lambda f: (-f[0], f[1], f[3]))
         kept: list[tuple] = []
         for f in finds:
@@ -156,12 +175,12 @@ class Scanner:
         return [(name, spans[a][0], spans[b][1], share) for _, a, b, name, share in sorted(kept, key=lambda f: f[1])]
 
 
-def scan(docs: DataFrame, coverage: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, license, start, stop (characters), coverage: one row for each find."""
+def scan(docs: DataFrame, coverage: float = 0.9, id_col: str = "doc_id", text_col: str = "text", more: list[tuple[str, str]] | None = None) -> DataFrame:
+    """id, license, start, stop (characters), coverage: one row for each find; more: further (license, text) to look for."""
     id_sql = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner()
+        scanner = Scanner(templates() + [(name, WORD.findall(t.lower())) for name, t in more or []], coverage)
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column(1)):

@@ -216,6 +216,14 @@ def test_licenses(make_docs, odd_texts):
     assert licenses.scan(make_docs([])).count() == 0
 
 
+def test_licenses_without_a_rare_word_and_close_copies(make_docs):
+    texts = ["This software is licensed under the terms of the MIT license.", "Released under the MIT License.\nReleased under the MIT License.", "may be used by members of the club only"]
+    got = {}
+    for r in licenses.scan(make_docs(texts), more=[("Club", texts[2])]).collect():
+        got.setdefault(r["doc_id"], []).append((r["license"], texts[r["doc_id"]][r["start"] : r["stop"]]))
+    assert got[0][0][0] == "MIT" and got[1] == [("MIT", "Released under the MIT License")] * 2 and got[2] == [("Club", texts[2])]
+
+
 def test_patience_alignment():
     r = random.Random(9)
     for _ in range(200):
