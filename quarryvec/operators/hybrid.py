@@ -17,13 +17,14 @@ from quarryvec.operators.predicates import Predicate
 @dataclass(frozen=True)
 class SearchOptions:
     """strategy: auto, exact, graph, clusters or cooperative; efs rows are gathered by the clusters, nprobe is the
-    least number of clusters; exact_rows: up to so many passing rows the planner searches exactly."""
+    least number of clusters; exact_rows: up to so many passing rows the planner searches exactly, at any number by default,
+    so that the result's kind doesn't turn on the size of the input."""
 
     strategy: str = "auto"
     k: int = 10
     efs: int = 100
     nprobe: int = 1
-    exact_rows: int = 1_000_000
+    exact_rows: int | None = None
     sparse: float = 0.05
     walk: graph.GraphOptions = field(default_factory=graph.GraphOptions)
 
@@ -53,11 +54,13 @@ def load(spark, path: str) -> Index:
 
 
 def choose(base: DataFrame, predicate: Predicate | None, options: SearchOptions) -> str:
-    """exact if few rows pass, clusters if a small share does, cooperative otherwise."""
+    """exact without a bound or if few rows pass, clusters if a small share does, cooperative otherwise."""
     if options.strategy != "auto":
         return options.strategy
     if predicate and predicate.per_query:
         return "cooperative"
+    if options.exact_rows is None:
+        return "exact"
     row = base.agg(F.count("*").alias("n"), F.count_if(predicate.column() if predicate else F.lit(True)).alias("n_pass")).first()
     if row["n_pass"] <= options.exact_rows:
         return "exact"

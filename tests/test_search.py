@@ -130,6 +130,10 @@ def test_hybrid_strategies_and_saved_index(cloud, asked, spark, tmp_path):
     assert hybrid.choose(cloud, P.equals("b", 3), hybrid.SearchOptions(exact_rows=1)) == "clusters"
 
 
+def test_the_planner_is_exact_at_every_size(spark):
+    assert hybrid.choose(spark.range(1_500_000), None, hybrid.SearchOptions()) == "exact"
+
+
 def test_medoid_is_the_central_row(cloud):
     centroids = cloud.where("id < 4").selectExpr("cast(id as int) cluster", "embedding centroid")
     assigned = ivf.assign(cloud, centroids).cache()
