@@ -64,6 +64,14 @@ def test_copies_of_an_article_are_no_template(spark):
     assert got == {n: f"Head {min(n, 4)} First {min(n, 4)}" for n in range(10)}
 
 
+def test_template_over_pages_of_different_forms(spark):
+    tags = ["h2", "ul", "blockquote", "pre", "h3", "dl"]
+    page = "<body><article><div>Standing line</div><h1>Head {i}</h1>{own}</article></body>"
+    rows = [(i, "http://f.example/", page.format(i=i, own=f"<{t}>Own {i}</{t}>"), 1, "x") for i, t in enumerate(tags)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Head {i} Own {i}" for i in range(6)}
+
+
 def brute_match(a, b):
     """Simple tree matching by its recursive definition, on (label, children)."""
     if a[0] != b[0]:
