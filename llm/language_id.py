@@ -1,18 +1,23 @@
 """Language identification by hierarchical discrimination (operator 3).
 
-A text is first given a language family, then a language within it: linear support vector
-machines, one against the rest, at both levels.  Features are hashed character n-grams
+A text is first given a language family by linear support vector machines, one for each family against
+the rest; within the family every two languages have a machine of their own (one-versus-one), and
+the language that wins the most of its pairs is taken, of equal ones the one with the greater sum of margins.  Features are hashed character n-grams
 (1 to ``LONGEST`` bytes) of the words in lower case, with a mark at either end of a word; a text's
 vector is their frequency, damped and scaled to length 1.  The families are Germanic, Romance,
 Slavic, and so on for the usual codes; a language of no known family is a family of its own.
 
 Training takes a bounded sample: of each language the ``PER_LANGUAGE`` eligible texts of the smallest
-keyed hash, and at most ``LANGUAGES`` languages, the most frequent (both are parameters).  The machines are fitted on the driver by averaged stochastic subgradient descent in a
-fixed order, so that a rerun gives the same model; it has a fixed size.  Prediction reads the
+keyed hash, fewer if that were over ``TEXTS`` in all, each with its ``FEATURES`` strongest features; and at most ``LANGUAGES``
+languages, the most frequent, so that a rarer one is never predicted (all are parameters).  The texts are counted first, which gives the share of hashes
+to look at, so that the candidates are as few at any size.  Vectors are made where the texts are; the driver gets at most
+``TEXTS`` * ``FEATURES`` numbers.  The machines are fitted there by averaged stochastic subgradient descent in a
+fixed order, so that a rerun gives the same model; its size is fixed by the languages.  Prediction reads the
 whole text, a batch at a time, without a shuffle.
 
 Null text, and text without a letter, is ``und`` with score 0; so is everything if there is
-nothing to learn from.  Null languages aren't learned.  Other columns don't matter.
+nothing to learn from, as in an empty table.  Null languages aren't learned.  Repeated rows are judged each; in the sample equal rows (id and text) may
+all be taken.  Other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANGUAGE, LANGUAGES = 400, 200
+PER_LANGUAGE, LANGUAGES, TEXTS, FEATURES = 400, 200, 20_000, 2048
 BITS, LONGEST, EPOCHS, LAMBDA = 15, 4, 8, 1e-5
 BLOCK_CHARS = 1 << 19
 NOTHING = 1 << BITS
@@ -86,74 +91,115 @@ def frequencies(texts: list[str | None]) -> Iterator[np.ndarray]:
         at = stop + 3
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray]], classes: list[str], names: list[str]) -> np.ndarray:
-    """One machine against the rest for each name: weights, and the bias in the last column."""
-    out = np.zeros((len(names), (1 << BITS) + 1))
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def train(samples: list[Sparse], sign: np.ndarray) -> np.ndarray:
+    """A machine for each row of sign (1, -1, or 0 where a sample isn't its business): weights, and the bias in the last column."""
+    out = np.zeros((len(sign), (1 << BITS) + 1))
     rng = np.random.default_rng(1)
-    target = np.array([names.index(c) for c in classes])
-    sign = np.where(target[None, :] == np.arange(len(names))[:, None], 1.0, -1.0)
-    share = np.maximum(1, (sign > 0).sum(1))
-    weight = np.where(sign > 0, len(classes) / (2.0 * share[:, None]), len(classes) / (2.0 * np.maximum(1, len(classes) - share)[:, None]))
-    w, total, steps, scale = np.zeros_like(out), np.zeros_like(out), 0, 1.0
+    own = [np.flatnonzero(sign[:, i]) for i in range(len(samples))]
+    n = np.maximum(1, (sign != 0).sum(1))[:, None]
+    weight = np.where(sign > 0, n / (2.0 * np.maximum(1, (sign > 0).sum(1)))[:, None], n / (2.0 * np.maximum(1, (sign < 0).sum(1)))[:, None])
+    w, total, steps = np.zeros_like(out), np.zeros_like(out), 0
     for epoch in range(EPOCHS):
         for i in rng.permutation(len(samples)):
             steps += 1
             rate = 0.5 / (1 + 0.5 * steps / len(samples))
             used, value = samples[i]
-            margin = (w[:, used] @ value + w[:, -1]) * sign[:, i]
-            push = np.where(margin < 1, rate * sign[:, i] * weight[:, i], 0.0)
+            rows = own[i]
+            cells = np.ix_(rows, used)
+            margin = (w[cells] @ value + w[rows, -1]) * sign[rows, i]
+            push = np.where(margin < 1, rate * sign[rows, i] * weight[rows, i], 0.0)
             if push.any():
-                w[:, used] += push[:, None] * value[None, :]
-                w[:, -1] += 0.1 * push
+                w[cells] += push[:, None] * value[None, :]
+                w[rows, -1] += 0.1 * push
         w *= 1 - LAMBDA * len(samples) * rate
         if epoch >= EPOCHS // 2:
             total += w
     return (total / (EPOCHS - EPOCHS // 2)).astype(np.float32)
 
 
+def one_against_rest(samples: list[Sparse], classes: list[str], names: list[str]) -> np.ndarray:
+    return train(samples, np.array([[1.0 if c == n else -1.0 for c in classes] for n in names]))
+
+
+def pairs_of(names: list[str]) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
+
+
+def one_versus_one(samples: list[Sparse], classes: list[str], names: list[str]) -> np.ndarray:
+    """A machine for every two names, in the order of pairs_of(): positive for the first."""
+    return train(samples, np.array([[1.0 if c == names[i] else -1.0 if c == names[j] else 0.0 for c in classes] for i, j in pairs_of(names)]))
+
+
+def vote(margins: np.ndarray, n: int) -> tuple[int, float]:
+    """The winner of the pairs' votes, and how sure its narrowest pair is (0 to 1)."""
+    votes, sums, least = np.zeros(n), np.zeros(n), np.full(n, np.inf)
+    for (i, j), m in zip(pairs_of(list(range(n))), margins.tolist()):
+        votes[i if m >= 0 else j] += 1
+        for k, own in ((i, m), (j, -m)):
+            sums[k] += own
+            least[k] = min(least[k], own)
+    best = max(range(n), key=lambda k: (votes[k], sums[k], -k))
+    return best, float(1 / (1 + np.exp(-6 * least[best])))
+
+
 class Model:
-    """Machines for the families, and for the languages of each family."""
-
-    def __init__(self, samples: list[tuple[str, str]]):
-        known = []
-        for (lang, _), value in zip(samples, frequencies([text for _, text in samples])):
-            used = np.flatnonzero(value)
-            if len(used):
-                known.append((lang, (used, value[used].astype(float))))
+    """Machines for the families, and for every two languages of a family."""
+
+    def __init__(self, samples: list[tuple[str, Sparse]]):
+        known = [(lang, v) for lang, v in samples if len(v[0])]
         self.families = sorted({family(lang) for lang, _ in known})
         self.languages = {f: sorted({lang for lang, _ in known if family(lang) == f}) for f in self.families}
-        self.top = train([v for _, v in known], [family(lang) for lang, _ in known], self.families) if len(self.families) > 1 else None
-        self.inner = {f: train([v for lang, v in known if family(lang) == f], [lang for lang, _ in known if family(lang) == f], names) for f, names in self.languages.items() if len(names) > 1}
+        self.top = one_against_rest([v for _, v in known], [family(lang) for lang, _ in known], self.families) if len(self.families) > 1 else None
+        self.inner = {}
+        for f, names in self.languages.items():
+            if len(names) > 1:
+                own = [(lang, v) for lang, v in known if family(lang) == f]
+                self.inner[f] = one_versus_one([v for _, v in own], [lang for lang, _ in own], names)
 
     def predict(self, value: np.ndarray) -> tuple[str, float]:
-        def best(w: np.ndarray | None, names: list[str]) -> tuple[str, float]:
-            if w is None:
-                return names[0], 1.0
-            margin = (w[:, :-1] @ value + w[:, -1]).astype(float)
-            i = int(margin.argmax())
-            return names[i], float(1 / (1 + np.exp(-3 * (margin[i] - np.delete(margin, i).max()))))
-
         if not self.families:
             return "und", 0.0
-        f, sure = best(self.top, self.families)
-        lang, surer = best(self.inner.get(f), self.languages[f])
-        return lang, sure * surer
-
-
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible: Column, per_language: int, languages: int) -> list[tuple[str, str]]:
-    """Bounded sample of labelled texts, chosen by the hash of their ids."""
-    lang = F.col(lang_col).cast("string")
-    rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(lang.alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.lit(7)).alias("h"), F.col(text_col).alias("text"))
-    most = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    # an even spread of hashes: the first per_language of each language lie below a threshold that is found first
-    low = {r["lang"]: r["q"] for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.percentile_approx("h", [i / 1000 for i in range(1, 1001)], 10000).alias("qs")).select("lang", F.element_at("qs", F.greatest(F.lit(1), F.least(F.lit(1000), F.ceil(F.lit(1200.0 * per_language) / F.col("n")))).cast("int")).alias("q")).where(F.col("lang").isin(most)).collect()} if most else {}
-    if not low:
+        i, sure = 0, 1.0
+        if self.top is not None:
+            margin = (self.top[:, :-1] @ value + self.top[:, -1]).astype(float)
+            i = int(margin.argmax())
+            sure = float(1 / (1 + np.exp(-3 * (margin[i] - np.delete(margin, i).max()))))
+        names = self.languages[self.families[i]]
+        if (w := self.inner.get(self.families[i])) is None:
+            return names[0], sure
+        k, surer = vote((w[:, :-1] @ value + w[:, -1]).astype(float), len(names))
+        return names[k], sure * surer
+
+
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, eligible: Column, per_language: int, languages: int, texts: int = TEXTS, features: int = FEATURES) -> list[tuple[str, Sparse]]:
+    """Bounded sample of labelled texts as vectors, chosen by the hash of id and text."""
+    rows = docs.where(eligible & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit(7)).alias("h"), F.col(text_col).alias("text"))
+    most = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    if not most:
         return []
+    wanted = max(1, min(per_language, texts // len(most)))
     below = F.lit(False)
-    for name, q in low.items():
-        below = below | ((F.col("lang") == name) & (F.col("h") <= q))
-    few = rows.where(below).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_language)
-    return sorted((r["lang"], r["text"]) for r in few.collect())
+    for name, n in most.items():  # hashes are spread evenly: this share of them has a quarter more than are wanted, and some
+        share = (1.25 * wanted + 50) / n
+        below = below | ((F.col("lang") == name) & (F.col("h") <= (2**63 - 1 if share >= 1 else int(share * 2.0**64) - 2**63)))
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                value = next(frequencies([batch.column(2)[i].as_py()]))
+                used = np.flatnonzero(value)
+                if len(used) > features:
+                    used = np.sort(used[np.argsort(-value[used], kind="stable")[:features]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([used.astype(np.int32).tobytes()]), pa.array([value[used].tobytes()])], ["lang", "h", "used", "value"])
+
+    few = rows.where(below).mapInArrow(vectors, "lang string, h long, used binary, value binary")
+    few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "used"))).where(F.col("rank") <= wanted)
+    found = sorted((r["lang"], r["h"], bytes(r["used"]), bytes(r["value"])) for r in few.collect())  # texts * features numbers at most
+    return [(lang, (np.frombuffer(u, np.int32), np.frombuffer(v, np.float32).astype(float))) for lang, _, u, v in found]
 
 
 def identify(docs: DataFrame, eligible: Column, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
