@@ -33,7 +33,7 @@ def test_article_of_pages(spark):
 
 def test_odd_markup():
     def text(page):
-        return html_text.main_text(html_text.parse(page), [], set())
+        return html_text.main_text(html_text.parse(page))
 
     assert text('<article><div class="entry-header"><h1>Title</h1></div><p title="a > b">one<p class="x>two</article>') == "Title one two"
     assert text("<article><p>a<br/>b<script>if (x < 3) y('</p>')</script> c<!-- no --> d</p><ul><li>e<li>f</ul></article><div id=comments>g</div>") == "a b c d e f"
@@ -91,17 +91,84 @@ def test_tree_matching():
     def tree(depth):
         return (r.choice("ab") if depth < 3 else "r", [tree(depth - 1) for _ in range(r.randrange(0, 4))] if depth else [])
 
-    def text(t):
-        return t[0] + ("(" + ",".join(map(text, t[1])) + ")" if t[1] else "")
+    def as_form(t):
+        parents, labels = [], []
 
-    for _ in range(60):
+        def put(t, parent):
+            at = len(parents)
+            parents.append(parent)
+            labels.append(ord(t[0]))
+            for c in t[1]:
+                put(c, at)
+
+        put(t, -1)
+        assert html_text.unpacked(html_text.packed((parents, labels))) == (parents, labels)
+        return parents, labels
+
+    for _ in range(200):
         a, b = tree(3), tree(3)
-        pairs = html_text.align(text(a), text(b))
+        pairs = html_text.align(as_form(a), as_form(b))
         assert sum(p >= 0 for p in pairs) == brute_match(a, b)
         used = [p for p in pairs if p >= 0]
         assert used == sorted(set(used))
 
 
+def test_any_class_name_depth_and_form(spark):
+    odd = ["a)", "w-[calc(100%-2px)]", "grid-[1fr,2fr]", "x(y", "l" * 90 + "1", "l" * 90 + "2"]
+    page = '<body><div class="{c}"><p>Standing line</p></div><article><div class="{c}"><h1>Head {i}</h1></div>{deep}<p>Own {i}</p></article><div class="end">The end of all</div></body>'
+    rows = [(i, "http://o.example/", page.format(c=c, i=i, deep="<div>" * 50 * i + "</div>" * 50 * i), 1, "x") for i, c in enumerate(odd)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Head {i} Own {i}" for i in range(6)}
+    deep = "<nav>" + "<div>" * 5000 + "MENU" + "</div>" * 5000 + "</nav>" + "<div>" * 3000 + "<p>text"
+    assert html_text.main_text(html_text.parse(deep)) == "text"
+    assert html_text.main_text(html_text.parse('<article><p>a</p><figure class="side"><figcaption>b</figcaption></figure></article>')) == "a b"
+
+
+def test_one_page_a_form(spark):
+    """Alone, each form's footer is seen once; aligned, it is on all pages."""
+    own = ["<p>Story {i} is here</p>", "<h2>Story {i} is here</h2>", "<ul><li>Story {i} is here</ul>", "<blockquote>Story {i} is here</blockquote>"]
+    rows = [(i, "http://q.example/", "<body><div class=top>" + o.format(i=i) + "</div><div class=low>All rights are with us</div></body>", 1, "x") for i, o in enumerate(own)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages(spark, rows)).collect()}
+    assert got == {i: f"Story {i} is here" for i in range(4)}
+
+
+def test_pairs_vote():
+    """One machine for every two languages, and the votes of all of them."""
+    r = np.random.default_rng(4)
+    names = ["en", "de", "nl", "sv", "da"]
+    samples = []
+    for k, lang in enumerate(names):
+        for _ in range(30):
+            used = np.sort(r.choice(np.arange(40 * k, 40 * k + 60), 20, replace=False))
+            samples.append((lang, (used.astype(np.int32), np.full(20, 20**-0.5))))
+    model = language_id.Model([*samples, ("fr", (np.array([900], np.int32), np.ones(1)))])
+    assert model.languages["germanic"] == sorted(names) and model.inner["germanic"].shape[0] == 10 and "romance" not in model.inner
+    w, order = model.inner["germanic"].astype(float), sorted(names)
+    right = 0
+    for lang, (used, value) in samples:
+        whole = np.zeros(1 << language_id.BITS, np.float32)
+        whole[used] = value
+        wins, sums, at = dict.fromkeys(order, 0), dict.fromkeys(order, 0.0), 0
+        for i, x in enumerate(order):
+            for y in order[i + 1 :]:
+                m = w[at, :-1] @ whole + w[at, -1]
+                wins[x if m >= 0 else y] += 1
+                sums[x], sums[y], at = sums[x] + m, sums[y] - m, at + 1
+        pred, score = model.predict(whole)
+        if pred != "fr":
+            assert pred == max(order, key=lambda x: (wins[x], sums[x])) and 0 <= score <= 1
+        right += pred == lang
+    assert right > 0.9 * len(samples)
+
+
+def test_the_sample_is_bounded(spark, make_docs):
+    rows = [(i, f"words number {i} in the language", ["en", "de", "fr", "es"][i % 4], "s", 0, 1, "x") for i in range(4000)]
+    docs = spark.createDataFrame(rows, make_docs([]).schema)
+    found = language_id.sample(docs, "doc_id", "text", "lang", F.lit(True), 50, 3, texts=120, features=30)
+    assert len(found) == 120 and len({lang for lang, _ in found}) == 3 and all(len(u) <= 30 and len(u) == len(v) for _, (u, v) in found)
+    assert found[0][0] == language_id.sample(docs.repartition(7), "doc_id", "text", "lang", F.lit(True), 50, 3, texts=120, features=30)[0][0]
+
+
 def test_languages(spark, make_docs):
     r = random.Random(1)
     letters = {"en": "the and with thing house water", "de": "der und mit ding haus wasser ich", "fr": "le et avec chose maison eau je", "es": "el y con cosa casa agua yo", "xx": "zzq qqz zqz"}
