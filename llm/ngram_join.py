@@ -2,8 +2,9 @@
 
 Two documents link when percent% or more of the union of their shingle sets is shared.
 
-*Classes.*  Documents with equal sets are one class, found by a hash of the set; everything
-below is between classes, so copies never become pairs.
+*Classes.*  Documents with equal sets are one class, found by a 128-bit hash of the set; everything
+below is between classes, so copies never become pairs.  Half of the hash names a class; a half that two sets
+share is found by the other half, and then that names them.
 
 *Order.*  Prefixes need one order of all shingles, rare ones first.  Blocks of documents count
 their shingles and hand on those that they hold twice or more: by the pigeonhole principle no
@@ -18,8 +19,14 @@ longer prefix meets, plus the verification of the candidates that are then left
 further match asked for is taken to leave one in ``DECAY``).  A pair is
 a candidate if it shares min(l, l') prefix shingles or more.
 
-*Verification.*  A shingle that over ``BUCKET`` classes have in their prefixes doesn't make
-pairs: its classes are tied to one of them.  Components of candidates and ties are groups;
+*Frequent prefix shingles.*  A shingle that over ``BUCKET`` classes have in their prefixes makes no
+pairs.  Let r be what a set has left from it on, in the order: a pair of which it is the first shared shingle shares min(r, r')
+at most, and so can only link if each set's size is in the range of sizes that the other's r allows.
+Sizes are rounded to bands; the classes of two bands that allow each other are tied to one of them, all
+others aren't: texts that share a passage and differ in rarer words
+never meet.  A pair's frequent shingles may then be missing from its count, so that as many fewer are asked for.
+
+*Verification.*  Components of candidates and ties are groups;
 the set of a class is read once, in its group, where breadth-first search over an inverted
 list finds the links: each class found is taken out of the lists, so near copies by the
 thousand cost about as much as their text.  A group of more than ``BLOCK`` classes is dealt into
@@ -27,8 +34,9 @@ blocks; then the best connected classes of the parts found are held together; an
 isn't in the group's largest part is held against all its blocks.  No link is lost.
 
 Null text and text without words: an empty set, linked with nothing.  Fewer words than n:
-the whole sequence is the one shingle.  Rows with the same id each get a result row; other
-columns don't matter.  Set and shingle identity is that of 64-bit hashes.
+the whole sequence is the one shingle.  Each row is a document of its own: rows with the same id or none each get a result row, by
+their own text; the smallest id passes over nulls, and is null only if there is no other.  An empty table gives an empty result; other
+columns don't matter.  Shingle identity is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,7 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.components import components
@@ -89,10 +97,20 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     return out
 
 
-def set_key(s: np.ndarray) -> int:
-    """Signed 64-bit hash of a set."""
-    total = mixed(s ^ C3).sum(dtype=np.uint64, keepdims=True) + np.array([len(s)], np.uint64) * C2
-    return int(mixed(total).view(np.int64)[0])
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit hashes of each set."""
+    out = np.zeros((len(sets), 2), np.uint64)
+    for i, s in enumerate(sets):
+        out[i] = mixed(s ^ C3).sum(dtype=np.uint64) + np.uint64(len(s)) * C2 if len(s) < 1 << 32 else 0, mixed(s + C2, MIX2).sum(dtype=np.uint64)
+    out[:, 0], out[:, 1] = mixed(out[:, 0].copy()), mixed(out[:, 1] ^ C3)
+    return out.view(np.int64)
+
+
+def named(sets: list[np.ndarray], shared: frozenset[int], bits: int) -> np.ndarray:
+    """The name of each set's class: half of its hash (``bits`` of it: fewer in tests), or the other half where that is shared."""
+    keys = set_keys(sets)
+    first = keys[:, 0] >> np.int64(64 - bits)
+    return np.where(np.isin(first, np.array(sorted(shared), np.int64)), keys[:, 1], first) if shared else first
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
@@ -130,7 +148,7 @@ class Order:
         return out
 
     def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-        """The prefix of a set (sorted) and the number of matches that it asks for."""
+        """The prefix of a set in its order, and the number of matches that it asks for."""
         n = len(s)
         count = self.count(s)
         length = n - int(needed(n, percent)) + 1
@@ -146,6 +164,27 @@ class Order:
         return s[by[: length + l - 1]], l
 
 
+def band(n: Column) -> Column:
+    """Of a size: exact up to 40, then of a width of 2 percent."""
+    return F.when(n <= 40, n).otherwise(40 + F.floor(F.log(n / 40.0) / float(np.log(1.02)))).cast("int")
+
+
+def ties(hot: DataFrame, percent: int) -> DataFrame:
+    """hot: shingle, key, n, place (in the prefix).  Links (a, b) that hold together all classes that may link with the shingle as the first they share.
+
+    Sets of n and m shingles link if they share (n + m) * percent / (100 + percent) or more; left from the shingle on are r = n - place."""
+    share = percent / (100.0 + percent)
+    n, r = F.col("n"), F.col("n") - F.col("place")
+    low = F.greatest(F.lit(1), F.floor(n * (percent / 100.0) - 1e-6).cast("int"))
+    high = F.floor(r / share - n + 1e-6).cast("int")
+    reach = hot.withColumn("own", band(n)).withColumn("other", F.explode(F.when(high >= low, F.sequence(band(low), band(high))).otherwise(F.array().cast("array<int>"))))
+    sides = reach.select("shingle", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.when(F.col("own") < F.col("other"), 0).when(F.col("own") > F.col("other"), 1).alias("side"))
+    lots = ["shingle", "x", "y"]
+    both = sides.groupBy(*lots).agg(F.min("key").alias("hub"), F.max("key").alias("last"), F.min("side").alias("first_side"), F.max("side").alias("last_side"))
+    both = both.where((F.col("hub") < F.col("last")) & ((F.col("x") == F.col("y")) | (F.col("first_side") < F.col("last_side")))).select(*lots, "hub")
+    return sides.join(both, lots).where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b"))
+
+
 def linked_parts(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Breadth-first search among sets: the part of each (number of one of its members), links that were found of each."""
     m = len(sets)
@@ -211,16 +250,18 @@ def cross_links(few: list[tuple], many: list[tuple], percent: int) -> list[tuple
     return sorted(out)
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
     """id, n_shingles, component_id: the smallest id that the document reaches by links."""
     spark = docs.sparkSession
     id_sql = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # a row is known by the hash of id and text; what is looked up by it is checked by the set's key
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches, 1):
             sets = shingle_sets(values, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["id", "key", "n_shingles"])
+            keys = set_keys(sets)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys[:, 0] >> np.int64(64 - key_bits)), pa.array(keys[:, 1].copy()), pa.array([len(s) for s in sets], pa.int64())], ["id", "row", "key", "other", "n_shingles"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def several(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -238,7 +279,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
         if held:
             yield several(held)
 
-    keys = written(texts.mapInArrow(keyed, f"id {id_sql}, key long, n_shingles long"), "set-keys")
+    hashed = written(texts.mapInArrow(keyed, f"id {id_sql}, row long, key long, other long, n_shingles long"), "set-keys")
+    # of m sets about m * m / 2**65 share half of the hash: none up to a billion, some hundreds of a hundred billion
+    twice = hashed.groupBy("key").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a < b").select("key")
+    common_keys = frozenset(r["key"] for r in twice.collect())
+    keys = hashed.withColumn("key", F.when(F.col("key").isin(*common_keys), F.col("other")).otherwise(F.col("key"))) if common_keys else hashed
+    keys = keys.drop("other")
     totals = written(texts.select("text").mapInArrow(counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")), "shingle-counts")
     least, held = 2, 0
     for row in totals.groupBy(F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("shingles")).orderBy(F.desc("n")).collect():
@@ -264,28 +310,39 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
             sets = [s for s in shingle_sets(values, n) if len(s)]
             chosen = [known.prefix(s, percent) for s in sets]
             size = [len(p) for p, _ in chosen]
-            columns = [np.concatenate([p for p, _ in chosen] or [np.zeros(0, np.uint64)]).view(np.int64), np.repeat(np.array([set_key(s) for s in sets], np.int64), size), np.repeat(np.array([len(s) for s in sets], np.int32), size), np.repeat(np.array([l for _, l in chosen], np.int32), size)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "key", "n", "l"])
+            columns = [np.concatenate([p for p, _ in chosen] or [np.zeros(0, np.uint64)]).view(np.int64), np.repeat(named(sets, common_keys, key_bits), size), np.repeat(np.array([len(s) for s in sets], np.int32), size), np.repeat(np.array([l for _, l in chosen], np.int32), size), np.concatenate([np.arange(k, dtype=np.int32) for k in size] or [np.zeros(0, np.int32)])]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "key", "n", "l", "place"])
 
-    postings = texts.select("text").mapInArrow(prefixes, "shingle long, key long, n int, l int")
-    buckets = postings.groupBy("shingle").agg(F.count("*").alias("size"), F.min("key").alias("hub"), F.max("key").alias("other")).where("hub < other").drop("other")
+    postings = texts.select("text").mapInArrow(prefixes, "shingle long, key long, n int, l int, place int")
+    buckets = postings.groupBy("shingle").agg(F.count("*").alias("size"), F.min("key").alias("hub"), F.max("key").alias("other")).where("hub < other").select("shingle", "size")
     shared = written(postings.join(buckets, "shingle").distinct(), "postings")
-    few = shared.where(F.col("size") <= BUCKET)
+    hot = shared.where(F.col("size") > BUCKET)
+    # a shingle that few rows have makes pairs; the others of a class that a pair may share stay out of its count
+    hidden = broadcast_if_small(written(hot.groupBy("key").agg(F.count("*").cast("int").alias("hidden")), "hidden"))
+    few = shared.where(F.col("size") <= BUCKET).join(hidden, "key", "left").select("shingle", "key", "n", "l", F.coalesce("hidden", F.lit(0)).alias("hidden"))
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
-    pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), F.least("a.l", "b.l").alias("l")).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("l").alias("l")).where("matches >= l")
-    ties = shared.where((F.col("size") > BUCKET) & (F.col("key") != F.col("hub"))).select(F.col("key").alias("a"), F.col("hub").alias("b"))
-    groups = components(pairs.select("a", "b").unionByName(ties), "candidates").withColumnRenamed("root", "grp")
+    asked = F.least("a.l", "b.l") - F.least("a.hidden", "b.hidden")
+    pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), asked.alias("l")).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("l").alias("l")).where("matches >= l")
+    groups = components(pairs.select("a", "b").unionByName(ties(hot, percent)), "candidates").withColumnRenamed("root", "grp")
 
     sizes = groups.groupBy("grp").agg(F.count("*").alias("classes"))
-    first_of = keys.groupBy("key").agg(F.min("id").alias("id"))
-    members = groups.join(sizes, "grp").join(first_of, F.col("node") == F.col("key")).select("id", "key", "grp", F.pmod(F.xxhash64("key"), F.ceil(F.col("classes") / BLOCK)).cast("int").alias("block"), (F.col("classes") > BLOCK).alias("large"))
+    first_of = keys.groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("id"))
+    members = groups.join(sizes, "grp").join(first_of, F.col("node") == F.col("key")).select("row", "key", "grp", F.pmod(F.xxhash64("key"), F.ceil(F.col("classes") / BLOCK)).cast("int").alias("block"), (F.col("classes") > BLOCK).alias("large"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # of repeated rows a task sends one
         for batch, values in _blocks(batches, 0):
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in (1, 2, 3, 4)] + [pa.array([s.tobytes() for s in shingle_sets(values, n)], pa.binary())], ["key", "grp", "block", "large", "shingles"])
+            sets = shingle_sets(values, n)
+            keep = []
+            for i, (own, key) in enumerate(zip(named(sets, common_keys, key_bits).tolist(), batch.column(1).to_pylist())):
+                if own == key and key not in sent:
+                    sent.add(key)
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in (1, 2, 3, 4)] + [pa.array([sets[i].tobytes() for i in keep], pa.binary())], ["key", "grp", "block", "large", "shingles"])
 
-    held = texts.join(members, texts["id"].eqNullSafe(members["id"])).select("text", "key", "grp", "block", "large").mapInArrow(sets_of, "key long, grp long, block int, large boolean, shingles binary")
+    held = texts.join(members, "row").select("text", "key", "grp", "block", "large").mapInArrow(sets_of, "key long, grp long, block int, large boolean, shingles binary")
 
     def groupwise(work, out_names):
         """Runs ``work`` on the rows of each (grp, block), which stand together."""
@@ -338,12 +395,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     lots = large.where("leads").withColumn("block", F.pmod(F.xxhash64("label"), F.lit(1 << 20)).cast("int"))
     lots = lots.join(lots.groupBy("grp").agg(F.ceil(F.count("*") / (2 * BLOCK)).cast("int").alias("n_lots")), "grp").withColumn("block", F.pmod("block", "n_lots"))
     joined = broadcast_if_small(components(lots.repartition("grp", "block").sortWithinPartitions("grp", "block").mapInArrow(groupwise(join_leads, two), "a long, b long"), "leads"))
-    named = large.join(joined, large["label"] == joined["node"], "left").select("key", F.coalesce("root", "label").alias("label"), "grp", "block", "shingles")
-    named = written(named, "named")
+    told = large.join(joined, large["label"] == joined["node"], "left").select("key", F.coalesce("root", "label").alias("label"), "grp", "block", "shingles")
+    told = written(told, "named")
     # then what isn't in a group's largest part, against all its blocks
-    parts_of = named.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    parts_of = told.groupBy("grp", "label").agg(F.count("*").alias("n"))
     largest = parts_of.groupBy("grp").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("parts"), F.sum("n").alias("classes")).where("parts > 1")
-    open_groups = named.join(largest, "grp")
+    open_groups = told.join(largest, "grp")
     n_blocks = F.ceil(F.col("classes") / BLOCK).cast("int")
     minor = open_groups.where("label <> main")
     minor_blocks = minor.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_minor"))
@@ -359,12 +416,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     facing = minor.unionByName(major).withColumn("block", F.xxhash64("m", "chunk")).repartition("grp", "block").sortWithinPartitions("grp", "block")
     last = broadcast_if_small(components(facing.mapInArrow(groupwise(against, two), "a long, b long"), "parts"))
-    final = parts.where("not large").select("key", "label").unionByName(named.select("key", "label"))
+    final = parts.where("not large").select("key", "label").unionByName(told.select("key", "label"))
     final = final.join(last, final["label"] == last["node"], "left").select("key", F.coalesce("root", "label").alias("label"))
 
     # smallest id of each component, by class
-    rooted = first_of.join(final, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "id")
+    rooted = first_of.drop("row").join(final, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "id")
     smallest = rooted.groupBy("label").agg(F.min("id").alias("component"))
     by_class = rooted.join(smallest, "label").select("key", "component")
-    out = keys.join(by_class, "key", "left")
+    out = keys.select("id", "key", "n_shingles").join(by_class, "key", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))

@@ -91,6 +91,41 @@ def test_similarity_components(make_docs, odd_texts, monkeypatch, bucket, block,
     assert [got[i] for i in range(len(texts))] == brute_components(texts, n, percent)
 
 
+def test_similarity_of_repeated_and_null_ids(spark):
+    r = random.Random(3)
+    a, b = (" ".join(f"{x}{r.randrange(10**6)}" for _ in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (3, a + " x"), (9, b), (2, b + " y"), (20, a), (None, b), (None, "p q r s t"), (None, "p q r s t"), (7, None)]
+    for key_bits in (64, 2):  # with 2 bits, many sets share half of their hash
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), key_bits=key_bits).collect()
+        assert sorted((x["doc_id"] or 0, x["n_shingles"], x["component_id"] or 0) for x in got) == sorted([(5, 38, 3), (5, 38, 2), (3, 39, 3), (9, 38, 2), (2, 39, 2), (20, 38, 3), (0, 38, 2), (0, 3, 0), (0, 3, 0), (7, 0, 7)])
+
+
+def test_unlinked_texts_with_a_common_passage_do_not_meet(spark, monkeypatch):
+    """Texts of eleven common words and one of their own: no links, and no group."""
+    asked = []
+    monkeypatch.setattr(ngram_join, "components", lambda links, name: asked.append((name, links.distinct().count())) or components.components(links, name))
+    line = " ".join(f"w{i}" for i in range(11))
+    for n in (300, 5000):
+        texts = [f"{line} own{i}" for i in range(n)] + [f"own{i} {line}" for i in range(n)]
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        assert ngram_join.jaccard_components(docs).where("doc_id <> component_id").count() == 0
+    assert dict(asked)["candidates"] == 0
+    linked = docs.unionByName(spark.createDataFrame([(-1, line)], "doc_id long, text string"))  # nine of ten shingles of each
+    assert ngram_join.jaccard_components(linked).where("component_id = -1").count() == 2 * 5000 + 1
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_ties_hold_all_that_may_link(spark, percent):
+    r = random.Random(percent)
+    rows = [(1, i, n, min(n - 1, r.choice([0, 0, 1, 2, 5, n // 10]))) for i, n in enumerate([*range(1, 60), *(r.randrange(1, 900) for _ in range(150))])]
+    found = ngram_join.ties(spark.createDataFrame(rows, "shingle long, key long, n int, place int"), percent)
+    root = {x["node"]: x["root"] for x in components.components(found, "ties").collect()}
+    for _, i, n, p in rows:
+        for _, j, m, q in rows:
+            if i != j and 100 * min(n - p, m - q) >= percent * (n + m - min(n - p, m - q)):
+                assert root.get(i, i) == root.get(j, j)
+
+
 def test_similarity_of_no_rows(make_docs):
     assert ngram_join.jaccard_components(make_docs([])).count() == 0
 
