@@ -213,6 +213,48 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark, make_docs, odd_texts
     assert [x["kept"] for x in quality.judge(make_docs([None, ""])).collect()] == [False, False]
 
 
+def test_the_least_determinant_of_small_groups(spark):
+    """Against all subsets of the nearest part's size."""
+    import itertools
+
+    r = np.random.default_rng(11)
+    groups = {}
+    for g in range(12):
+        n = 14 + g % 4
+        x = r.normal(size=(n, 5)) * [1.0, 0.2, 0.2, 0.2, 0.3] @ r.normal(size=(5, 5)) + 5
+        x[: n // 5] += r.normal(size=5) * 4
+        groups[f"s{g}"] = np.round(x * quality.UNIT).astype(int)
+    rows = [("en", s, *map(int, v)) for s, x in groups.items() for v in x]
+    docs = spark.createDataFrame(rows, "lang string, source string, q0 long, q1 long, q2 long, q3 long, q4 long")
+    found = {x["grp"]: x for x in quality.fit(docs.repartition(5), prior=0.0).where("level = 2").collect()}
+    again = {x["grp"]: x for x in quality.fit(docs.repartition(2), prior=0.0).where("level = 2").collect()}
+    assert found == again  # bit by bit
+    equal = 0
+    for s, x in groups.items():
+        inverse = np.zeros((5, 5))
+        for i, j in quality.PAIRS:
+            inverse[i, j] = inverse[j, i] = found['{"lang":"en","source":"%s"}' % s][f"i{i}{j}"]
+        got = -np.linalg.slogdet(inverse)[1]
+        h = -(-len(x) * 3 // 4)
+        best = min(np.linalg.slogdet(quality.floored(np.cov(x[list(c)].T / quality.UNIT, bias=True)[None] * quality.CONSISTENT))[1][0] for c in itertools.combinations(range(len(x)), h))
+        assert got > best - 1e-6
+        equal += got < best + 1e-6
+    assert equal >= 8
+
+
+def test_estimates_have_no_jump(spark):
+    """A group's estimate goes from its language's to its own as it grows; a single row is a group too."""
+    r = np.random.default_rng(2)
+    near = [("en", "big", *map(int, (r.normal(size=5) * 0.1 + 3) * quality.UNIT)) for _ in range(500)]
+    far = [("en", "own", *map(int, (r.normal(size=5) * 0.1 + 4) * quality.UNIT)) for _ in range(300)]
+    schema = "lang string, source string, q0 long, q1 long, q2 long, q3 long, q4 long"
+    means = []
+    for n in (1, 99, 101, 300):
+        out = quality.fit(spark.createDataFrame([*near, *far[:n]], schema))
+        means.append({x["grp"]: x["m0"] for x in out.collect()}['{"lang":"en","source":"own"}'])
+    assert means == sorted(means) and means[0] < 3.1 and means[2] - means[1] < 0.02 and 3.6 < means[3] < 4
+
+
 def test_chi_squared():
     assert quality.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
     assert quality.chi2_cdf(7.815, 3) == pytest.approx(0.95, abs=1e-4)
