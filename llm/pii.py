@@ -3,7 +3,7 @@
 Found and validated: payment card numbers (13 to 19 digits with an optional single space or
 hyphen between groups; Luhn), phone numbers (international, or 3-3-4 digits with separators),
 IPv4 addresses (four octets of 0 to 255), US social security numbers, IBANs (mod 97), dates
-(year first, or day or month first; real days of 1600 to 2399), e-mail addresses, and keys
+(year first, also before a time; day or month first; with the month's name in English, German, French or Spanish; real days of 1600 to 2399), e-mail addresses, and keys
 (32 or more hexadecimal digits in one word).  What looks alike but isn't valid stays.  Where digits or capitals
 stand beside a number, every run of whole groups is tried.
 
@@ -11,13 +11,18 @@ Numbers and dates are permuted within their format by a balanced-as-can-be Feist
 ``ROUNDS`` rounds, whose round function is SHA-256 of the key, the kind, the length, the round
 and the other half.  A permutation: different values stay different, and a value has the
 same pseudonym wherever it stands, with its separators kept.  A card keeps its length and a
-right check digit; a phone its country code; a date its order of parts, and 400-year cycle; an IBAN
+right check digit; a phone its country code, which is told by its digits, so that a number has one pseudonym however it is grouped
+(one without a plus and a code is permuted like the national part of one with); a date its order of parts, and 400-year cycle, and one with a name for the month
+is linked with the same day year first; an IBAN
 its country and right check digits.  Hexadecimal keys are permuted block by block.
 E-mail addresses, which aren't numbers, become keyed ones under ``example.invalid``.
 
 The text is cut at the matches and put together again: one regular-expression pass, no join and
 no shuffle, and texts without a match are left as they are.  Null text stays null; all columns
-of the input stay, in order; repeated rows give repeated rows.
+of the input stay, in order; repeated rows give repeated rows, an empty table an empty one.  A key that is a string stands in the plan; a
+secret is better handed over as a column, such as ``spark.read.text(path).scalar()``, of which the plan shows only where it is read.
+
+Not taken for phones: ten digits without a separator or a plus, which may be any number.
 """
 
 from __future__ import annotations
@@ -32,8 +37,21 @@ IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 HEX = r"[0-9a-fA-F]{32,128}|(?=[a-fA-F]*[0-9])[0-9a-fA-F]{129,}"
 IP = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"[0-9]{4}([\-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([\-/.])[0-9]{1,2}\2[0-9]{4}"
+#: Names of the months, with as many short forms; and the countries' telephone codes of one or two digits (all others have three).
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "en short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+_NAMES = "|".join(sorted({m for ms in MONTHS.values() for m in ms}, key=lambda m: (-len(m), m)))
+WORDED = rf"(?i:(?:{_NAMES})(?:\.? | )[0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}}|[0-9]{{1,2}}(?:st|nd|rd|th|er|\.)?(?: of| de)? (?:{_NAMES})\.?,?(?: de)? [0-9]{{4}})"
+#: Before a time.
+TIMED = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}(?=T[0-9]{2}(?::?[0-9]{2}|(?![\p{L}\p{N}])))"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
+PHONE = r"\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-]?[0-9]{2,4}){1,4}|(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}"
 CARD = r"[0-9](?:[ \-]?[0-9]){12,18}"
 #: What neither precedes nor follows a match: a letter, a digit or what would go on with it.
 BEFORE, AFTER = r"(?<![\p{L}\p{N}_]|[0-9][.\-])", r"(?![\p{L}\p{N}_@]|[.\-][0-9])"
@@ -42,9 +60,9 @@ BEFORE, AFTER = r"(?<![\p{L}\p{N}_]|[0-9][.\-])", r"(?![\p{L}\p{N}_@]|[.\-][0-9]
 _ENDS = r"(?![\p{L}\p{N}_]|[./][0-9]|[A-Za-z0-9._%+\-]{0,64}@)"
 IBANS = rf"(?=[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2}})[A-Z0-9]++{_ENDS}(?: [A-Z0-9]++{_ENDS}(?!-[0-9]))*+"
 CARDS = rf"(?=[0-9](?:[ \-]?[0-9]){{12}})[0-9]++{_ENDS}(?:[ \-][0-9]++{_ENDS})*+"
-OTHERS = rf"{HEX}|{DATE}|{IP}|{SSN}|{PHONE}"
+OTHERS = rf"{HEX}|{WORDED}|{DATE}|{IP}|{SSN}|{PHONE}"
 #: In order of preference.
-PII = rf"{BEFORE}(?:{EMAIL}|{IBANS}|{OTHERS}|{CARDS}){AFTER}"
+PII = rf"{BEFORE}(?:(?:{EMAIL}|{IBANS}|{OTHERS}|{CARDS}){AFTER}|{TIMED})"
 #: Groups of a number at most.
 MOST_GROUPS = 19
 #: Length of an account number by country (ISO 13616).
@@ -162,9 +180,8 @@ def is_date(x: Column) -> Column:
     return _real(d["year"], d["month"], d["day"])
 
 
-def date(x: Column, key: Column) -> Column:
-    """Years of 1600 to 2399, months and the class's days are permuted, again and again until the day is real."""
-    d = _date(x)
+def _moved(d: dict[str, Column], key: Column, use) -> Column:
+    """use(year, month, day) of the pseudonym: years of 1600 to 2399, months and the class's days are permuted, again and again until the day is real."""
     low, days = d["low"].cast("long"), d["days"].cast("long")
 
     def value(s: Column) -> tuple[Column, Column, Column]:
@@ -174,13 +191,53 @@ def date(x: Column, key: Column) -> Column:
         return F.when((i > 0) & _real(*value(s)), s).otherwise(feistel(s["a"], s["b"], F.lit(800), days * 12, key, "date", d["days"]))
 
     start = F.struct((d["year"] - 1600).cast("long").alias("a"), ((d["month"] - 1) * days + d["day"] - low).cast("long").alias("b"))
+    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(40)), start, walk), lambda s: use(*value(s)))
+
+
+def date(x: Column, key: Column) -> Column:
+    d = _date(x)
     mark = F.regexp_extract(x, r"[\-/.]", 0)
 
-    def spelt(s: Column) -> Column:
-        y, m, n = ((c.cast("string") if i == 0 else F.lpad(c.cast("string"), 2, "0")) for i, c in enumerate(value(s)))
+    def spelt(year: Column, month: Column, day: Column) -> Column:
+        y, m, n = year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(day.cast("string"), 2, "0")
         return F.when(d["year_first"], F.concat(y, mark, m, mark, n)).when(d["day_first"], F.concat(n, mark, m, mark, y)).otherwise(F.concat(m, mark, n, mark, y))
 
-    return _let(F.aggregate(F.sequence(F.lit(0), F.lit(40)), start, walk), spelt)
+    return _moved(d, key, spelt)
+
+
+def _worded(x: Column) -> dict[str, Column]:
+    """Of a date with a month's name: the name, its style and number, and what _date() tells; the order is known."""
+    name = F.regexp_extract(x, rf"(?i)({_NAMES})", 1)
+    styles = {}
+    for i, ms in enumerate(MONTHS.values()):
+        for k, m in enumerate(ms):
+            styles.setdefault(m.lower(), i * 12 + k)
+    code = F.create_map(*[F.lit(v) for pair in styles.items() for v in pair])[F.lower(name)]
+    day, year = F.regexp_extract(x, r"(?<![0-9])([0-9]{1,2})(?![0-9])", 1).cast("int"), F.regexp_extract(x, r"([0-9]{4})", 1).cast("int")
+    return {"name": name, "style": F.floor(code / 12).cast("int"), "month": F.pmod(code, F.lit(12)) + 1, "day": day, "year": year, "low": F.lit(1), "days": F.lit(31)}
+
+
+def is_worded(x: Column) -> Column:
+    d = _worded(x)
+    return F.coalesce(_real(d["year"], d["month"], d["day"]), F.lit(False))
+
+
+def worded_date(x: Column, key: Column) -> Column:
+    """Day, month's name (of the same language and length, in capitals if it was) and year are put where they stood; an English ending of the day follows it."""
+    d = _worded(x)
+    names = F.array(*[F.array(*map(F.lit, ms)) for ms in MONTHS.values()])
+
+    def spelt(year: Column, month: Column, day: Column) -> Column:
+        new = names[d["style"]][(month - 1).cast("int")]
+        new = F.when((F.length(d["name"]) > 1) & (F.upper(d["name"]) == d["name"]), F.upper(new)).when(F.lower(d["name"]) == d["name"], F.lower(new)).otherwise(F.initcap(new))
+        ending = F.when(day.isin(11, 12, 13), "th").when(day % 10 == 1, "st").when(day % 10 == 2, "nd").when(day % 10 == 3, "rd").otherwise("th")
+        out = F.regexp_replace(x, F.lit(r"[0-9]{4}"), F.lit("\u0001"))
+        out = F.regexp_replace(out, F.lit(r"[0-9]{1,2}(?:st|nd|rd|th)"), F.concat(F.lit("\u0002"), ending))
+        out = F.regexp_replace(out, F.lit(r"[0-9]{1,2}"), F.lit("\u0002"))
+        out = F.regexp_replace(out, F.lit(rf"(?i){_NAMES}"), new)
+        return F.replace(F.replace(out, F.lit("\u0001"), year.cast("string")), F.lit("\u0002"), day.cast("string"))
+
+    return _moved(d, key, spelt)
 
 
 def _mod97(x: Column) -> Column:
@@ -215,9 +272,10 @@ def is_phone(x: Column) -> Column:
 
 
 def phone(x: Column, key: Column) -> Column:
-    """The country code (the digits after the plus) stays."""
-    code = F.length(F.regexp_extract(x, r"^\+([0-9]{1,3})[^0-9]", 1))
+    """The country code stays: after a plus as many digits as it has by the table."""
     d = _digits(x)
+    short = [c for c in CODES if len(c) == 2]
+    code = F.when(~x.startswith("+"), 0).when(F.substring(d, 1, 1).isin(*[c for c in CODES if len(c) == 1]), 1).when(F.substring(d, 1, 2).isin(*short), 2).otherwise(3)
     return _refilled(x, permuted_digits(F.substring(d, code + 1, F.length(d) - code), key, "phone"), code)
 
 
@@ -251,6 +309,7 @@ def pseudonym(x: Column, key: Column) -> Column:
         F.when(x.contains("@"), email(x, key))
         .when(whole(IBAN) & is_iban(x), iban(x, key))
         .when(whole(HEX), hexadecimal(x, key))
+        .when(whole(WORDED), F.when(is_worded(x), worded_date(x, key)).otherwise(x))
         .when(whole(DATE), F.when(is_date(x), date(x, key)).otherwise(x))
         .when(whole(IP), F.when(is_ip(x), ip(x, key)).otherwise(x))
         .when(whole(SSN), F.when(~x.rlike("^(000|666|9..)|-00-|-0000$"), _refilled(x, permuted_digits(_digits(x), key, "ssn"))).otherwise(x))
@@ -327,15 +386,17 @@ def replaced(x: Column, key: Column) -> Column:
     return _let(_single(x, key), lambda y: F.when((y["n"] == 0) & x.rlike(rf"^(?:{IBANS}|{CARDS})$"), _cut(x, key)).otherwise(y))
 
 
-def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | Column, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """The table with its texts' personal data replaced, and, if asked for, the number of values replaced."""
     names = docs.columns
-    used = "__new"
-    while used in names:
-        used += "_"
+    used, held = "__new", "__key"
+    while used in names or held in names:
+        used, held = used + "_", held + "_"
+    secret = F.lit(key) if isinstance(key, str) else F.col(held)
     text = F.col(f"`{text_col}`")
     some = text.rlike("[0-9@]|[a-fA-F]{32}") & text.rlike(PII)  # every match has one of the first
-    df = docs.withColumn(used, F.when(some, _replaced(text, PII, lambda x: replaced(x, F.lit(key)))))
+    df = docs if isinstance(key, str) else docs.withColumn(held, key)
+    df = df.withColumn(used, F.when(some, _replaced(text, PII, lambda x: replaced(x, secret))))
     df = df.withColumn(text_col, F.coalesce(F.col(used)["text"], text))
     if count_col:
         df = df.withColumn(count_col, F.coalesce(F.col(used)["n"], F.lit(0)).cast("long"))

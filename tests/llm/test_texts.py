@@ -314,6 +314,55 @@ def test_permutations(spark):
     assert len(set(moved)) == 4000 and all(np.datetime64(m) for m in moved)
 
 
+def test_dates_with_times_and_names(spark):
+    texts = ["2020-02-29T10:00:00Z", "see 2020-02-29.", "29 Feb 2020", "February 29th, 2020", "the 29th of February 2020", "29. Februar 2020", "29 février 2020", "29 de febrero de 2020", "FEBRUARY 29, 2020"]
+    got = replaced(spark, texts)
+    y, m, d = re.search(r"(\d{4})-(\d{2})-(\d{2})", got[1]).groups()
+    assert (y, m, d) != ("2020", "02", "29") and got[0] == f"{y}-{m}-{d}T10:00:00Z"
+    names = {k: v[int(m) - 1] for k, v in pii.MONTHS.items()}
+    day, th = int(d), "th" if int(d) in (11, 12, 13) else {1: "st", 2: "nd", 3: "rd"}.get(int(d) % 10, "th")
+    assert got[2:] == [f"{day} {names['en short']} {y}", f"{names['en']} {day}{th}, {y}", f"the {day}{th} of {names['en']} {y}", f"{day}. {names['de']} {y}", f"{day} {names['fr']} {y}", f"{day} de {names['es']} de {y}", f"{names['en'].upper()} {day}, {y}"]
+    left = ["February 30, 2020", "29 Feb 2021", "May 2020", "In March 5 men came", "March 5, 198", "5 marching 1980", "x2020-02-29T10:00"]
+    assert replaced(spark, left) == left
+
+
+def test_phones_are_told_by_their_digits(spark):
+    got = replaced(spark, ["+1 555 123 4567", "+15551234567", "+1 (555) 123-4567", "(555) 123-4567", "555-123-4567", "+44 20 7946 0958", "+442079460958", "+353 1 234 5678"])
+    digits = [re.sub(r"\D", "", g) for g in got]
+    assert digits[0] == digits[1] == digits[2] == "1" + digits[3] == "1" + digits[4] and digits[0] != "15551234567"
+    assert digits[5] == digits[6] and digits[5][:2] == "44" and digits[7][:3] == "353" and digits[7] != "35312345678"
+
+
+def test_the_network_can_be_inverted(spark):
+    """By the key, step by step, outside of Spark; and a key handed over as a column isn't in the plan."""
+    import hashlib
+
+    def random_of(key, kind, n, i, half):
+        return int(hashlib.sha256(f"{key}|{kind}|{n}|{i}|{half}".encode()).hexdigest()[:13], 16)
+
+    def original(d, key, kind):
+        n, h = len(d), len(d) // 2
+        a, b = int(d[:h] or 0), int(d[h:])
+        for i in range(pii.ROUNDS // 2 - 1, -1, -1):
+            b = (b - random_of(key, kind, n, 2 * i + 1, a)) % 10 ** (n - h)
+            a = (a - random_of(key, kind, n, 2 * i, b)) % 10**h
+        return (f"{a:0{h}d}" if h else "") + f"{b:0{n - h}d}"
+
+    values = ["123-45-6789", "4111 1111 1111 1111", "(415) 555-0199"]
+    got = [re.sub(r"\D", "", g) for g in replaced(spark, values, "secret of the day")]
+    assert original(got[0], "secret of the day", "ssn") == "123456789"
+    assert original(got[1][:-1], "secret of the day", "card") == "411111111111111"
+    assert original(got[2], "secret of the day", "phone") == "4155550199"
+
+
+def test_a_key_that_the_plan_does_not_show(spark, tmp_path):
+    (tmp_path / "key.txt").write_text("secret of the day")
+    docs = spark.createDataFrame([(0, "123-45-6789", "x")], "doc_id long, text string, __found string")
+    out = pii.pseudonymise(docs, spark.read.text(str(tmp_path / "key.txt")).scalar())
+    assert out.first()["text"] == replaced(spark, ["123-45-6789"], "secret of the day")[0]
+    assert "secret" not in out._jdf.queryExecution().toString()
+
+
 def test_addresses(spark):
     got = replaced(spark, ["mail Jo.Doe+x@mail.example.com now", "jo.doe+x@MAIL.example.com", "TOKEN = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""])
     assert "Doe" not in got[0] and re.search(r"u[0-9a-f]{16}@d[0-9a-f]{8}\.example\.invalid", got[0])[0] == got[1]
