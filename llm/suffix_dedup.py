@@ -15,14 +15,15 @@ for all; the windows of the others are repeats.  Where a trigger has several phr
 suffixes are sorted by their first ``length`` bytes (prefix doubling), and in each class of
 equal ones the parse's positions give the corpus order: all but the first are repeats.
 
-*Skew.*  A trigger with over ``HOT`` phrases (a short common line in ever new surroundings)
-isn't sorted in one task; its windows are dealt by a 128-bit hash of their own bytes and
-the first of each is found by an aggregation.  All other steps are joins and aggregations
+*Skew.*  A trigger whose phrases have over ``HOT`` windows (a short common line in ever new surroundings)
+isn't sorted in one task; its suffixes are brought together by their first ``length`` bytes by Spark's own
+sorts and aggregations, over all tasks, with the first position of equal ones found before the shuffle: the same order, the same classes
+and the same result.  All other steps are joins and aggregations
 with partial sums.  No list is longer than a text.
 
-Null text is the empty text.  Rows with the same id count as one text if they are equal
-(each returns the same result, they don't remove each other) and must otherwise not occur.
-A null id comes before all others.  Columns beside id and text don't matter.
+Null text is the empty text.  Rows with the same id are one document: a string starts earlier in another of them if its start is
+smaller, and equal starts don't remove each other, so that repeated rows return the same result each; each row is cut by its own text.
+A null id comes before all others.  An empty table gives an empty result.  Columns beside id and text don't matter.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ from llm.hashing import MIX2, mixed, powers, prefix_sums
 from llm.tables import written
 
 GRAM = 24
-HOT = 4096
+HOT = 1 << 17
 #: Bytes that a worker parses or sorts at a time (a longer text is taken alone).
 BLOCK_BYTES = 1 << 20
 
@@ -82,6 +83,12 @@ def parse(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     return text, first - (ends - sizes)[text], stop - first, own, phrase, np.isin(own, twice)
 
 
+def phrase_hash(phrase: bytes, length: int) -> int:
+    """The hash that parse() gives a phrase."""
+    sums = prefix_sums(np.frombuffer(phrase, np.uint8))
+    return int(mixed(sums[-1:] + np.uint64(max(0, len(phrase) - length + 1)), MIX2).view(np.int64)[0])
+
+
 def repeats(phrases: list[bytes], order: np.ndarray, starts: np.ndarray, length: int) -> list[list[int]]:
     """For each phrase of a dictionary the runs [from, to, from, to, ...) of its windows that also start earlier.
 
@@ -160,10 +167,20 @@ def _first(df: DataFrame, *keys: str, more: tuple[Column, ...] = ()) -> DataFram
     return df.groupBy(*keys).agg(F.min(_position()).alias("at"), F.count("*").alias("n"), *more)
 
 
+def _step() -> Column:
+    """Room for a start, and for the hash of a row, in a place."""
+    return F.lit(1 << 31).cast("decimal(11,0)")
+
+
 def _position() -> Column:
-    """Place in the corpus as one number, which a hash aggregation can hold; a null id is below all."""
+    """Place in the corpus (id and start) and, below it, the row's hash, as one number, which a hash aggregation can hold; a null id is below all."""
     number = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
-    return (number * F.lit(1 << 31).cast("decimal(11,0)") + F.col("start")).cast("decimal(38,0)")
+    return ((number * _step() + F.col("start")).cast("decimal(30,0)") * _step() + F.col("row")).cast("decimal(38,0)")
+
+
+def _later() -> Column:
+    """Whether ``own`` is a later place than ``at``, whichever rows they are of."""
+    return F.col("own") - F.col("row") > F.col("at") - F.pmod("at", _step())
 
 
 def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", whole_characters: bool = False) -> DataFrame:
@@ -171,12 +188,14 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
     bytes), rest (a struct of the other columns).  With ``whole_characters`` no cut parts a character."""
     kind = docs.schema[id_col].dataType
     id_type, id_sql = to_arrow_type(kind), kind.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # a row is known by its id and the hash of its text; what is looked up by them is checked by its bytes
+    row = F.xxhash64(text_col).bitwiseAND((1 << 31) - 1).cast("int").alias("row")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row)
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches):
             text, start, n, trigger, phrase, twice = parse(values, length, gram)
-            yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice)], ["trigger", "phrase", "id", "start", "windows", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), batch.column(0).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(twice), batch.column(2).take(pa.array(text))], ["trigger", "phrase", "id", "start", "windows", "twice", "row"])
 
     def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values in _blocks(batches):
@@ -184,26 +203,34 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([trigger, trigger[twice]]).view(np.int64))], ["trigger"])
 
     common = written(texts.mapInArrow(triggers, "trigger long").groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger"), "triggers")
-    phrases = texts.mapInArrow(parsed, f"trigger long, phrase long, id {id_sql}, start int, windows int, twice boolean").join(common, "trigger", "left_semi")
+    phrases = texts.mapInArrow(parsed, f"trigger long, phrase long, id {id_sql}, start int, windows int, twice boolean, row int").join(common, "trigger", "left_semi")
     phrases = written(phrases, "phrases")
 
     dictionary = written(_first(phrases, "trigger", "phrase", more=(F.max("twice").alias("twice"), F.max("windows").alias("windows"))), "first-phrases")
     # written too, so that the join with it is one that Spark may split where a trigger has very many phrases
-    several = written(dictionary.groupBy("trigger").agg(F.count("*").alias("n_phrases"), F.max("twice").alias("again")).where("n_phrases > 1 or again"), "several")
-    start = F.pmod("at", F.lit(1 << 31).cast("decimal(11,0)"))
-    number = ((F.col("at") - start) / F.lit(1 << 31).cast("decimal(11,0)")).cast("decimal(20,0)")
+    several = dictionary.groupBy("trigger").agg(F.count("*").alias("n_phrases"), F.sum("windows").alias("n_windows"), F.max("twice").alias("again")).where("n_phrases > 1 or again")
+    several = written(several.select("trigger", (F.col("n_windows") > HOT).alias("hot")), "several")
+    above = F.floor(F.col("at") / _step()).cast("decimal(32,0)")
+    start = F.pmod(above, _step())
+    number = ((above - start) / _step()).cast("decimal(20,0)")
     id_again = F.when(number >= F.lit(-(1 << 63) + 1), number).cast(kind)
-    firsts = dictionary.join(several, "trigger").select("trigger", "phrase", id_again.alias("id"), start.cast("int").alias("start"), "windows", "n_phrases")
-    wanted = firsts.groupBy("id").agg(F.collect_list(F.struct("trigger", "phrase", "start", "windows", "n_phrases")).alias("wanted"))
+    firsts = dictionary.join(several, "trigger").select("trigger", "phrase", id_again.alias("id"), F.pmod("at", _step()).cast("int").alias("row"), start.cast("int").alias("start"), "windows", "hot")
+    wanted = firsts.groupBy("id", "row").agg(F.collect_list(F.struct("trigger", "phrase", "start", "windows", "hot")).alias("wanted"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches):
-            rows = [(*w.values(), i, t[w["start"] : w["start"] + w["windows"] + length - 1]) for i, (t, ws) in enumerate(zip(values, batch.column(2).to_pylist())) for w in ws]
+            rows = []
+            for i, (t, ws) in enumerate(zip(values, batch.column(2).to_pylist())):
+                for w in ws:
+                    piece = t[w["start"] : w["start"] + w["windows"] + length - 1]
+                    if phrase_hash(piece, length) == w["phrase"]:
+                        rows.append((*w.values(), i, piece))
             c = [list(x) for x in zip(*rows)] or [[] for _ in range(7)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), batch.column(0).take(pa.array(c[5], pa.int64())), pa.array(c[2], pa.int32()), pa.array(c[4], pa.int64()), pa.array(c[6], pa.binary())], ["trigger", "phrase", "id", "start", "n_phrases", "bytes"])
+            at = pa.array(c[5], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), batch.column(0).take(at), pa.array(c[2], pa.int32()), pa.array(c[4], pa.bool_()), pa.array(c[6], pa.binary()), batch.column(3).take(at)], ["trigger", "phrase", "id", "start", "hot", "bytes", "row"])
 
-    cut = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"])).select(texts["id"], "text", "wanted")
-    cut = written(cut.mapInArrow(cut_out, f"trigger long, phrase long, id {id_sql}, start int, n_phrases long, bytes binary"), "dictionary")
+    cut = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["row"] == wanted["row"])).select(texts["id"], "text", "wanted", texts["row"])
+    cut = written(cut.mapInArrow(cut_out, f"trigger long, phrase long, id {id_sql}, start int, hot boolean, bytes binary, row int"), "dictionary")
 
     def sorted_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(rows: list[tuple]) -> pa.RecordBatch:
@@ -226,30 +253,32 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
         if rows:
             yield result(rows)
 
-    usual = cut.where(F.col("n_phrases") <= HOT).select("trigger", "phrase", "id", "start", "bytes").repartition("trigger").sortWithinPartitions("trigger", "phrase").mapInArrow(sorted_suffixes, "trigger long, phrase long, runs array<int>")
+    usual = cut.where("not hot").select("trigger", "phrase", "id", "start", "bytes").repartition("trigger").sortWithinPartitions("trigger", "phrase").mapInArrow(sorted_suffixes, "trigger long, phrase long, runs array<int>")
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches, 4):
-            data = np.frombuffer(b"".join(values), np.uint8)
+            data = np.frombuffer(b"".join(values) + bytes(length), np.uint8)
             n = np.array([len(v) - length + 1 for v in values], np.int64)
             owner = np.repeat(np.arange(len(values)), n)
             base = np.cumsum(n + length - 1) - (n + length - 1)
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            sums = prefix_sums(data)
-            h = (sums[base[owner] + offset + length] - sums[base[owner] + offset]) * powers(len(data))[1][base[owner] + offset]
-            other = np.cumsum(np.append(np.uint64(0), mixed(data.astype(np.uint64) + np.uint64(7)) * powers(len(data))[0]))
-            g = (other[base[owner] + offset + length] - other[base[owner] + offset]) * powers(len(data))[1][base[owner] + offset]
-            at = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(mixed(h).view(np.int64)), pa.array(mixed(g).view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(offset.astype(np.int32)), batch.column(2).take(at), pa.array((np.array(batch.column(3), np.int64)[owner] + offset).astype(np.int32))], ["h", "g", "trigger", "phrase", "window", "id", "start"])
-
-    windows = cut.where(F.col("n_phrases") > HOT).select("trigger", "phrase", "id", "start", "bytes").mapInArrow(hashed, f"h long, g long, trigger long, phrase long, window int, id {id_sql}, start int")
-    again = windows.withColumn("own", _position()).join(_first(windows, "h", "g").where("n > 1"), ["h", "g"]).where("own > at")
+            every = np.lib.stride_tricks.sliding_window_view(data, length)
+            for a in range(0, len(owner), 1 << 15):
+                own, off = owner[a : a + (1 << 15)], offset[a : a + (1 << 15)]
+                flat = pa.py_buffer(np.ascontiguousarray(every[base[own] + off]).tobytes())
+                window = pa.Array.from_buffers(pa.binary(length), len(own), [None, flat]).cast(pa.binary())
+                at = pa.array(own)
+                yield pa.RecordBatch.from_arrays([window, batch.column(0).take(at), batch.column(1).take(at), pa.array(off.astype(np.int32)), batch.column(2).take(at), pa.array((np.array(batch.column(3), np.int64)[own] + off).astype(np.int32)), batch.column(6).take(at)], ["bytes", "trigger", "phrase", "window", "id", "start", "row"])
+
+    spread = cut.where("hot").dropDuplicates(["trigger", "phrase"]).select("trigger", "phrase", "id", "start", "bytes", "hot", "row").mapInArrow(suffixes, f"bytes binary, trigger long, phrase long, window int, id {id_sql}, start int, row int")
+    classes = spread.groupBy("trigger", "bytes").agg(F.min(_position()).alias("at"), F.count("*").alias("n")).where("n > 1")
+    again = spread.withColumn("own", _position()).join(classes, ["trigger", "bytes"]).where(_later())
     hot = again.groupBy("trigger", "phrase").agg(F.flatten(F.collect_list(F.array("window", F.col("window") + 1))).alias("runs"))
 
     known = dictionary.select("trigger", "phrase", "at").join(usual.unionByName(hot), ["trigger", "phrase"], "left")
     every = phrases.withColumn("own", _position()).join(known, ["trigger", "phrase"])
-    runs = F.when(F.col("own") > F.col("at"), F.array("start", F.col("start") + F.col("windows"))).otherwise(F.transform("runs", lambda x: x + F.col("start")))
-    removed = written(every.select("id", runs.alias("runs")).where("runs is not null").groupBy("id").agg(F.flatten(F.collect_list("runs")).alias("runs")), "removed")
+    runs = F.when(_later(), F.array("start", F.col("start") + F.col("windows"))).otherwise(F.transform("runs", lambda x: x + F.col("start")))
+    removed = written(every.select("id", "row", runs.alias("runs")).where("runs is not null").groupBy("id", "row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "removed")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches):
@@ -257,6 +286,6 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([k for k, _ in done], pa.binary()), pa.array([len(t) for t in values], pa.int64()), pa.array([len(t) - len(k) for t, (k, _) in zip(values, done)], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for _, s in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column(3)], ["id", "text", "n_bytes", "n_removed", "removed", "rest"])
 
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)] or [F.lit(None).cast("int").alias("none")]
-    full = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*others).alias("rest"))
-    out = full.join(removed, full["id"].eqNullSafe(removed["id"]), "left").select(full["id"], "text", "runs", "rest")
+    full = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*others).alias("rest"), row)
+    out = full.join(removed, full["id"].eqNullSafe(removed["id"]) & (full["row"] == removed["row"]), "left").select(full["id"], "text", "runs", "rest")
     return out.mapInArrow(cleaned, f"id {id_sql}, text binary, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, rest {full.schema['rest'].dataType.simpleString()}").withColumnRenamed("id", id_col)

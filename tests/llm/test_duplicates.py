@@ -24,7 +24,7 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [1 << 17, 60])
 @pytest.mark.parametrize("length,gram", [(30, 8), (100, 24)])
 def test_repeated_strings(make_docs, odd_texts, monkeypatch, hot, length, gram):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
@@ -46,6 +46,20 @@ def test_repeated_strings_of_empty_and_repeated_rows(make_docs, spark):
     assert {r["doc_id"]: r["n_removed"] for r in suffix_dedup.deduplicate(null, 80, 10).collect()}[1] == len(text)
 
 
+def test_rows_with_one_id_are_cut_by_their_own_text(spark):
+    r = random.Random(12)
+    own = ["".join(r.choice("abcdefgh ") for _ in range(200)) for _ in range(4)]
+    passage = "".join(r.choice("abcdefgh ") for _ in range(60))
+    rows = [(5, own[0] + passage), (5, own[1][:50] + passage + own[1]), (None, own[2] + passage), (None, own[3]), (7, own[3] + own[1]), (2, None)]
+    for hot in (1 << 17, 10):
+        suffix_dedup.HOT = hot
+        got = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 40, 10).collect()
+        cut = {(x["doc_id"], bytes(x["text"]).decode()) for x in got}
+        # nulls come first; the second beginning of own[1] repeats the first; 7 is after all
+        assert cut == {(None, own[2] + passage), (None, own[3]), (5, own[0]), (5, own[1]), (7, ""), (2, "")}
+    suffix_dedup.HOT = 1 << 17
+
+
 def test_whole_characters_stay():
     text = "aé".encode() * 3
     left, spans = suffix_dedup.uncovered(text, [2, 3], 3, whole_characters=True)
