@@ -1,9 +1,11 @@
 """Winnowing fingerprints of documents (operator 6), in DataFrame functions only.
 
 Tokens are words in lower case: runs of letters and digits, with scripts that put no space
-between words taken character by character.  The k-gram at a token is the hash of ``k``
-tokens, rolled over the text by combining the token hashes at the distances 0 to k-1.  Of
-every ``window`` consecutive k-grams the smallest is chosen, of equal ones the rightmost, and
+between words taken character by character.  The k-gram at a token is the cyclic-polynomial rolling hash of ``k``
+tokens in 64 bits: the tokens' hashes, each rotated by one bit more than the next, added without carry (so that the
+hash rolls on by rotating it, taking out the token that leaves and adding the one that comes; here the sums
+of all places are taken at once, array by array).  Of
+every ``window`` consecutive k-grams the smallest (by its upper 32 bits) is chosen, of equal ones the rightmost, and
 a k-gram that several windows choose is kept once, with its position.  Two texts that share
 window + k - 1 tokens in a row therefore share a chosen k-gram.
 
@@ -12,9 +14,10 @@ A text with fewer tokens than k has one k-gram of all of them, one with fewer k-
 empty.  The likeness of two fingerprints is the share of their distinct hashes that is in
 both; two empty ones have likeness 1 if the texts are equal and 0 otherwise.
 
-The fingerprint is an array of longs: hash in the upper 32 bits, the complement of the
-position in the lower 31, so that the smallest number is the smallest hash and the rightmost
-of its places.  The minimum over a window is found by doubling, not by a scan of each window.
+The fingerprint is an array of hash and position.  The minimum over a window is found among numbers with the upper half of the
+hash above the complement of the position, by doubling, not by a scan of each window.
+
+Repeated rows have a result each; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -36,14 +39,15 @@ def _ahead(a: Column, by: int) -> Column:
 
 def fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int = WINDOW) -> DataFrame:
     """The table with a column ``out``: chosen k-grams of the column ``text``, in order of position."""
-    t, n, g = f"__{out}_tokens", f"__{out}_grams", f"__{out}_min"
+    t, w, n, g = (f"__{out}_{x}" for x in ("tokens", "grams", "packed", "min"))
     df = df.withColumn(t, F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0)), lambda x: F.xxhash64(x)))
     grams: Column = F.col(t)
     for i in range(1, k):
         # a text with fewer than k tokens keeps the one k-gram that begins at its first token
-        grams = F.zip_with(grams, _ahead(F.col(t), i), lambda a, b: F.xxhash64(a, b))
+        grams = F.zip_with(grams, _ahead(F.col(t), i), lambda a, b: F.shiftleft(a, 1).bitwiseOR(F.shiftrightunsigned(a, 63)).bitwiseXOR(F.coalesce(b, F.lit(0).cast("long"))))
     whole = F.slice(grams, F.lit(1), F.when(F.size(t) > 0, F.greatest(F.size(t) - (k - 1), F.lit(1))).otherwise(0))
-    df = df.withColumn(n, F.transform(whole, lambda x, i: F.shiftleft(x.bitwiseAND(0xFFFFFFFF), 31).bitwiseOR((F.lit(PLACES) - i).cast("long"))))
+    df = df.withColumn(w, whole)
+    df = df.withColumn(n, F.transform(w, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 32), 31).bitwiseOR((F.lit(PLACES) - i).cast("long"))))
     least: Column = F.col(n)
     size = 1
     while size < window:
@@ -52,11 +56,13 @@ def fingerprint(df: DataFrame, text: str, out: str, k: int = K, window: int = WI
         df = df.withColumn(name, F.zip_with(least, _ahead(least, step), lambda a, b: F.least(a, b)))
         least, size = F.col(name), size + step
     df = df.withColumn(g, F.slice(least, F.lit(1), F.when(F.size(n) > 0, F.greatest(F.size(n) - (window - 1), F.lit(1))).otherwise(0)))
-    return df.withColumn(out, F.array_distinct(g)).drop(*[c for c in df.columns if c.startswith(f"__{out}_")], g)
+    chosen = F.transform(F.array_distinct(g), lambda x: (F.lit(PLACES) - x.bitwiseAND(PLACES)).cast("int"))
+    df = df.withColumn(out, F.transform(chosen, lambda i: F.struct(F.col(w)[i].alias("hash"), i.alias("position"))))
+    return df.drop(*[c for c in df.columns if c.startswith(f"__{out}_")], g)
 
 
 def hashes(fingerprint: Column) -> Column:
-    return F.array_distinct(F.transform(fingerprint, lambda x: F.shiftright(x, 31)))
+    return F.array_distinct(F.transform(fingerprint, lambda x: x["hash"]))
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:
@@ -68,7 +74,7 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
 
 def spelt(fingerprint: Column) -> Column:
     """hash@position of every chosen k-gram, in order, separated by spaces."""
-    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.hex(F.shiftright(x, 31)), F.lit("@"), (F.lit(PLACES) - x.bitwiseAND(PLACES)).cast("string"))), " ")
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lower(F.hex(x["hash"])), F.lit("@"), x["position"].cast("string"))), " ")
 
 
 def with_next(docs: DataFrame, more: dict[str, Column], buckets: int, id_col: str, text_col: str, prepare=lambda df: df) -> DataFrame:

@@ -164,6 +164,10 @@ class Order:
         return s[by[: length + l - 1]], l
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_col)
+
+
 def band(n: Column) -> Column:
     """Of a size: exact up to 40, then of a width of 2 percent."""
     return F.when(n <= 40, n).otherwise(40 + F.floor(F.log(n / 40.0) / float(np.log(1.02)))).cast("int")
@@ -250,12 +254,15 @@ def cross_links(few: list[tuple], many: list[tuple], percent: int) -> list[tuple
     return sorted(out)
 
 
-def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64) -> DataFrame:
-    """id, n_shingles, component_id: the smallest id that the document reaches by links."""
+def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, detail: bool = False) -> DataFrame:
+    """id, n_shingles, component_id: the smallest id that the document reaches by links.
+
+    With ``detail`` also row, ``row_hash`` of the document, and component, a number that the documents of one component share and
+    no others (ids may be null or occur twice)."""
     spark = docs.sparkSession
     id_sql = docs.schema[id_col].dataType.simpleString()
     # a row is known by the hash of id and text; what is looked up by it is checked by the set's key
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", row_hash("id", "text"))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches, 1):
@@ -422,6 +429,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     # smallest id of each component, by class
     rooted = first_of.drop("row").join(final, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "id")
     smallest = rooted.groupBy("label").agg(F.min("id").alias("component"))
-    by_class = rooted.join(smallest, "label").select("key", "component")
-    out = keys.select("id", "key", "n_shingles").join(by_class, "key", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    by_class = rooted.join(smallest, "label").select("key", "component", "label")
+    out = keys.select("id", "row", "key", "n_shingles").join(by_class, "key", "left")
+    more = [F.col("row"), F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("row")).alias("component")] if detail else []
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), *more)

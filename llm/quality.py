@@ -280,23 +280,23 @@ def fit(vectors: DataFrame, prior: float = PRIOR) -> DataFrame:
     return written(out.select(*KEY, *[f"m{i}" for i in range(P)], *[f"i{i}{j}" for i, j in PAIRS]), "fitted")
 
 
-def judge(docs: DataFrame, alpha: float = 1e-6, min_words: int = 50, repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (null if it failed), kept."""
+def judge(docs: DataFrame, alpha: float = 1e-6, min_words: int = 50, repeat_percent: int = 50, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", detail: bool = False) -> DataFrame:
+    """With ``detail`` also row, the xxhash64 of the text, as ids may be null or occur twice.  id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance (null if it failed), kept."""
     id_sql = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, first, size = [], 0, 0
-            for i, v in enumerate(batch.column(3)):
+            for i, v in enumerate(batch.column(4)):
                 values.append(v.as_py())
                 size += len(values[-1] or "")
                 if size >= BLOCK_CHARS or i + 1 == batch.num_rows:
                     c = counts(values)
-                    yield pa.RecordBatch.from_arrays([batch.column(k)[first : i + 1] for k in range(3)] + [pa.array(c[:, k]) for k in range(5)], ["id", "lang", "source", *NAMES])
+                    yield pa.RecordBatch.from_arrays([batch.column(k)[first : i + 1] for k in range(4)] + [pa.array(c[:, k]) for k in range(5)], ["id", "lang", "source", "row", *NAMES])
                     values, first, size = [], i + 1, 0
 
-    plain = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    counted = plain.mapInArrow(run, f"id {id_sql}, lang string, source string, " + ", ".join(f"{c} long" for c in NAMES))
+    plain = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    counted = plain.mapInArrow(run, f"id {id_sql}, lang string, source string, row long, " + ", ".join(f"{c} long" for c in NAMES))
     counted = written(counted.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))), "counts")
     n = F.greatest("n_words", F.lit(1))
     vector = [F.log1p("n_words"), F.log(F.greatest("word_chars", F.lit(1)) / n), F.col("n_symbols") / n, F.col("n_dup_lines") / n, F.col("n_repeat_words") / n]
@@ -315,7 +315,7 @@ def judge(docs: DataFrame, alpha: float = 1e-6, min_words: int = 50, repeat_perc
     out = at(0, F.lit(""), out).withColumn("e", F.coalesce("e2", "e1", "e0")).select("*", "e.*")
     out = out.withColumn("distance", F.when(~F.col("base_failed"), distance()))
     kept = F.coalesce(~F.col("base_failed") & (F.col("distance") <= chi2_quantile(1 - alpha, P)), F.lit(False))
-    return out.select(F.col("id").alias(id_col), *NAMES, "base_failed", "distance", kept.alias("kept"))
+    return out.select(F.col("id").alias(id_col), *NAMES, "base_failed", "distance", kept.alias("kept"), *(["row"] if detail else []))
 
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

@@ -173,7 +173,7 @@ def test_fingerprints(make_docs, odd_texts, spark):
         following = (odd_texts[i - 1] if i else odd_texts[-1]) or ""
         row = by_id[i]
         assert row["n_chars"] == len(t) and row["edited"] == t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-        places = [fingerprints.PLACES - (x & fingerprints.PLACES) for x in row["fingerprint"]]
+        places = [x["position"] for x in row["fingerprint"]]
         hashed.setdefault(t, row["fingerprint"])
         assert places == sorted(set(places)) and row["fingerprint"] == hashed[t]
         assert all(b - a <= window for a, b in zip(places, places[1:])) and (not places or places[0] < window)
@@ -183,12 +183,51 @@ def test_fingerprints(make_docs, odd_texts, spark):
     assert fingerprints.edited_fingerprints(twice).count() == 2
 
 
+def brute_likeness(a, b, k, window):
+    """By sets of k-grams of words themselves, with the operator's order of hashes."""
+    def chosen(words, rank):
+        grams = [tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))] if words else []
+        out = set()
+        for i in range(max(1, len(grams) - window + 1) if grams else 0):
+            some = grams[i : i + window]
+            out.add(min(some, key=lambda g: rank[g]))
+        return out
+
+    return lambda rank: (lambda x, y: len(x & y) / len(x | y) if x | y else float(a == b))(chosen(a, rank), chosen(b, rank))
+
+
+def test_likeness_against_brute_force(make_docs, spark):
+    r = random.Random(20)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randrange(0, 60))) for _ in range(30)]
+    texts += [texts[3], texts[3], "w1", "w1 w2", ""]
+    k, window = fingerprints.K, fingerprints.WINDOW
+    out = {x["doc_id"]: x for x in fingerprints.edited_fingerprints(make_docs(texts)).collect()}
+    every = sorted({tuple(t.split()[i : i + k]) for x in out.values() for t in (texts[x["doc_id"]], x["edited"]) for i in range(max(1, len(t.split()) - k + 1))} - {()})
+    df = fingerprints.fingerprint(spark.createDataFrame([(" ".join(g),) for g in every], "text string"), "text", "fp", k, window)
+    rank = {tuple(x["text"].split()): (x["fp"][0]["hash"] & (2**64 - 1)) >> 32 for x in df.collect()}
+    for i, t in enumerate(texts):
+        edited, following = out[i]["edited"].split(), texts[i - 1].split() if i else texts[-1].split()
+        assert out[i]["near_edited"] == pytest.approx(brute_likeness(t.split(), edited, k, window)(rank))
+        assert out[i]["near_next"] == pytest.approx(brute_likeness(t.split(), following, k, window)(rank))
+
+
 def test_windows_choose_the_rightmost_least(spark):
     text = " ".join(["a b c d e f g"] * 6)
     df = fingerprints.fingerprint(spark.createDataFrame([(text,)], "text string"), "text", "fp", 3, 4)
-    got = [(x >> 31, fingerprints.PLACES - (x & fingerprints.PLACES)) for x in df.first()["fp"]]
+    got = [(x["hash"] & (2**64 - 1), x["position"]) for x in df.first()["fp"]]
     every = fingerprints.fingerprint(spark.createDataFrame([(text,)], "text string"), "text", "fp", 3, 1)
-    grams = [x >> 31 for x in every.first()["fp"]]
+    grams = [x["hash"] & (2**64 - 1) for x in every.first()["fp"]]
+    tokens = [x & (2**64 - 1) for (x,) in spark.createDataFrame([(w,) for w in text.split()], "w string").select(F.xxhash64("w")).collect()]
+
+    def turned(x, by):
+        return (x << by | x >> (64 - by)) & (2**64 - 1)
+
+    rolled = turned(tokens[0], 2) ^ turned(tokens[1], 1) ^ tokens[2]
+    for i in range(len(grams)):
+        assert grams[i] == rolled
+        if i + 3 < len(tokens):
+            rolled = turned(rolled, 1) ^ turned(tokens[i], 3) ^ tokens[i + 3]
     want = []
     for i in range(len(grams) - 3):
         least = min(grams[i : i + 4])

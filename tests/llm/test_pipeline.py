@@ -45,6 +45,21 @@ def test_stages_take_effect(spark, tmp_path):
     assert set(seen["packing"]) == set(hidden)
 
 
+def test_each_row_is_judged_by_its_own_text(spark, tmp_path):
+    import random
+
+    r = random.Random(17)
+    a, b, c = (" ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(2, 9))) for _ in range(90)) for _ in range(3))
+    rows = [(1, a), (1, "too short"), (2, a + " more"), (2, b), (None, c), (None, c + " more"), (None, c), (3, c.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    good = corpus_pipeline.keep_good(spark, docs, str(tmp_path))
+    assert sorted(x["text"] for x in good.collect()) == sorted(t for _, t in rows if t != "too short")
+    one = corpus_pipeline.keep_one_of_near(spark, good, str(tmp_path))
+    assert sorted((x["doc_id"], x["text"]) for x in one.collect()) == sorted([(1, a), (2, b), (3, c.upper())])
+    nulls = corpus_pipeline.keep_one_of_near(spark, good.where("doc_id is null or doc_id = 1"), str(tmp_path)).collect()
+    assert len(nulls) == 2 and {x["doc_id"] for x in nulls} == {1, None}
+
+
 def test_empty_corpus(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
