@@ -11,8 +11,8 @@ again as the next stage's docs.  All but the last return the columns of document
 4. personal data: validated numbers, dates and addresses become pseudonyms (operator 5).
 5. packing into sequences of 2048 tokens (operator 1).
 
-Rows with the same id and text are one document from stage 2 on.  A null id, language or source is
-a value like any other.
+Rows with the same id and text are one document from stage 2 on; rows with the same id and other texts are judged by their own
+text.  A null id, language or source is a value like any other.
 """
 
 from __future__ import annotations
@@ -32,14 +32,14 @@ def _with_length(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").select(*COLUMNS)
+    kept = quality.judge(docs, detail=True).where("kept").select(F.col("doc_id").alias("kept_id"), "row").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]) & (F.xxhash64(docs["text"]) == kept["row"]), "left_semi").select(*COLUMNS)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = ngram_join.jaccard_components(docs, n=5, percent=80)
-    first = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["first_id"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    groups = ngram_join.jaccard_components(docs, n=5, percent=80, detail=True)
+    first = groups.where("doc_id <=> component_id").groupBy("component").agg(F.min("row").alias("row")).select("row")
+    return docs.join(first, ngram_join.row_hash("doc_id", "text") == first["row"], "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
