@@ -390,6 +390,39 @@ def test_licenses_without_a_rare_word_and_close_copies(make_docs):
     assert got[0][0][0] == "MIT" and got[1] == [("MIT", "Released under the MIT License")] * 2 and got[2] == [("Club", texts[2])]
 
 
+def test_every_place_that_aligns_is_found():
+    """Against an alignment of every template with every place of the text."""
+    r = random.Random(31)
+    own = [("A", "alpha beta gamma delta alpha beta epsilon zeta eta theta iota kappa lambda mu nu alpha xi omicron pi rho".split()), ("B", "one two three four five".split()), ("C", "red green blue red green blue red green blue white".split())]
+    noise = "one alpha beta red green the of and to in".split()
+    scanner = licenses.Scanner(own, 0.9)
+    met = 0
+    for _ in range(300):
+        words = [r.choice(noise) for _ in range(r.randrange(0, 12))]
+        for _ in range(r.randrange(1, 4)):
+            name, template = r.choice(own)
+            copy = list(template)
+            for _ in range(r.randrange(0, 3)):
+                copy.pop(r.randrange(len(copy)))
+            if r.random() < 0.5:
+                copy.insert(r.randrange(len(copy)), "extra")
+            words += copy + [r.choice(noise) for _ in range(r.choice([0, 0, 1, 9]))]
+        finds = scanner.scan(" ".join(words), 0.9)
+        begin = [0]
+        for w in words:
+            begin.append(begin[-1] + len(w) + 1)
+        for name, template in own:
+            miss = licenses.may_miss(template, 0.9)
+            for p in range(len(words)):
+                stop = min(len(words), p + len(template) + miss)
+                pairs = licenses.patience(template, words[p:stop])
+                if len(pairs) >= len(template) - miss:
+                    met += 1
+                    a, b = begin[p + pairs[0][1]], begin[p + pairs[-1][1]]
+                    assert any(f[1] <= b and f[2] > a for f in finds), (name, words[p:stop], finds)
+    assert met > 200
+
+
 def test_patience_alignment():
     r = random.Random(9)
     for _ in range(200):
