@@ -186,6 +186,7 @@ def ties(hot: DataFrame, percent: int) -> DataFrame:
     lots = ["shingle", "x", "y"]
     both = sides.groupBy(*lots).agg(F.min("key").alias("hub"), F.max("key").alias("last"), F.min("side").alias("first_side"), F.max("side").alias("last_side"))
     both = both.where((F.col("hub") < F.col("last")) & ((F.col("x") == F.col("y")) | (F.col("first_side") < F.col("last_side")))).select(*lots, "hub")
+    both = broadcast_if_small(written(both, "lots"))  # a lot with very many classes then isn't one task's
     return sides.join(both, lots).where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b"))
 
 
