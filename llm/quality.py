@@ -228,7 +228,13 @@ def fit(vectors: DataFrame, prior: float = PRIOR) -> DataFrame:
     here = spread.groupBy(*KEY, "parent").pivot("dim", list(range(P))).agg(F.first("m").alias("m"), F.first("d").alias("d"), F.first("rows").alias("rows"))
     centre = [((F.col(f"{i}_m") + 0.5) * (fine / float(UNIT))).alias(f"m{i}") for i in range(P)]
     scale = [F.greatest(F.lit(f), 1.4826 * F.col(f"{i}_d") * (fine / float(UNIT))).alias(f"d{i}") for i, f in enumerate(FLOORS)]
-    here = broadcast_if_small(written(here.select(*KEY, *centre, *scale), "start"))
+    here = written(here.select(*KEY, *centre, *scale), "start")
+    few = here.limit(1001).count() <= 1000  # groups, each with a few rows in the tables below
+
+    def near_by(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
+    here = near_by(here)
 
     # the starts: the scaled medians, and estimates from rows as they are, drawn to a sphere, and bent
     z = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"d{i}") for i in range(P)]
@@ -248,9 +254,9 @@ def fit(vectors: DataFrame, prior: float = PRIOR) -> DataFrame:
     now = written(now.select(*names).unionByName(plain.select(*names)), "starts")
     every = []
     for step in range(MOST_STEPS):
-        measured = rows.join(broadcast_if_small(now), KEY).withColumn("bin", _bin(distance()))
+        measured = rows.join(near_by(now), KEY).withColumn("bin", _bin(distance()))
         bins = measured.groupBy(*KEY, "start", "bin").agg(F.count("*").alias("n"))
-        cut = broadcast_if_small(written(_reached(bins, [*KEY, "start"], SUPPORT, "cut"), "cuts"))
+        cut = near_by(written(_reached(bins, [*KEY, "start"], SUPPORT, "cut"), "cuts"))
         near = measured.join(cut, [*KEY, "start"]).where("bin <= cut")
         sums = near.groupBy(*KEY, "parent", "start", "rows", F.col("taken").alias("before")).agg(F.count("*").alias("n"), *_moments())
         sums = sums.withColumn("taken", F.xxhash64("n", *[c for c in sums.columns if c[0] in "shl" and c[1:].isdigit()]))
