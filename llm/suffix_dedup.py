@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from llm.hashing import MIX2, mixed, powers, prefix_sums
-from llm.tables import written
+from llm.tables import broadcast_if_small, written
 
 GRAM = 24
 HOT = 1 << 17
@@ -272,6 +272,7 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
 
     spread = cut.where("hot").dropDuplicates(["trigger", "phrase"]).select("trigger", "phrase", "id", "start", "bytes", "hot", "row").mapInArrow(suffixes, f"bytes binary, trigger long, phrase long, window int, id {id_sql}, start int, row int")
     classes = spread.groupBy("trigger", "bytes").agg(F.min(_position()).alias("at"), F.count("*").alias("n")).where("n > 1")
+    classes = broadcast_if_small(written(classes.drop("n"), "classes"))  # then a class with very many suffixes isn't one task's
     again = spread.withColumn("own", _position()).join(classes, ["trigger", "bytes"]).where(_later())
     hot = again.groupBy("trigger", "phrase").agg(F.flatten(F.collect_list(F.array("window", F.col("window") + 1))).alias("runs"))
 
