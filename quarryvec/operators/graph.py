@@ -1,12 +1,13 @@
-"""Proximity graphs in shards.
+"""Proximity graphs in shards, walked alone or together with clusters.
 
-A shard is a hash bucket of the base.  Building makes, inside each shard, a layered graph: every
-node keeps its nearest neighbours that no kept neighbour is nearer to, and gives back edges;
-higher layers hold every ``fanout``-th node by hash.  Edges are a table (shard, level, id,
-neighbors), so that they can be saved, counted and checked as such.  Searching walks each
-shard's graph for all queries, with the filter, and a window merges the shards' rows.
+A shard is a hash bucket of the base, of as many rows as ``SHARD_BYTES`` of vectors hold, so that it fits in a task at any
+size of the base.  Building makes, inside each shard, a layered graph: every node keeps its nearest neighbours
+that no kept neighbour is nearer to, and gives back edges; higher layers hold every ``fanout``-th node by hash.  A shard is
+one row of a table: ids, vectors, clusters and edges together, so that a search reads it as it lies, without a shuffle of
+vectors.  What passes is worked out by Spark from the base's attributes, whatever the predicate; its ids, and no
+vectors, are brought to the shards.  A window merges the shards' rows.
 
-A node that is deleted is left out of the base that is searched; its edges lead nowhere.
+A row that is deleted is left out of the base that is searched: walks go through it and don't return it.
 """
 
 from __future__ import annotations
@@ -24,76 +25,180 @@ from quarryvec.functions.distances import folded_distance
 from quarryvec.operators.exact import query_blocks, top_k
 from quarryvec.operators.predicates import Predicate
 
+SHARD_BYTES = 16 << 20
+#: Queries that a task holds with the rows that pass for each.
+QUERIES_AT_ONCE = 256
+#: Centroids of which a graph is made for ranking; more are ranked by all distances.
+MOST_RANKED = 1 << 14
+
 
 @dataclass(frozen=True)
 class GraphOptions:
-    """How a walk goes on.
+    """How a walk goes on, and when clusters are taken.
 
-    ``plain`` expands all neighbours and lets only passing ones into the result; ``two_hop`` looks at the
+    how: ``plain`` expands all neighbours and lets only passing ones into the result; ``two_hop`` looks at the
     share of neighbours that pass: above ``dense`` it expands as plain, below it steps over
     nodes that don't pass to theirs that do; ``directed`` chooses between a full and a directed second
-    hop by their estimated cost; ``subgraph`` walks only through nodes that pass, up to ``degree`` of
-    them by one or two hops.
-    """
+    hop by their estimated cost; ``one_hop`` expands passing neighbours only, all of them where none passes; ``subgraph`` walks only
+    through nodes that pass, up to ``degree`` of them by one or two hops; ``in_place`` is two_hop that looks no further than ``step``
+    nodes; ``improving`` is plain that ends when ``step`` expansions in a row have not bettered the result.
+
+    pull: ``never`` walks only; ``only`` takes clusters only; ``sparse`` takes clusters when ``sparse`` or less of what the last
+    walk saw passes, or it found nothing; ``always`` takes turns; ``race`` goes on where the next thing is nearer; ``late`` takes clusters when
+    the walk has ended without k rows; ``dead_end`` takes the clusters of nodes from which the walk found nothing.  Clusters are taken, nearest
+    first, until they give ``nrel`` passing rows; the nearest ``inject`` of these (half of k by default) go on the walk's frontier.
+    A search ends with ``efs`` rows (``ef`` by default), or when both are exhausted.  rank: ``exact`` or by a ``graph`` over the centroids."""
 
     how: str = "two_hop"
     ef: int = 64
     step: int = 20
     dense: float = 0.3
     degree: int = 32
+    pull: str = "never"
+    efs: int = 0
+    nrel: int = 50
+    sparse: float = 0.05
+    inject: int | None = None
+    rank: str = "exact"
+
+
+class Level:
+    """Neighbours of the nodes of a layer, one list after the other."""
+
+    def __init__(self, nodes: np.ndarray, offsets: np.ndarray, targets: np.ndarray):
+        self.nodes, self.offsets, self.targets = nodes, offsets, targets
+
+    @staticmethod
+    def of(n: int, nodes: np.ndarray, lists: list[np.ndarray]) -> "Level":
+        size = np.zeros(n, np.int64)
+        size[nodes] = [len(x) for x in lists]
+        return Level(nodes.astype(np.int32), np.append(0, np.cumsum(size)).astype(np.int32), np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int32))
+
+    def near(self, node: int) -> np.ndarray:
+        return self.targets[self.offsets[node] : self.offsets[node + 1]]
+
+    def lists(self) -> list[np.ndarray]:
+        return [self.near(n) for n in self.nodes.tolist()]
 
 
 class ShardGraph:
-    """The rows of a shard, by position, and the neighbours of each on each level."""
+    """The rows of a shard in order of id, their clusters, and the neighbours of each on each level."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: list[dict[int, np.ndarray]]):
-        self.ids, self.vectors, self.levels = ids, vectors.astype(np.float32), levels
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: list[Level], clusters: np.ndarray | None = None):
+        self.ids, self.vectors, self.levels = ids, vectors.astype(np.float32, copy=False), levels
+        self.clusters = np.zeros(len(ids), np.int32) if clusters is None else clusters
+        self.by_cluster = np.argsort(self.clusters, kind="stable")
+        self.sorted_clusters = self.clusters[self.by_cluster]
 
     @staticmethod
-    def build(ids: np.ndarray, vectors: np.ndarray, m: int = 16, ef: int = 64, fanout: int = 16) -> "ShardGraph":
+    def build(ids: np.ndarray, vectors: np.ndarray, m: int = 16, ef: int = 64, fanout: int = 16, kind: str = "layered", gamma: int = 4, clusters: np.ndarray | None = None) -> "ShardGraph":
+        """kind: ``layered``; ``relative``: one layer of edges that no third node is nearer to both ends of; ``dense``: ``m`` * ``gamma``
+        candidates, of which those are left out, beyond the first m, that two hops reach."""
+        n = len(ids)
         rank = np.argsort(((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)), kind="stable")
-        place = np.empty(len(ids), np.int64)
-        place[rank] = np.arange(len(ids))
-        levels, count = [], len(ids)
+        place = np.empty(n, np.int64)
+        place[rank] = np.arange(n)
+        levels, count = [], n
         while True:
-            levels.append(ShardGraph._layer(vectors, np.flatnonzero(place < count), m * (2 if not levels else 1), ef))
-            if count <= max(m, 2):
+            nodes = np.flatnonzero(place < count)
+            lists = ShardGraph._layer(vectors, nodes, m * (2 if not levels else 1), ef if kind != "dense" else max(ef, m * gamma), kind, m)
+            levels.append(Level.of(n, nodes, lists))
+            if kind == "relative" or count <= max(m, 2):
                 break
             count = max(1, count // fanout)
-        return ShardGraph(ids, vectors, levels)
+        return ShardGraph(ids, vectors, levels, clusters)
 
     @staticmethod
-    def _layer(vectors: np.ndarray, nodes: np.ndarray, most: int, ef: int) -> dict[int, np.ndarray]:
+    def _layer(vectors: np.ndarray, nodes: np.ndarray, most: int, ef: int, kind: str, m: int) -> list[np.ndarray]:
         x = vectors[nodes].astype(float)
         n = len(nodes)
         if n == 1:
-            return {int(nodes[0]): np.zeros(0, np.int64)}
+            return [np.zeros(0, np.int64)]
         square = (x * x).sum(1)
-        kept: list[list[int]] = [[] for _ in range(n)]
+        ef = min(ef, n - 1)
+        near, gap = np.zeros((n, ef), np.int64), np.zeros((n, ef))
         for first in range(0, n, 512):
             d = square[first : first + 512, None] + square[None, :] - 2 * x[first : first + 512] @ x.T
-            d[np.arange(len(d)), np.arange(first, first + len(d))] = np.inf
-            near = np.argpartition(d, min(ef, n - 1) - 1, axis=1)[:, : min(ef, n - 1)]
-            for i in range(len(d)):
-                order = near[i][np.argsort(d[i][near[i]], kind="stable")]
-                own = kept[first + i]
+            rows = np.arange(len(d))
+            d[rows, rows + first] = np.inf
+            some = np.argpartition(d, ef - 1, axis=1)[:, :ef]
+            by = np.argsort(d[rows[:, None], some], axis=1, kind="stable")
+            near[first : first + 512] = some[rows[:, None], by]
+            gap[first : first + 512] = d[rows[:, None], near[first : first + 512]]
+        both: list[set[int]] = [set() for _ in range(n)]
+        kept = []
+        for i in range(n):
+            order, d = near[i], gap[i]
+            if kind == "dense":
+                chosen, covered = list(range(min(m, ef))), set()
+                for a in range(m, ef):
+                    if int(order[a]) not in covered:
+                        chosen.append(a)
+                        covered.update(near[order[a], :m].tolist())
+            else:
                 between = square[order][:, None] + square[order][None, :] - 2 * x[order] @ x[order].T
-                chosen: list[int] = []
-                for a in range(len(order)):
-                    if len(chosen) < most // 2 and all(between[a, b] >= d[i][order[a]] for b in chosen):
+                closer = between < d[:, None] - 1e-12  # [a, b]: b is nearer to a than the node is
+                if kind == "relative":
+                    chosen = np.flatnonzero(~(closer & (np.arange(ef)[None, :] < np.arange(ef)[:, None])).any(1)).tolist()
+                else:
+                    chosen, alive = [], np.ones(ef, bool)
+                    while len(chosen) < max(1, most // 2) and alive.any():
+                        a = int(alive.argmax())
                         chosen.append(a)
-                own += [int(order[a]) for a in chosen]
-        both: list[set[int]] = [set(k) for k in kept]
+                        alive &= ~closer[:, a]
+                        alive[a] = False
+            kept.append(order[chosen])
+            both[i].update(order[chosen].tolist())
         for i, own in enumerate(kept):
-            for j in own:
-                if len(both[j]) < most:
+            for j in own.tolist():
+                if kind != "layered" or len(both[j]) < most:
                     both[j].add(i)
-        for i in range(1, n):  # a chain keeps the layer in one piece
-            if not both[i] & set(range(i)):
-                j = int(np.argmin(square[:i] + square[i] - 2 * x[:i] @ x[i]))
-                both[i].add(j)
-                both[j].add(i)
-        return {int(nodes[i]): nodes[sorted(b)] for i, b in enumerate(both)}
+        # parts that no edge joins get one, to the nearest node of what is joined already
+        part = np.full(n, -1)
+        for first in range(n):
+            if part[first] >= 0:
+                continue
+            joined = np.flatnonzero(part >= 0)
+            todo, part[first] = [first], first
+            while todo:
+                for j in both[todo.pop()]:
+                    if part[j] < 0:
+                        part[j] = first
+                        todo.append(j)
+            if len(joined):
+                j = int(joined[np.argmin(square[joined] - 2 * x[joined] @ x[first])])
+                both[first].add(j)
+                both[j].add(first)
+        return [nodes[sorted(b)] for b in both]
+
+    def insert(self, ids: np.ndarray, vectors: np.ndarray, m: int = 16, ef: int = 64, clusters: np.ndarray | None = None) -> "ShardGraph":
+        """The graph with further rows, each joined on the lowest level to diverse ones of the nearest that a walk finds; ids that are there already are replaced."""
+        out = self
+        stay = ~np.isin(self.ids, ids)
+        lists: list[set[int]] = [set(x.tolist()) for x in self.levels[0].lists()]
+        every, own_ids = [*self.vectors], [*self.ids.tolist()]
+        for i, v in zip(ids.tolist(), vectors.astype(np.float32)):
+            cursor = Cursor(out, v, np.ones(len(out.ids), bool), GraphOptions("plain", ef=ef)).open()
+            found = [n for _, _, n in heapq.nsmallest(ef, cursor.found)]
+            new = len(lists)
+            # among those that were inserted before too
+            found = sorted({*found, *range(len(out.ids), new)}, key=lambda n: float(((every[n] - v) ** 2).sum()))[:ef]
+            chosen: list[int] = []
+            for n in found:
+                if len(chosen) < m and all(((every[n] - every[c]) ** 2).sum() >= ((every[n] - v) ** 2).sum() for c in chosen):
+                    chosen.append(n)
+            lists.append(set(chosen))
+            for c in chosen:
+                lists[c].add(new)
+            every.append(v)
+            own_ids.append(i)
+        total = len(own_ids)
+        low = Level.of(total, np.arange(total), [np.array(sorted(x), np.int64) for x in lists])
+        upper = [Level(lv.nodes, np.append(lv.offsets, np.full(total - len(self.ids), lv.offsets[-1], np.int32)), lv.targets) for lv in self.levels[1:]]
+        both = np.append(self.clusters, np.zeros(len(ids), np.int32) if clusters is None else clusters).astype(np.int32)
+        names = np.array(own_ids, np.int64)
+        names[: len(self.ids)][~stay] = np.iinfo(np.int64).min  # a replaced row is walked through and has no name
+        return ShardGraph(names, np.array(every, np.float32), [low, *upper], both)
 
     def near(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         gap = self.vectors[nodes] - q
@@ -101,24 +206,28 @@ class ShardGraph:
 
     def entry(self, q: np.ndarray) -> int:
         """Greedy descent from the top level."""
-        at = next(iter(self.levels[-1]))
+        at = int(self.levels[-1].nodes[0])
         best = self.near(q, np.array([at]))[0]
         for level in self.levels[:0:-1]:
-            while len(level.get(at, ())):
-                d = self.near(q, level[at])
+            while len(around := level.near(at)):
+                d = self.near(q, around)
                 i = int(d.argmin())
                 if d[i] >= best:
                     break
-                at, best = int(level[at][i]), d[i]
+                at, best = int(around[i]), d[i]
         return at
 
+    def rows_of(self, cluster: int) -> np.ndarray:
+        a, b = np.searchsorted(self.sorted_clusters, [cluster, cluster + 1])
+        return self.by_cluster[a:b]
+
 
 @dataclass
 class Cursor:
     """A walk that can be taken up again: rows come out nearest first, in batches.
 
-    ``open`` descends and walks once; ``next_batch`` lets the bound on the frontier grow by ``step``
-    and readmits what the smaller bound had turned away; ``next`` hands out single rows and None at the end.
+    ``open`` descends and walks once; ``more`` lets the bound on the frontier grow by ``step``
+    and readmits what the smaller bound had turned away; ``next_batch`` and ``next`` hand rows out, None at the end.
     """
 
     graph: ShardGraph
@@ -130,77 +239,112 @@ class Cursor:
     frontier: list = field(default_factory=list)
     turned_away: list = field(default_factory=list)
     found: list = field(default_factory=list)
+    dead_ends: list = field(default_factory=list)
     given: set = field(default_factory=set)
 
-    def open(self) -> "Cursor":
+    def __post_init__(self) -> None:
         self.seen = np.zeros(len(self.graph.ids), bool)
         self.ef = self.options.ef
+        self.best: list[float] = []  # the ef least distances found, the greatest first, negative
+        self.looked = self.passed = 0
+
+    def open(self) -> "Cursor":
         self.add([self.graph.entry(self.q)])
         self.walk()
         return self
 
-    def add(self, nodes) -> None:
-        """Puts nodes on the frontier, and into the results those that pass."""
+    def resume(self, nodes) -> "Cursor":
+        """A walk that starts at given nodes instead of descending."""
+        self.add(nodes)
+        self.walk()
+        return self
+
+    def add(self, nodes, onward: int | None = None) -> int:
+        """Puts the nearest ``onward`` of the nodes (all by default) on the frontier, and into the results all that pass; returns how many are new."""
         nodes = np.asarray(nodes, np.int64)
         nodes = np.unique(nodes[~self.seen[nodes]]) if len(nodes) else nodes
         if not len(nodes):
-            return
+            return 0
         self.seen[nodes] = True
         self.computed += len(nodes)
-        for d, n in zip(self.graph.near(self.q, nodes).tolist(), nodes.tolist()):
-            heapq.heappush(self.frontier, (d, n))
+        self.looked += len(nodes)
+        rows = sorted(zip(self.graph.near(self.q, nodes).tolist(), nodes.tolist()))
+        for i, (d, n) in enumerate(rows):
+            if onward is None or i < onward:
+                heapq.heappush(self.frontier, (d, n))
             if self.passing[n]:
+                self.passed += 1
                 heapq.heappush(self.found, (d, int(self.graph.ids[n]), n))
+                heapq.heappush(self.best, -d)
+                if len(self.best) > self.ef:
+                    heapq.heappop(self.best)
+        return len(nodes)
 
     def bound(self) -> float:
         """Distance of the ef-th best row that is found."""
-        return heapq.nsmallest(self.ef, self.found)[-1][0] if len(self.found) >= self.ef else np.inf
+        return -self.best[0] if len(self.best) >= self.ef else np.inf
 
     def reach(self, node: int) -> np.ndarray:
         """Nodes to look at from here."""
         level, how = self.graph.levels[0], self.options.how
-        one = level.get(node, np.zeros(0, np.int64))
-        one = one[one < len(self.passing)]
-        if how == "plain" or not len(one):
+        one = level.near(node)
+        if how in ("plain", "improving") or not len(one):
             return one
-        share = self.passing[one].mean()
-        if how in ("two_hop", "directed") and share > self.options.dense:
+        passes = self.passing[one]
+        share = passes.mean()
+        if how == "one_hop":
+            return one[passes] if passes.any() else one
+        if how in ("two_hop", "directed", "in_place") and share > self.options.dense:
             return one
-        over = one[~self.passing[one]]
+        over = one[~passes]
         if how == "directed" and len(over) and share * len(one) * len(one) > 4 * self.options.degree:
             # second hops under the nearest of those that don't pass are cheaper than under all
             over = over[np.argsort(self.graph.near(self.q, over))[: max(1, len(over) // 4)]]
             self.computed += len(over)
-        two = [level.get(int(n), one[:0]) for n in (one if how == "subgraph" else over)]
+        two = [level.near(int(n)) for n in (one if how == "subgraph" else over)]
         two = np.unique(np.concatenate(two)) if two else one[:0]
         two = two[self.passing[two]]
-        wanted = np.concatenate([one[self.passing[one]], two])
+        wanted = np.concatenate([one[passes], two])
         if how == "subgraph":
             return wanted[: 2 * self.options.degree] if len(wanted) else one
+        if how == "in_place":
+            wanted = wanted[: self.options.step]
         return wanted if len(wanted) else one  # nothing passes near: go on as plain
 
     def walk(self) -> None:
-        bound = self.bound()
+        self.looked = self.passed = idle = 0
         while self.frontier:
             d, node = heapq.heappop(self.frontier)
-            if d > bound:
+            if d > self.bound():
                 heapq.heappush(self.turned_away, (d, node))
-                if not self.frontier or self.frontier[0][0] > bound:
+                if not self.frontier or self.frontier[0][0] > self.bound():
                     break
                 continue
-            before = len(self.found)
+            before, bound = len(self.found), self.bound()
             self.add(self.reach(node))
-            if len(self.found) != before:
-                bound = self.bound()
+            if len(self.found) == before:
+                self.dead_ends.append((d, node))
+            idle = 0 if self.bound() < bound or bound == np.inf else idle + 1
+            if self.options.how == "improving" and idle >= self.options.step:
+                break
+
+    @property
+    def ended(self) -> bool:
+        return not self.frontier and not self.turned_away
+
+    def more(self) -> None:
+        self.ef += self.options.step
+        self.best = [-d for d, *_ in heapq.nsmallest(self.ef, self.found)]
+        heapq.heapify(self.best)
+        for x in self.turned_away:
+            heapq.heappush(self.frontier, x)
+        self.turned_away = []
+        self.walk()
 
     def next_batch(self) -> list[tuple[float, int]]:
         """The next ``step`` rows as (dist, id)."""
-        while len(self.found) < len(self.given) + self.options.step and (self.frontier or self.turned_away):
-            self.ef += self.options.step
-            for x in self.turned_away:
-                heapq.heappush(self.frontier, x)
-            self.turned_away = []
-            self.walk()
+        while len(self.found) < len(self.given) + self.options.step and not self.ended:
+            self.more()
         best = heapq.nsmallest(self.options.step, (f for f in self.found if f[2] not in self.given))
         self.given |= {n for _, _, n in best}
         return [(d, i) for d, i, _ in best]
@@ -217,10 +361,82 @@ class Cursor:
         self.frontier, self.turned_away, self.found = [], [], []
 
 
+@dataclass
+class Effort:
+    """Distances computed by the walk and for clusters' rows, clusters taken, rounds."""
+
+    walked: int = 0
+    scanned: int = 0
+    clusters: int = 0
+    rounds: int = 0
+
+
+def cooperate(graph: ShardGraph, q: np.ndarray, passing: np.ndarray, k: int, o: GraphOptions, ranked: Iterator[tuple[float, int]]) -> tuple[list[tuple[float, int, int]], Effort]:
+    """(dist, id, node) of passing rows, unordered, by the walk and by clusters (ranked: distance and number, nearest first), which exchange what they find."""
+    effort, cursor = Effort(), Cursor(graph, q, passing, o)
+    efs = max(o.efs or o.ef, k)
+    inject = max(1, k // 2) if o.inject is None else o.inject
+    upcoming = next(ranked, None) if o.pull != "never" else None
+    taken: set[int] = set()
+
+    def take(cluster: int) -> int:
+        if cluster in taken:
+            return 0
+        taken.add(cluster)
+        rows = graph.rows_of(cluster)
+        rows = rows[passing[rows] & ~cursor.seen[rows]]
+        effort.clusters += 1
+        effort.scanned += len(rows)
+        before = cursor.computed
+        cursor.add(rows, inject)
+        cursor.computed = before
+        return len(rows)
+
+    def take_next() -> None:
+        nonlocal upcoming
+        got = 0
+        while upcoming and got < o.nrel:
+            got += take(upcoming[1])
+            upcoming = next(ranked, None)
+
+    if o.pull != "only":
+        cursor.add([graph.entry(q)])
+    while True:
+        effort.rounds += 1
+        before = len(cursor.found)
+        ahead = o.pull == "race" and upcoming and (not cursor.frontier or upcoming[0] < cursor.frontier[0][0])
+        if o.pull != "only" and not ahead:
+            cursor.walk() if effort.rounds == 1 else cursor.more()
+        fresh, share = len(cursor.found) - before, cursor.passed / cursor.looked if cursor.looked else 0.0
+        if o.pull == "dead_end":
+            for _, node in sorted(cursor.dead_ends)[:inject]:
+                take(int(graph.clusters[node]))
+            cursor.dead_ends = []
+        if ahead or o.pull in ("only", "always") or o.pull == "sparse" and (share <= o.sparse or not fresh) or o.pull in ("late", "dead_end") and (cursor.ended or len(cursor.found) < k and not fresh) or o.pull == "race" and cursor.ended:
+            take_next()
+        if len(cursor.found) >= efs and (o.pull == "only" or not cursor.frontier or cursor.frontier[0][0] > cursor.bound()):
+            break
+        if not upcoming and (o.pull == "only" or cursor.ended):
+            break
+    effort.walked = cursor.computed
+    return cursor.found, effort
+
+
+def shards_for(base: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+    """As many shards as keep each at ``shard_bytes`` of vectors."""
+    row = base.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dim")).first()
+    return max(1, -(-row["n"] * 4 * (row["dim"] or 1) // shard_bytes))
+
+
 def with_shards(base: DataFrame, shards: int) -> DataFrame:
     return base.where("embedding is not null").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
 
 
+def _floats(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten(), np.float32).reshape(n, -1)
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
     """Whole shards of rows that come sorted by the first column."""
     held: list[pa.RecordBatch] = []
@@ -238,80 +454,186 @@ def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table
         yield held[-1].column(0)[0].as_py(), pa.Table.from_batches(held)
 
 
-def build_graph(base: DataFrame, shards: int, m: int = 16, ef: int = 64) -> DataFrame:
-    """Edges (shard, level, id, neighbors) of the base's graphs."""
+def _packed(shard: int, shards: int, g: ShardGraph) -> pa.RecordBatch:
+    parts = [g.ids.astype("<i8"), g.vectors.astype("<f4"), g.clusters.astype("<i4")]
+    levels = [[np.ascontiguousarray(x, "<i4").tobytes() for x in (lv.nodes, lv.offsets, lv.targets)] for lv in g.levels]
+    columns = [pa.array([shard], pa.int32()), pa.array([shards], pa.int32()), pa.array([len(g.ids)], pa.int32()), *[pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts], pa.array([[x for lv in levels for x in lv]], pa.list_(pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, SHARD_NAMES)
+
+
+SHARD_NAMES = ["shard", "shards", "n", "ids", "vectors", "clusters", "levels"]
+SHARD_SCHEMA = "shard int, shards int, n int, ids binary, vectors binary, clusters binary, levels array<binary>"
+
+
+def unpacked(n: int, ids: bytes, vectors: bytes, clusters: bytes, levels: list[bytes]) -> ShardGraph:
+    x = [np.frombuffer(b, "<i4") for b in levels]
+    return ShardGraph(np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f4").reshape(n, -1), [Level(*x[i : i + 3]) for i in range(0, len(x), 3)], np.frombuffer(clusters, "<i4"))
+
+
+def build_shards(base: DataFrame, shards: int | None = None, m: int = 16, ef: int = 64, kind: str = "layered", gamma: int = 4) -> DataFrame:
+    """One row a shard: its graph, with the rows' clusters if the base has a column of that name."""
+    shards = shards or shards_for(base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard, rows in _by_shard(batches):
             ids = np.asarray(rows.column("id"), np.int64)
-            x = np.array(rows.column("v").to_pylist(), np.float32)
-            graph = ShardGraph.build(ids, x, m, ef)
-            for level, nodes in enumerate(graph.levels):
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(nodes), pa.int32()), pa.array([level] * len(nodes), pa.int32()), pa.array(ids[list(nodes)]), pa.array([ids[n].tolist() for n in nodes.values()], pa.list_(pa.int64()))], ["shard", "level", "id", "neighbors"])
+            graph = ShardGraph.build(ids, _floats(rows.column("v"), len(ids)), m, ef, kind=kind, gamma=gamma, clusters=np.asarray(rows.column("cluster"), np.int32))
+            yield _packed(shard, shards, graph)
 
-    dealt = with_shards(base, shards).select("shard", "id", F.col("embedding").cast("array<float>").alias("v")).repartition("shard").sortWithinPartitions("shard", "id")
-    return dealt.mapInArrow(run, "shard int, level int, id long, neighbors array<long>")
+    cluster = F.col("cluster").cast("int") if "cluster" in base.columns else F.lit(0)
+    dealt = with_shards(base, shards).select("shard", "id", F.col("embedding").cast("array<float>").alias("v"), cluster.alias("cluster"))
+    return dealt.repartition("shard").sortWithinPartitions("shard", "id").mapInArrow(run, SHARD_SCHEMA)
 
 
-def graph_search(base: DataFrame, edges: DataFrame, queries: DataFrame, k: int, predicate: Predicate | None = None, options: GraphOptions = GraphOptions(), attrs: tuple[str, ...] = (), bounds: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """k nearest passing rows by the shards' graphs.
+def insert_rows(shards: DataFrame, rows: DataFrame, m: int = 16, ef: int = 64) -> DataFrame:
+    """The shards with further rows (id, embedding, and cluster if there is one), which replace those of the same id."""
+    n = shards.select("shards").first()["shards"]
+    cluster = F.col("cluster").cast("int") if "cluster" in rows.columns else F.lit(0)
+    new = with_shards(rows, n).groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("id", F.col("embedding").cast("array<float>").alias("v"), cluster.alias("cluster")))).alias("new"))
 
-    A shared predicate is a column that the JVM works out; ranges of each query are ``attrs`` with the
-    names of the query's ``bounds``, tested by the walk.  Squared L2 only.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                graph = unpacked(row["n"], row["ids"], row["vectors"], row["clusters"], row["levels"])
+                if row["new"]:
+                    graph = graph.insert(np.array([x["id"] for x in row["new"]]), np.array([x["v"] for x in row["new"]], np.float32), m, ef, np.array([x["cluster"] for x in row["new"]], np.int32))
+                yield _packed(row["shard"], n, graph)
+
+    return shards.join(new, "shard", "left").mapInArrow(run, SHARD_SCHEMA)
+
+
+def edges_of(shards: DataFrame) -> DataFrame:
+    """Edges (shard, level, id, neighbors)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                g = unpacked(row["n"], row["ids"], row["vectors"], row["clusters"], row["levels"])
+                for level, lv in enumerate(g.levels):
+                    size = len(lv.nodes)
+                    lists = [g.ids[x] for x in lv.lists()]
+                    offsets = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+                    flat = pa.array(np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["shard"]] * size, pa.int32()), pa.array([level] * size, pa.int32()), pa.array(g.ids[lv.nodes]), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["shard", "level", "id", "neighbors"])
+
+    return shards.mapInArrow(run, "shard int, level int, id long, neighbors array<long>")
+
+
+def build_graph(base: DataFrame, shards: int | None = None, m: int = 16, ef: int = 64, kind: str = "layered") -> DataFrame:
+    return edges_of(build_shards(base, shards, m, ef, kind))
+
+
+def passing_ids(base: DataFrame, queries: DataFrame, predicate: Predicate | None, shards: int) -> DataFrame:
+    """shard, passing (of each query, or of null for all queries: the ids of the base's rows that pass).
+
+    Only ids are shuffled; a shard's row of the result holds at most a shard's ids for each query of a block."""
+    rows = with_shards(base, shards)
+    if predicate and predicate.per_query:
+        met = rows.drop("embedding").join(F.broadcast(queries.drop("q")), predicate.column()).select("shard", "qid", "id")
+    else:
+        met = (rows.where(predicate.column()) if predicate else rows).select("shard", F.lit(None).cast("long").alias("qid"), "id")
+    return met.groupBy("shard", "qid").agg(F.collect_list("id").alias("ids")).groupBy("shard").agg(F.collect_list(F.struct("qid", "ids")).alias("passing"))
+
+
+def walk(base: DataFrame | None, shards: DataFrame, queries: DataFrame, k: int, predicate: Predicate | None = None, options: GraphOptions = GraphOptions(), centroids: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """qid, id, dist of k rows or more a query and shard, and a row a query and shard with the walk's effort (walked, scanned, clusters,
+    rounds), whose id is null.  Squared L2 only.
+
+    base: the attributes, from which the predicate is worked out, and the rows that there are (None: all rows of the shards, without a predicate);
+    members: instead of a predicate, (qid, id) of what passes; centroids: (cluster, centroid) for options that take clusters."""
+    n = shards.select("shards").first()
     parts = []
-    shards = edges.agg(F.max("shard")).first()[0]
-    if shards is None:
-        return top_k(base.sparkSession.createDataFrame([], "qid long, id long, dist double"), k)
     for block in query_blocks(queries):
-        parts.append(_search_block(base, edges, block, k, predicate, options, attrs, bounds, shards + 1))
+        size = block.count()
+        lots = max(1, -(-size // QUERIES_AT_ONCE)) if predicate and predicate.per_query or members is not None else 1
+        for i in range(lots):
+            some = block.where(F.pmod(F.xxhash64("qid"), F.lit(lots)) == i) if lots > 1 else block
+            parts.append(_walk_block(base, shards, some, k, predicate, options, centroids, members, n["shards"] if n else 1))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _search_block(base, edges, block, k, predicate, options, attrs, bounds, shards) -> DataFrame:
-    held = block.where(F.col("q").isNotNull()).toArrow()
+def _walk_block(base, shards, block, k, predicate, options, centroids, members, n_shards) -> DataFrame:
+    spark = shards.sparkSession
+    held = block.where(F.col("q").isNotNull()).select("qid", F.col("q").cast("array<float>").alias("q")).toArrow()  # BROADCAST_BYTES at most
     qid = np.asarray(held.column("qid"), np.int64)
-    q = np.array(held.column("q").to_pylist(), np.float32).reshape(len(qid), -1)
-    low = np.array([held.column(a).to_pylist() for a, _ in bounds], float).reshape(len(bounds), len(qid))
-    high = np.array([held.column(b).to_pylist() for _, b in bounds], float).reshape(len(bounds), len(qid))
-    shared = base.sparkSession.sparkContext.broadcast((qid, q, low, high))
+    q = _floats(held.column("q"), len(qid)) if len(qid) else np.zeros((0, 1), np.float32)
+    numbers, centres, over = np.zeros(0, np.int32), np.zeros((0, q.shape[1]), np.float32), None
+    if options.pull != "never":
+        table = centroids.select(F.col("cluster").cast("int").alias("cluster"), F.col("centroid").cast("array<float>").alias("v")).toArrow()  # MOST_CLUSTERS at most, by ivf.train
+        numbers, centres = np.asarray(table.column("cluster"), np.int32), _floats(table.column("v"), table.num_rows)
+        if options.rank == "graph" and 1 < len(numbers) <= MOST_RANKED:
+            over = ShardGraph.build(numbers.astype(np.int64), centres, m=8, ef=32)
+    shared = spark.sparkContext.broadcast((qid, q, numbers, centres, over))
+    every = base is None and members is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q, low, high = shared.value
-        for _, rows in _by_shard(batches):
-            ids = np.asarray(rows.column("id"), np.int64)
-            x = np.array(rows.column("v").to_pylist(), np.float32)
-            passing = np.array(rows.column("passing").to_pylist(), bool)
-            values = np.array([rows.column(f"a{i}").to_pylist() for i in range(len(attrs))], float).reshape(len(attrs), len(ids))
-            place = {int(i): n for n, i in enumerate(ids.tolist())}
-            levels: list[dict[int, np.ndarray]] = []
-            for n, lists in enumerate(rows.column("edges").to_pylist()):
-                for e in lists or ():
-                    while len(levels) <= e["level"]:
-                        levels.append({})
-                    levels[e["level"]][n] = np.array([place[t] for t in e["neighbors"] if t in place], np.int64)
-            levels = [lv for lv in levels if lv] or [{0: np.zeros(0, np.int64)}]
-            graph = ShardGraph(ids, x, levels)
-            for i in range(len(qid)):
-                own = passing
-                for a in range(len(attrs)):
-                    own = own & (values[a] >= low[a, i]) & (values[a] <= high[a, i])
-                if not own.any():
-                    continue
-                cursor = Cursor(graph, q[i], own, options).open()
-                best = heapq.nsmallest(2 * k, cursor.found)
-                if best:
-                    at = np.array([n for _, _, n in best])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), qid[i])), pa.array(ids[at]), pa.array(folded_distance("l2sq", x[at], np.repeat(q[i : i + 1], len(at), 0)))], ["qid", "id", "dist"])
-
-    lists = edges.groupBy("id").agg(F.collect_list(F.struct("level", "neighbors")).alias("edges"))  # one entry a level
-    passing = F.coalesce(predicate.column(), F.lit(False)) if predicate else F.lit(True)
-    nodes = with_shards(base, shards).select("shard", "id", F.col("embedding").cast("array<float>").alias("v"), passing.alias("passing"), *[F.col(a).cast("double").alias(f"a{i}") for i, a in enumerate(attrs)])
-    dealt = nodes.join(lists, "id", "left").select("shard", "id", "v", "passing", "edges", *[f"a{i}" for i in range(len(attrs))]).repartition("shard").sortWithinPartitions("shard", "id")
-    return top_k(dealt.mapInArrow(run, "qid long, id long, dist double").distinct(), k)
+        qid, q, numbers, centres, over = shared.value
+        order = None
+
+        def ranked(i: int) -> Iterator[tuple[float, int]]:
+            nonlocal order
+            if over is not None:
+                return iter(Cursor(over, q[i], np.ones(len(numbers), bool), GraphOptions("plain", ef=16)).open())
+            if order is None:
+                d = np.maximum(0, (q * q).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * q @ centres.T)
+                order = d, np.lexsort((np.broadcast_to(numbers, d.shape), d), axis=1)
+            d, by = order
+            return ((float(d[i, c]), int(numbers[c])) for c in by[i].tolist())
+
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = {name: batch.column(j)[at] for j, name in enumerate(batch.schema.names)}
+                graph = unpacked(row["n"].as_py(), *(row[c].as_py() for c in ("ids", "vectors", "clusters", "levels")))
+                masks: dict[int | None, np.ndarray] = {}
+                if every:
+                    masks[None] = graph.ids != np.iinfo(np.int64).min
+                elif row["passing"].is_valid:
+                    for p in row["passing"].values:
+                        masks[p["qid"].as_py()] = np.isin(graph.ids, np.asarray(p["ids"].values, np.int64))
+                found: list[tuple[np.ndarray, ...]] = []
+                efforts: list[tuple] = []
+                for i, name in enumerate(qid.tolist()):
+                    mask = masks.get(name, masks.get(None))
+                    if mask is None or not mask.any():
+                        continue
+                    rows, e = cooperate(graph, q[i], mask, k, options, ranked(i))
+                    efforts.append((name, e.walked, e.scanned, e.clusters, e.rounds))
+                    best = np.array([x for _, _, x in heapq.nsmallest(2 * k, rows)], np.int64)
+                    found.append((np.full(len(best), name), graph.ids[best], folded_distance("l2sq", graph.vectors[best], np.repeat(q[i : i + 1], len(best), 0))))
+                if efforts:
+                    whos, which, dist = (np.concatenate(c) for c in zip(*found))
+                    e = list(zip(*efforts))
+                    gap = len(whos)
+                    cols = [pa.array(np.append(whos, e[0])), pa.array([*which.tolist(), *[None] * len(efforts)], pa.int64()), pa.array([*dist.tolist(), *[None] * len(efforts)], pa.float64())]
+                    cols += [pa.array([*[None] * gap, *c], pa.int64()) for c in e[1:]]
+                    yield pa.RecordBatch.from_arrays(cols, ["qid", "id", "dist", "walked", "scanned", "clusters", "rounds"])
+
+    if members is not None:
+        inside = members.select(F.pmod(F.xxhash64("id"), F.lit(n_shards)).cast("int").alias("shard"), "qid", "id").join(F.broadcast(block.select("qid")), "qid", "left_semi").distinct()
+        passing = inside.groupBy("shard", "qid").agg(F.collect_list("id").alias("ids")).groupBy("shard").agg(F.collect_list(F.struct("qid", "ids")).alias("passing"))
+    elif not every:
+        passing = passing_ids(base, block, predicate, n_shards)
+    rows = shards.select("shard", "n", "ids", "vectors", "clusters", "levels")
+    rows = rows if every else rows.join(passing, "shard").select("n", "ids", "vectors", "clusters", "levels", "passing")
+    return rows.mapInArrow(run, "qid long, id long, dist double, walked long, scanned long, clusters long, rounds long")
+
+
+def nearest(walked: DataFrame, k: int) -> DataFrame:
+    """qid, rank, id, dist of what walk() returned."""
+    return top_k(walked.where("id is not null").select("qid", "id", "dist").distinct(), k)
+
+
+def comparisons(walked: DataFrame) -> DataFrame:
+    """qid, walked, scanned (distances computed by walks and for clusters' rows), clusters, rounds, shards."""
+    return walked.where("id is null").groupBy("qid").agg(*[F.sum(c).alias(c) for c in ("walked", "scanned", "clusters", "rounds")], F.count("*").alias("shards"))
+
+
+def search(base: DataFrame | None, shards: DataFrame, queries: DataFrame, k: int, predicate: Predicate | None = None, options: GraphOptions = GraphOptions(), centroids: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """k nearest passing rows of each query (qid, rank, id, dist), by the shards' graphs; for the rest see walk()."""
+    return nearest(walk(base, shards, queries, k, predicate, options, centroids, members), k)
 
 
 def inbound_degree(edges: DataFrame) -> DataFrame:

@@ -1,11 +1,11 @@
 """Cooperative search: graph shards and clusters answer together, and a planner chooses.
 
-All strategies return (qid, rank, id, dist) and only rows that pass.
+All strategies return (qid, rank, id, dist), and only rows that pass, whatever the predicate.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 from quarryvec.operators import exact, graph, ivf
 from quarryvec.operators.predicates import Predicate
 
+#: How a strategy takes clusters during a walk (graph.GraphOptions.pull).
+PULL = {"graph": "never", "cooperative": "sparse", "alternate": "always", "race": "race", "graph_first": "late", "frontier": "dead_end", "relational": "only"}
+
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """strategy: auto, exact, graph, clusters or cooperative; efs rows are gathered by the clusters, nprobe is the
-    least number of clusters; exact_rows: up to so many passing rows the planner searches exactly, at any number by default,
+    """strategy: auto, exact, clusters (whole clusters over all shards, nearest first), or, inside the shards: graph, cooperative,
+    alternate, race, graph_first, frontier, relational (clusters alone).  efs rows are gathered, by the clusters strategy at least ``share`` of all that pass,
+    and nprobe clusters; exact_rows: up to so many passing rows the planner searches exactly, at any number by default,
     so that the result's kind doesn't turn on the size of the input."""
 
     strategy: str = "auto"
     k: int = 10
     efs: int = 100
     nprobe: int = 1
+    share: float = 0.0
     exact_rows: int | None = None
     sparse: float = 0.05
     walk: graph.GraphOptions = field(default_factory=graph.GraphOptions)
@@ -31,26 +36,27 @@ class SearchOptions:
 
 @dataclass(frozen=True)
 class Index:
-    """A base with its cluster column, centroids and edges."""
+    """A base with its cluster column, centroids, and shards."""
 
     assigned: DataFrame
     centroids: DataFrame
-    edges: DataFrame
+    shards: DataFrame
 
 
-def build(base: DataFrame, nlist: int, shards: int, m: int = 16, centroids: DataFrame | None = None) -> Index:
+def build(base: DataFrame, nlist: int, shards: int | None = None, m: int = 16, centroids: DataFrame | None = None) -> Index:
     centroids = ivf.train(base, nlist) if centroids is None else centroids
-    return Index(ivf.assign(base, centroids), centroids, graph.build_graph(base, shards, m))
+    assigned = ivf.assign(base, centroids)
+    return Index(assigned, centroids, graph.build_shards(assigned, shards, m))
 
 
 def save(index: Index, path: str, sort_by: str = "id") -> None:
     ivf.write_index(index.assigned, f"{path}/base", sort_by)
     index.centroids.write.parquet(f"{path}/centroids")
-    index.edges.write.parquet(f"{path}/edges")
+    index.shards.write.parquet(f"{path}/shards")
 
 
 def load(spark, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("base", "centroids", "edges")))
+    return Index(*(spark.read.parquet(f"{path}/{x}") for x in ("base", "centroids", "shards")))
 
 
 def choose(base: DataFrame, predicate: Predicate | None, options: SearchOptions) -> str:
@@ -67,19 +73,22 @@ def choose(base: DataFrame, predicate: Predicate | None, options: SearchOptions)
     return "clusters" if row["n_pass"] < options.sparse * row["n"] else "cooperative"
 
 
-def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOptions(), predicate: Predicate | None = None, attrs: tuple[str, ...] = (), bounds: tuple[tuple[str, str], ...] = ()) -> DataFrame:
-    """attrs and bounds: a per-query predicate's ranges again, for the graph's walk."""
+def walked(index: Index, queries: DataFrame, options: SearchOptions, predicate: Predicate | None = None, members: DataFrame | None = None) -> DataFrame:
+    """What graph.walk() returns under a strategy that runs inside the shards: graph.nearest() and graph.comparisons() read it."""
+    o = replace(options.walk, pull=PULL[options.strategy], efs=options.efs, sparse=options.sparse)
+    base = None if predicate is None and members is None else index.assigned
+    return graph.walk(base, index.shards, queries, options.k, predicate, o, index.centroids, members)
+
+
+def search(index: Index, queries: DataFrame, options: SearchOptions = SearchOptions(), predicate: Predicate | None = None, members: DataFrame | None = None) -> DataFrame:
+    """members: instead of a predicate, (qid, id) of what passes for each query (strategies inside the shards)."""
+    if members is not None:
+        how = options.strategy if options.strategy in PULL else "cooperative"
+        return graph.nearest(walked(index, queries, replace(options, strategy=how), None, members), options.k)
     how = choose(index.assigned, predicate, options)
     if how == "exact":
         return exact.filtered_knn(index.assigned, queries, options.k, predicate)
-    parts = []
-    if how in ("graph", "cooperative"):
-        shared = None if predicate and predicate.per_query else predicate
-        parts.append(graph.graph_search(index.assigned, index.edges, queries, options.k, shared, options.walk, attrs, bounds))
-    if how in ("clusters", "cooperative"):
-        probes = ivf.wave_probes(index.assigned, queries, index.centroids, options.efs, predicate, options.nprobe)
-        parts.append(ivf.probe_search(index.assigned, queries, probes, options.k, predicate))
-    found = parts[0].select("qid", "id", "dist")
-    for p in parts[1:]:
-        found = found.unionByName(p.select("qid", "id", "dist"))
-    return exact.top_k(found.distinct(), options.k)
+    if how == "clusters":
+        probes = ivf.wave_probes(index.assigned, queries, index.centroids, options.efs, predicate, options.nprobe, options.share)
+        return ivf.probe_search(index.assigned, queries, probes, options.k, predicate)
+    return graph.nearest(walked(index, queries, replace(options, strategy=how), predicate), options.k)

@@ -61,6 +61,11 @@ def rank_clusters(queries: DataFrame, centroids: DataFrame, nprobe: int | None =
     return ranked.where(F.col("probe_rank") <= nprobe) if nprobe else ranked
 
 
+def add(path: str, rows: DataFrame, centroids: DataFrame, sort_by: str) -> None:
+    """Further rows go to their clusters' folders of an index that write_index() made."""
+    assign(rows, centroids).repartition("cluster").sortWithinPartitions("cluster", sort_by).write.mode("append").partitionBy("cluster").parquet(path)
+
+
 def write_index(assigned: DataFrame, path: str, sort_by: str) -> None:
     assigned.repartition("cluster").sortWithinPartitions("cluster", sort_by).write.partitionBy("cluster").parquet(path)
 
@@ -78,8 +83,10 @@ def search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int
     return probe_search(assigned, queries, rank_clusters(queries, centroids, nprobe, metric), k, predicate, metric)
 
 
-def wave_probes(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, efs: int, predicate: Predicate | None = None, least: int = 1) -> DataFrame:
-    """The nearest clusters of each query until they hold ``efs`` passing rows, ``least`` clusters at any rate.
+def wave_probes(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, efs: int, predicate: Predicate | None = None, least: int = 1, share: float = 0.0) -> DataFrame:
+    """The nearest clusters of each query until they hold ``efs`` passing rows and ``share`` of all that pass, ``least`` clusters at any rate.
+
+    A number of rows alone reads an ever smaller part of a growing base, and recall sinks; a share doesn't.
 
     One aggregate counts the passing rows of each cluster (and query), one running sum cuts the
     list: the same clusters as taking them one at a time, without a loop, and it always ends.
@@ -92,11 +99,13 @@ def wave_probes(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, e
         rows = assigned.where(predicate.column()) if predicate else assigned
         ranked = ranked.join(rows.groupBy("cluster").agg(F.count("*").alias("n")), "cluster", "left")
     before = F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("qid").orderBy("probe_rank").rowsBetween(Window.unboundedPreceding, -1))
-    return ranked.withColumn("before", F.coalesce(before, F.lit(0))).where((F.col("before") < efs) | (F.col("probe_rank") <= least)).select("qid", "cluster", "probe_rank", "cluster_dist")
+    total = F.coalesce(F.sum("n").over(Window.partitionBy("qid")), F.lit(0))
+    ranked = ranked.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("total", total)
+    return ranked.where((F.col("before") < efs) | (F.col("before") < share * F.col("total")) | (F.col("probe_rank") <= least)).select("qid", "cluster", "probe_rank", "cluster_dist")
 
 
-def wave_search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, efs: int, predicate: Predicate | None = None) -> DataFrame:
-    return probe_search(assigned, queries, wave_probes(assigned, queries, centroids, efs, predicate), k, predicate)
+def wave_search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, efs: int, predicate: Predicate | None = None, share: float = 0.0) -> DataFrame:
+    return probe_search(assigned, queries, wave_probes(assigned, queries, centroids, efs, predicate, share=share), k, predicate)
 
 
 def imi_cells(base: DataFrame, halves: list[DataFrame], dim: int, vector: str = "embedding") -> DataFrame:
