@@ -14,6 +14,15 @@ def train_sq8(base: DataFrame, vector: str = "embedding") -> tuple[float, float]
     return (0.0, 0.0) if row["low"] is None else (float(row["low"]), float(row["high"]))
 
 
+def save_sq8(spark, path: str, low: float, high: float) -> None:
+    spark.createDataFrame([(low, high)], "low double, high double").write.mode("overwrite").parquet(path)
+
+
+def load_sq8(spark, path: str) -> tuple[float, float]:
+    row = spark.read.parquet(path).first()
+    return row["low"], row["high"]
+
+
 def encode_sq8(x: Column, low: float, high: float) -> Column:
     """Codes 0 to 255, uniform between low and high."""
     step = (high - low) / 255 or 1.0

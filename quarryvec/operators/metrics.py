@@ -78,3 +78,35 @@ def duplicate_vectors(base: DataFrame) -> DataFrame:
 
 def metrics_json(per_query: DataFrame) -> DataFrame:
     return per_query.select(F.to_json(F.struct("*")).alias("json"))
+
+
+def sorted_histogram(histogram: DataFrame) -> DataFrame:
+    """place, n: sizes from the greatest on."""
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("n"), "cluster")  # one row a cluster
+    return histogram.select(F.row_number().over(order).alias("place"), "cluster", "n")
+
+
+def recall_at(result: DataFrame, truth: DataFrame, ks: list[int], ties: bool = True) -> DataFrame:
+    """k, queries, recall, precision: means over the queries for each k."""
+    out = None
+    for k in ks:
+        one = recall(result, truth, k, ties).agg(F.count("*").alias("queries"), F.avg("recall").alias("recall"), F.avg("precision").alias("precision")).select(F.lit(k).alias("k"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def by_recall(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """runs with place: within each configuration from the least recall on, of equal ones the most queries a second first."""
+    return runs.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("recall", F.desc("qps"), "ts")))
+
+
+def proposals(effort: DataFrame) -> DataFrame:
+    """qid, computed, and the shares of distances computed by walks and for clusters' rows."""
+    total = F.col("walked") + F.col("scanned")
+    return effort.select("qid", total.alias("computed"), (F.col("walked") / F.when(total > 0, total)).alias("walk_share"), (F.col("scanned") / F.when(total > 0, total)).alias("cluster_share"), "clusters", "rounds")
+
+
+def aggregated_json(per_query: DataFrame, run: dict[str, float]) -> DataFrame:
+    """One row: the run's figures, and the means of all numeric columns of the queries."""
+    numbers = [f.name for f in per_query.schema.fields if f.dataType.typeName() in ("double", "float", "integer", "long") and f.name != "qid"]
+    return per_query.agg(*[F.avg(c).alias(c) for c in numbers]).select(F.to_json(F.struct(F.struct(*numbers).alias("aggregated"), *[F.lit(v).alias(k) for k, v in run.items()])).alias("json"))

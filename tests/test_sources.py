@@ -19,6 +19,36 @@ def test_round_trip(spark, tmp_path, kind):
     assert sorted(r["id"] for r in part.collect()) == [10, 11, 12, 13, 14]
 
 
+@pytest.mark.parametrize("kind", ["fvecs", "fbin", "raw", "ivecs"])
+def test_part_files(spark, tmp_path, kind):
+    x = np.random.default_rng(1).integers(0, 2**32 - 1, size=(50, 3)) if kind == "ivecs" else np.random.default_rng(1).normal(size=(50, 3)).astype(np.float32)
+    df = spark.createDataFrame([(2 * i, v.tolist()) for i, v in enumerate(x)], f"id long, embedding array<{'long' if kind == 'ivecs' else 'float'}>").repartition(5)
+    for path in (str(tmp_path / "a"), f"file://{tmp_path}/b"):
+        assert vectors.write_parts(df, path, kind) == 50
+        got = vectors.read_vectors(spark, path, kind, rows_per_task=7, **({"dim": 3} if kind == "raw" else {})).orderBy("id").collect()
+        assert [r["id"] for r in got] == list(range(50)) and [list(r["embedding"]) for r in got] == x.tolist()
+        part = vectors.read_vectors(spark, path, kind, start=10, count=25, **({"dim": 3} if kind == "raw" else {}))
+        assert sorted(r["id"] for r in part.collect()) == list(range(10, 35))
+    assert vectors.write_parts(df.limit(0), str(tmp_path / "none"), kind) == 0
+
+
+def test_labels_ranges_and_names(spark, tmp_path):
+    df = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(4)], "id long, embedding array<float>")
+    labels = spark.createDataFrame([(i, [i % 2]) for i in range(4)], "id long, embedding array<int>")
+    for name in ("base", "queries"):
+        vectors.write_vectors(df, str(tmp_path / name), "fvecs")
+        vectors.write_vectors(labels, str(tmp_path / f"{name}.labels"), "ivecs")
+    d = catalog.Dataset("d", str(tmp_path / "base"), str(tmp_path / "queries"), labels=str(tmp_path / "base.labels"), query_labels=str(tmp_path / "queries.labels"))
+    base, queries = d.load_labels(spark)
+    assert [r["label"] for r in base.orderBy("id").collect()] == [r["q_label"] for r in queries.orderBy("qid").collect()] == [0, 1, 0, 1]
+    packed = spark.createDataFrame([(0, 5, 9), (1, 2, 3)], "qid long, lo long, hi long")
+    vectors.write_ranges(packed, str(tmp_path / "packed"), 1, integer=True)
+    assert [tuple(r) for r in vectors.bounds_rows(spark, str(tmp_path / "packed"), 2, 1, integer=True).orderBy("qid").collect()] == [(0, 5, 9), (1, 2, 3)]
+    assert catalog.known("/data", "crawl", 2).attrs == "/data/crawl/crawl_attributes_2.raw" and len(catalog.SETS) == 10
+    with pytest.raises(KeyError):
+        catalog.known("/data", "none")
+
+
 def test_truth_bounds_and_texts(spark, tmp_path):
     df = spark.createDataFrame([(0, [5, 3]), (1, [9, 1])], "id long, embedding array<int>")
     vectors.write_vectors(df, str(tmp_path / "t.ivecs"), "ivecs")
