@@ -25,7 +25,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """The table once it is written and read again; no task has to be run again for it, and its shuffle files go."""
+    """The table once it is written and read again; no task has to be run again for it, and its shuffle files go.
+
+    It is deleted when the application ends: what a query returns may still read it until then."""
     spark = df.sparkSession
     path, schema = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", df.schema
     before = spark.conf.get(CLEANUP, None)
@@ -34,6 +36,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(schema).parquet(path)
 
 
