@@ -101,7 +101,8 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     """Two 64-bit hashes of each set."""
     out = np.zeros((len(sets), 2), np.uint64)
     for i, s in enumerate(sets):
-        out[i] = mixed(s ^ C3).sum(dtype=np.uint64) + np.uint64(len(s)) * C2 if len(s) < 1 << 32 else 0, mixed(s + C2, MIX2).sum(dtype=np.uint64)
+        out[i] = mixed(s ^ C3).sum(dtype=np.uint64), mixed(s + C2, MIX2).sum(dtype=np.uint64)
+    out[:, 0] += np.array([len(s) for s in sets], np.uint64) * C2
     out[:, 0], out[:, 1] = mixed(out[:, 0].copy()), mixed(out[:, 1] ^ C3)
     return out.view(np.int64)
 
