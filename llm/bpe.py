@@ -8,8 +8,9 @@ degenerate word of n bytes costs n log n and not n squared.
 
 Reads the JSON of a public tokenizer with the parts: NFC, ``\\s+`` to one space, lower
 case; a splitting pattern; byte-level alphabet; BPE with an end-of-word suffix; added
-tokens that are found in the raw text.  Results equal those of the tokenizers library; only
-code points that Python's Unicode tables don't assign yet may be split at other places.
+tokens that are found in the raw text.  Results equal those of the tokenizers library, whose Unicode
+tables (normal form, lower case, letters and numbers) are asked for text beyond Latin letters, as Python's
+are of other versions; splitting, merging and decoding are done here.
 Blocks of text are worked off as arrays: stretches between white space are told apart by a
 64-bit hash of their bytes, each distinct one is split and merged once, and its ids are
 remembered in a table of bounded size.
@@ -32,6 +33,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from llm.hashing import mixed, powers, prefix_sums
 
@@ -73,6 +75,26 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+class LibraryTables:
+    """The tokenizers library's Unicode tables, beside those of the ``regex`` module."""
+
+    def __init__(self, pattern: str):
+        self.normal = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+        #: Characters that the two take for different kinds.
+        self.unlike: set[str] = set()
+        for kind, sample in (("L", "a"), ("N", "1")):
+            named = regex.compile(f"\\p{{{kind}}}").findall("".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)])))
+            could = dict.fromkeys([*named, *(c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == kind)])
+            # runs of the kind and of others take turns, the sample's run first
+            parts = pre_tokenizers.Split(Regex(f"\\p{{{kind}}}+"), "isolated").pre_tokenize_str(sample + "".join(could))
+            own = set("".join(p for p, _ in parts[::2])[1:]) | {sample}
+            extra, missing = set(named) - own, own - set(named)
+            self.unlike |= extra | missing
+            named_only = f"--[{''.join(sorted(extra))}]" if extra else ""
+            pattern = pattern.replace(f"\\p{{{kind}}}", f"[[\\p{{{kind}}}{named_only}]{''.join(sorted(missing))}]")
+        self.exact = regex.compile("(?V1)" + pattern + "|\n")
+
+
 class WordBPE:
     """Encoder and decoder of one vocabulary file; made once in each Python worker."""
 
@@ -102,6 +124,7 @@ class WordBPE:
         plain = pattern.replace("[\\p{L}]", "[LL]").replace("[\\p{N}]", "[NN]").replace("\\p{L}", "LL").replace("\\p{N}", "NN").replace("[^\\s", r"[^ \t-\r\x85\xa0")
         #: The same pattern for text below LATIN_END, for Python's own faster matcher.
         self.latin = re.compile(plain.replace("LL", kinds["L"]).replace("NN", kinds["N"]) + "|\n") if "\\p" not in plain else self.pieces
+        self.pattern, self.tables = pattern, None
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
@@ -175,16 +198,17 @@ class WordBPE:
         return [p for p in parts if p >= 0]
 
     # -- stretches of text between white space ----------------------------------------------
-    def _normal(self, text: str) -> str:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() alone makes a final sigma
-        return text.lower()
-
     def _ids_of(self, chunks: list[str]) -> list[bytes]:
         """Ids of stretches of text, any of them, by the splitting pattern."""
         text = "\n".join(chunks)
-        matcher = self.pieces if _BEYOND_LATIN.search(text) else self.latin
-        pieces = matcher.findall(self._normal(text))
+        if _BEYOND_LATIN.search(text):
+            if self.tables is None:  # made when first needed
+                self.tables = LibraryTables(self.pattern)
+            text = self.tables.normal(text)
+            matcher = self.pieces if self.tables.unlike.isdisjoint(text) else self.tables.exact
+        else:
+            text, matcher = text.lower(), self.latin
+        pieces = matcher.findall(text)
         distinct = list(dict.fromkeys(w for w in pieces if w != "\n"))
         known = dict(zip(distinct, self._words_of(distinct)))
         known["\n"] = b"\n"

@@ -1,6 +1,7 @@
 """BPE against the tokenizers library, packing against its definition and against an exhaustive search."""
 
 import random
+import unicodedata
 import zlib
 from itertools import combinations
 
@@ -36,6 +37,13 @@ def test_random_text_as_the_library(library, ours):
     assert [ours.decode(g) for g in got[:300]] == library.decode_batch(got[:300], skip_special_tokens=False)
 
 
+def test_code_points_of_any_unicode_version(library, ours):
+    marks = [c for c in range(0x110000) if unicodedata.combining(chr(c))]
+    points = [*(c for c in range(0x250, 0x110000, 37) if not 0xD800 <= c < 0xE000), *marks, 0x1C89, 0xA7CB, 0x10D50, 0x11DE0, 0x16FF4, 0x88F, 0x323B0]
+    texts = [f(chr(c)) for c in points for f in (lambda c: f"a{c}b", lambda c: f"!{c}{c}1", lambda c: f"á{c}\u0323\u0301")]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ours.ids_bytes_of(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_long_words_and_full_tables(library, ours, monkeypatch):
     r = random.Random(3)
     texts = ["a" * 700 + " " + "ab" * 400, "".join(r.choice("etaoin") for _ in range(3000)), *(" ".join("".join(r.choice("etaoinshr") for _ in range(7)) for _ in range(400)) for _ in range(8))]
