@@ -335,9 +335,12 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), asked.alias("l")).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("l").alias("l")).where("matches >= l")
     groups = components(pairs.select("a", "b").unionByName(ties(hot, percent)), "candidates").withColumnRenamed("root", "grp")
 
-    sizes = groups.groupBy("grp").agg(F.count("*").alias("classes"))
+    # only large groups have blocks; their sizes are few rows, so that no group's classes are brought together to learn them
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("classes")).where(F.col("classes") > BLOCK)
+    sizes = broadcast_if_small(written(sizes, "large-groups"))
     first_of = keys.groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("id"))
-    members = groups.join(sizes, "grp").join(first_of, F.col("node") == F.col("key")).select("row", "key", "grp", F.pmod(F.xxhash64("key"), F.ceil(F.col("classes") / BLOCK)).cast("int").alias("block"), (F.col("classes") > BLOCK).alias("large"))
+    blocks = F.coalesce(F.ceil(F.col("classes") / BLOCK), F.lit(1))
+    members = groups.join(sizes, "grp", "left").join(first_of, F.col("node") == F.col("key")).select("row", "key", "grp", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.col("classes").isNotNull().alias("large"))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # of repeated rows a task sends one
