@@ -1,4 +1,4 @@
-"""The queries op1_ to op10_ and their SQL.  Each applies an operator of this package to its whole table."""
+"""The queries op1_ to op13_ and their SQL.  Each applies an operator of this package to its whole table."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, fingerprints, html_text, language_id, licenses, ngram_join, packing, pii, quality, suffix_dedup
+from llm import bpe, fingerprints, html_text, language_id, licenses, ngram_join, packing, pii, quality, sharding, suffix_dedup, token_alignment, whitening
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: For these queries only; a deployment hands its own secret to the operator.
 PII_KEY = "public test key"
@@ -67,8 +69,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(read(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.counted(read(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_html": op2_html, "op3_language": op3_language, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op9_licenses": op9_licenses, "op10_suffix_dedup": op10_suffix_dedup}
+    return {"op1_packing": op1_packing, "op2_html": op2_html, "op3_language": op3_language, "op4_quality": op4_quality, "op5_pii": op5_pii, "op6_winnowing": op6_winnowing, "op7_bpe": op7_bpe, "op8_ngram_join": op8_ngram_join, "op9_licenses": op9_licenses, "op10_suffix_dedup": op10_suffix_dedup, "op11_sharding": op11_sharding, "op12_token_alignment": op12_token_alignment, "op13_whitening": op13_whitening}
 
 
 SQL_8 = r"""

@@ -20,7 +20,11 @@ COLUMNS = {
     "op8_ngram_join": "doc_id n_shingles component_id",
     "op9_licenses": "doc_id license start stop coverage",
     "op10_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op11_sharding": "doc_id size text_crc32 law shard slot grown_shard",
+    "op12_token_alignment": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13_whitening": "vec_id component n deviation whitened explained identity_error",
 }
+TABLES = {"op2_html": "pages", "op13_whitening": "embeddings"}
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
@@ -29,8 +33,10 @@ def test_query(spark, name):
 
     got = __spark_entry__.queries()[name](spark, DATA).toPandas()
     assert got.columns.tolist() == COLUMNS[name].split()
-    table = spark.read.parquet(f"{DATA}/{'pages' if name == 'op2_html' else 'documents'}.parquet")
-    if name not in ("op1_packing", "op9_licenses"):
+    table = spark.read.parquet(f"{DATA}/{TABLES.get(name, 'documents')}.parquet")
+    if name == "op13_whitening":
+        assert len(got) == 4 * table.count()
+    elif name not in ("op1_packing", "op9_licenses"):
         assert len(got) == table.count()
     elif name == "op1_packing":
         assert got.doc_id.nunique() == table.count()
