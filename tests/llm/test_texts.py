@@ -41,6 +41,105 @@ def test_odd_markup():
     assert text("x < y and <3 <") == "x < y and <3 <"
 
 
+def test_names_that_only_look_like_roles():
+    def text(page):
+        return html_text.main_text(html_text.parse(page))
+
+    assert text('<div class="social-science"><article><p>long</p></article></div>') == "long"
+    assert text('<div class="hidden-gems"><p>long text</p></div>') == "long text"
+    assert text('<article><p>a</p><div class="side-effects">b</div><p class="notice-period">c</p><section id="related-work">d</section></article>') == "a b c d"
+    assert text('<article><p>a</p><div class="site-header">b</div><div class="shareButtons">c</div><div id="related_posts">d</div><div class="x comment-list2">e</div></article>') == "a b"
+    assert text('<div class="banner"><p>all there is</p></div>') == "all there is"
+    assert text('<nav>n</nav><div class="menu">m</div><div class="banner"><p>all</p></div>') == "m all"
+    assert text("<p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds.</p>") == "Where x=1 holds."
+
+
+def test_comments_as_articles():
+    def text(page):
+        return html_text.main_text(html_text.parse(page))
+
+    assert text('<article><p>main text</p><p>long</p></article><article class="comment"><p>Reader says hi</p></article>') == "main text long"
+    assert text("<article><p>main text</p><article><p>c1</p></article><article><p>c2</p></article></article>") == "main text"
+    assert text("<main><article><p>main text</p></article><section><article>c1</article><article>c2</article></section></main>") == "main text"
+    assert text("<main><article>one</article><article>two</article></main>") == "one two"
+    assert text('<article class="notice"><p>a notice as article</p></article>') == "a notice as article"
+
+
+def exact_matching(form_a, form_b):
+    """Size of the largest simple tree matching, by its recursion."""
+    def children(f):
+        out = [[] for _ in f[0]]
+        for i, p in enumerate(f[0]):
+            if p >= 0:
+                out[p].append(i)
+        return out
+
+    kids_a, kids_b = children(form_a), children(form_b)
+
+    def match(i, j):
+        if form_a[1][i] != form_b[1][j]:
+            return 0
+        xs, ys = kids_a[i], kids_b[j]
+        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+        for p, x in enumerate(xs):
+            for q, y in enumerate(ys):
+                m[p + 1][q + 1] = max(m[p][q + 1], m[p + 1][q], m[p][q] + match(x, y))
+        return 1 + m[-1][-1]
+
+    return match(0, 0)
+
+
+def random_form(r, n):
+    parents, labels = [-1], [0]
+    open_nodes = [0]
+    for i in range(1, n):
+        del open_nodes[r.randrange(1, len(open_nodes) + 1) :]
+        parents.append(open_nodes[-1])
+        labels.append(r.randrange(1, 4))
+        open_nodes.append(i)
+    return parents, labels
+
+
+def matched(form_a, form_b):
+    slots = html_text.align(form_a, form_b)
+    pairs = [(i, s) for i, s in enumerate(slots) if s >= 0]
+    for i, s in pairs:
+        assert form_a[1][i] == form_b[1][s]
+        assert i == 0 == s or slots[form_a[0][i]] == form_b[0][s]
+    assert [s for _, s in pairs] == sorted({s for _, s in pairs})  # page order is kept
+    return len(pairs)
+
+
+def test_alignment_against_its_recursion(monkeypatch):
+    r = random.Random(8)
+    for _ in range(60):
+        a, b = random_form(r, r.randrange(1, 30)), random_form(r, r.randrange(1, 30))
+        assert matched(a, b) == exact_matching(a, b)
+    monkeypatch.setattr(html_text, "EXACT_CELLS", 3)
+    monkeypatch.setattr(html_text, "CELLS", 20)
+    for _ in range(60):
+        a, b = random_form(r, r.randrange(1, 60)), random_form(r, r.randrange(1, 60))
+        assert 0 < matched(a, b) <= exact_matching(a, b)
+        assert matched(a, a) == len(a[0])
+
+
+def test_long_lists_of_children_that_differ():
+    import time
+
+    def form(n, own):  # n times a div and a section, each with a child of its own
+        parents, labels = [-1], [0]
+        for i in range(2 * n):
+            labels += [1 + i % 2, own + i]
+            parents += [0, len(labels) - 2]
+        return parents, labels
+
+    began = time.process_time()
+    assert matched(form(2000, 10), form(2000, 10**6)) == 4001
+    assert matched(form(2000, 10), form(1900, 10**6)) == 3801
+    assert matched(form(2000, 10), form(2000, 12)) == 1 + 2 * 3998
+    assert time.process_time() - began < 12
+
+
 def test_constant_slots_are_template_without_an_article(spark):
     page = "<body><div><p>Welcome to the site of many words and more</p></div><div><p>Story number {i} has words of its own {i}{i}</p></div></body>"
     rows = [(i, "http://one.example/", page.format(i=i), 1, "x") for i in range(5)]
