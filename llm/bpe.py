@@ -11,12 +11,13 @@ case; a splitting pattern; byte-level alphabet; BPE with an end-of-word suffix;
 tokens that are found in the raw text.  Results equal those of the tokenizers library, whose Unicode
 tables (normal form, lower case, letters and numbers) are asked for text beyond Latin letters, as Python's
 are of other versions; splitting, merging and decoding are done here.
-Blocks of text are worked off as arrays: stretches between white space are told apart by a
-64-bit hash of their bytes, each distinct one is split and merged once, and its ids are
-remembered in a table of bounded size.
+Blocks of text are worked off as arrays: stretches between white space are found by a
+64-bit hash, each distinct one is split and merged once, and its ids are
+remembered, with its bytes, in a table of bounded size.  Bytes are compared wherever a hash is; a block in which
+two stretches share one goes without.
 
 Null text is the empty text (no ids, empty decoding); any other column of the input is
-kept out of the result; repeated rows give repeated rows.
+kept out of the result; repeated rows give repeated rows.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
-from llm.hashing import mixed, powers, prefix_sums
+from llm.hashing import segment_hashes
 
 LONG_WORD = 128
 #: Ids held in a worker's table of stretches, which then starts anew (a cache, results don't depend on it).
@@ -75,6 +76,14 @@ def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+def alike(a: np.ndarray, starts: np.ndarray, stops: np.ndarray, b: np.ndarray, others: np.ndarray, ends: np.ndarray) -> bool:
+    """Whether each a[start:stop] has the bytes of its b[other:end]."""
+    size = stops - starts
+    if not np.array_equal(size, ends - others):
+        return False
+    return np.array_equal(a[runs(starts, size)], b[runs(others, size)])
+
+
 class LibraryTables:
     """The tokenizers library's Unicode tables, beside those of the ``regex`` module."""
 
@@ -293,9 +302,9 @@ class WordBPE:
         ends = np.append(heads[1:], len(flat))
         keep = easy[heads]
         heads, ends = heads[keep], ends[keep]
-        sums, inverse = prefix_sums(low), powers(len(low))[1]
-        hashes = mixed((sums[ends] - sums[heads]) * inverse[heads] + (ends - heads).astype(np.uint64))
-        _, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, one, which = np.unique(segment_hashes(low, heads, ends), return_index=True, return_inverse=True)
+        if not alike(low, heads, ends, low, heads[one][which], ends[one][which]):
+            hard[:], heads, ends, one, which = True, heads[:0], ends[:0], one[:0], which[:0]  # all by the pattern, which needs no hashes
         ids, n = self._encode_words(low, heads[one], ends[one])
         place = np.cumsum(n) - n
         count = np.zeros(len(size), np.int64)
@@ -344,19 +353,23 @@ class WordBPE:
         space = SPACES[data]
         starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
         stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        sums = prefix_sums(data)
-        hashes = mixed((sums[stops] - sums[starts]) * powers(len(data))[1][starts] + (stops - starts).astype(np.uint64))
-        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        n, where = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        distinct, one, which = np.unique(segment_hashes(data, starts, stops), return_index=True, return_inverse=True)
+        if not alike(data, starts, stops, data, starts[one][which], stops[one][which]):
+            yield from self._exact(texts)
+            return
         at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
         old = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), bool)
         new = ~old
         if len(self.pool) > CACHE_IDS:
             self._forget()
             old, new = np.zeros(len(distinct), bool), np.ones(len(distinct), bool)
+        first, size = self.first[at[old]], self.size[at[old]]
+        if not alike(data, starts[one[old]], stops[one[old]], self.bytes, first, first + size):
+            yield from self._exact(texts)
+            return
         if new.any():
             ids, count = self._learn(data, starts[one[new]], stops[one[new]])
-            self._keep(distinct[new], ids, count)
+            self._keep(distinct[new], ids, count, data, starts[one[new]], stops[one[new]])
             at = np.searchsorted(self.known, distinct)
         n, where = self.count[at], self.place[at]
         ids = self.pool[runs(where[which], n[which])].astype("<u4").tobytes()
@@ -366,16 +379,25 @@ class WordBPE:
         for a, b in zip([0, *cuts], cuts):
             yield ids[a:b]
 
+    def _exact(self, texts: list[str]) -> Iterator[bytes]:
+        """Texts without added tokens in which two stretches have the same hash, without any."""
+        for t in texts:
+            yield b"".join(self._ids_of(self._stretches(t)))
+
     def _forget(self) -> None:
         self.known = np.zeros(0, np.uint64)
         self.count, self.place, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.size, self.first, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def _keep(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        place = len(self.pool) + np.cumsum(count) - count
+    def _keep(self, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> None:
+        place, size = len(self.pool) + np.cumsum(count) - count, stops - starts
+        first = len(self.bytes) + np.cumsum(size) - size
         self.pool = np.concatenate([self.pool, ids])
+        self.bytes = np.concatenate([self.bytes, data[runs(starts, size)]])
         into = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, into, hashes)
         self.count, self.place = np.insert(self.count, into, count), np.insert(self.place, into, place)
+        self.size, self.first = np.insert(self.size, into, size), np.insert(self.first, into, first)
 
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(next(self.ids_bytes_of([text])), "<u4").tolist()

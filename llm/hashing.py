@@ -1,13 +1,21 @@
-"""Rolling hashes of byte strings modulo 2**64, for whole arrays at once."""
+"""Hashes of byte strings, for whole arrays at once.
+
+``segment_hashes`` tells strings of any length apart: two polynomials modulo the prime 2**31 - 1.
+``prefix_sums`` and ``powers`` are a polynomial modulo 2**64, which is faster to roll, for strings of some
+dozen bytes only: modulo a power of two, a Thue-Morse word of 1024 letters or more and its complement have the same
+value, whatever the base.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
 BASE, MIX1, MIX2 = 0x9E3779B97F4A7C15 | 1, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
+PRIME, BASES = (1 << 31) - 1, (1_234_567_891, 987_654_323)
 #: Powers are held for as many bytes at least.
 LEAST = (1 << 20) + 4096
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_prime_powers: dict[int, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -37,3 +45,34 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data))[0], out=out[1:])
     return out
+
+
+def _folded(h: np.ndarray) -> np.ndarray:
+    """The same modulo PRIME, in 33 bits at most."""
+    return (h & np.uint64(PRIME)) + (h >> np.uint64(31))
+
+
+def _modulo(h: np.ndarray) -> np.ndarray:
+    h = _folded(_folded(_folded(h)))
+    return np.where(h >= PRIME, h - np.uint64(PRIME), h)
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """Powers of base modulo PRIME, by doubling."""
+    known = _prime_powers.get(base, np.ones(1, np.uint32))
+    while len(known) < max(n, LEAST):
+        step = np.uint64(pow(base, len(known), PRIME))
+        known = np.concatenate([known, _modulo(known.astype(np.uint64) * step).astype(np.uint32)])
+    _prime_powers[base] = known
+    return known[:n]
+
+
+def segment_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, by: int = MIX1) -> np.ndarray:
+    """A 64-bit hash of each data[start:stop]."""
+    whole = np.zeros(len(starts), np.uint64)
+    for base in BASES:
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_folded((data.astype(np.uint64) + np.uint64(1)) * prime_powers(base, len(data))), out=sums[1:])
+        back = prime_powers(pow(base, -1, PRIME), len(data) + 1)[starts]
+        whole = (whole << np.uint64(32)) + _modulo(_modulo(sums[stops] - sums[starts]) * back)
+    return mixed(whole + (stops - starts).astype(np.uint64) * np.uint64(BASE), by)
