@@ -36,11 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from llm.hashing import MIX2, mixed, powers, prefix_sums
+from llm.hashing import MIX2, mixed, powers, prefix_sums, segment_hashes
 from llm.tables import broadcast_if_small, written
 
 GRAM = 24
 HOT = 1 << 17
+#: What a null id stands for in a place: the number below all ids.
+NO_ID = "-9223372036854775809"
 #: Bytes that a worker parses or sorts at a time (a longer text is taken alone).
 BLOCK_BYTES = 1 << 20
 
@@ -74,7 +76,7 @@ def parse(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     text = np.searchsorted(ends, first, side="right")
     whole = stop <= last[np.minimum(text, len(texts) - 1)]
     first, stop, text = first[whole], stop[whole], text[whole]
-    phrase = mixed((sums[stop + length - 1] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64), MIX2)
+    phrase = segment_hashes(data, first, stop + length - 1, MIX2)
     width = length - gram + 1
     most = ~sliding_min(np.concatenate([np.full(width - 1, ~np.uint64(0)), ~trigger, np.full(width - 1, ~np.uint64(0))]), width)
     minimal = grams[np.flatnonzero(most == grams)]  # a gram that is smallest in one of its windows
@@ -83,10 +85,9 @@ def parse(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     return text, first - (ends - sizes)[text], stop - first, own, phrase, np.isin(own, twice)
 
 
-def phrase_hash(phrase: bytes, length: int) -> int:
+def phrase_hash(phrase: bytes) -> int:
     """The hash that parse() gives a phrase."""
-    sums = prefix_sums(np.frombuffer(phrase, np.uint8))
-    return int(mixed(sums[-1:] + np.uint64(max(0, len(phrase) - length + 1)), MIX2).view(np.int64)[0])
+    return int(segment_hashes(np.frombuffer(phrase, np.uint8), np.zeros(1, np.int64), np.array([len(phrase)]), MIX2).view(np.int64)[0])
 
 
 def repeats(phrases: list[bytes], order: np.ndarray, starts: np.ndarray, length: int) -> list[list[int]]:
@@ -174,7 +175,7 @@ def _step() -> Column:
 
 def _position() -> Column:
     """Place in the corpus (id and start) and, below it, the row's hash, as one number, which a hash aggregation can hold; a null id is below all."""
-    number = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    number = F.coalesce(F.col("id").cast("decimal(20,0)"), F.lit(NO_ID).cast("decimal(20,0)"))
     return ((number * _step() + F.col("start")).cast("decimal(30,0)") * _step() + F.col("row")).cast("decimal(38,0)")
 
 
@@ -213,7 +214,7 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
     above = F.floor(F.col("at") / _step()).cast("decimal(32,0)")
     start = F.pmod(above, _step())
     number = ((above - start) / _step()).cast("decimal(20,0)")
-    id_again = F.when(number >= F.lit(-(1 << 63) + 1), number).cast(kind)
+    id_again = F.when(number != F.lit(NO_ID).cast("decimal(20,0)"), number).cast(kind)
     firsts = dictionary.join(several, "trigger").select("trigger", "phrase", id_again.alias("id"), F.pmod("at", _step()).cast("int").alias("row"), start.cast("int").alias("start"), "windows", "hot")
     wanted = firsts.groupBy("id", "row").agg(F.collect_list(F.struct("trigger", "phrase", "start", "windows", "hot")).alias("wanted"))
 
@@ -223,7 +224,7 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
             for i, (t, ws) in enumerate(zip(values, batch.column(2).to_pylist())):
                 for w in ws:
                     piece = t[w["start"] : w["start"] + w["windows"] + length - 1]
-                    if phrase_hash(piece, length) == w["phrase"]:
+                    if phrase_hash(piece) == w["phrase"]:
                         rows.append((*w.values(), i, piece))
             c = [list(x) for x in zip(*rows)] or [[] for _ in range(7)]
             at = pa.array(c[5], pa.int64())
