@@ -26,8 +26,10 @@ Sizes are rounded to bands; the classes of two bands that allow each other are t
 others aren't: texts that share a passage and differ in rarer words
 never meet.  A pair's frequent shingles may then be missing from its count, so that as many fewer are asked for.
 
-*Verification.*  Components of candidates and ties are groups;
-the set of a class is read once, in its group, where breadth-first search over an inverted
+*Verification.*  Components of candidates and ties are groups; one of more than ``BLOCK`` classes may be a chain
+of pairs that don't link, so it is taken apart into what its ties alone hold together, and its pairs that the search
+leaves in two parts are then verified one by one.  In a group,
+the set of a class is read once, and breadth-first search over an inverted
 list finds the links: each class found is taken out of the lists, so near copies by the
 thousand cost about as much as their text.  A group of more than ``BLOCK`` classes is dealt into
 blocks; then the best connected classes of the parts found are held together; and what
@@ -49,7 +51,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from llm.components import components
-from llm.hashing import MIX2, mixed, powers, prefix_sums
+from llm.hashing import MIX2, mixed, segment_hashes
 from llm.tables import broadcast_if_small, written
 
 FREQUENT, COUNT_BLOCK, MATCHES, BUCKET, BLOCK, REPRESENTATIVES = 1 << 21, 1 << 22, 4, 64, 256, 4
@@ -72,8 +74,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
     space = SPACES[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     stops = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = prefix_sums(data)
-    words = mixed((sums[stops] - sums[starts]) * powers(len(data))[1][starts] + (stops - starts).astype(np.uint64))
+    words = segment_hashes(data, starts, stops)
     rolled = np.zeros(0, np.uint64)
     if len(words) >= n:
         rolled = words[: len(words) - n + 1].copy()
@@ -333,14 +334,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
     pairs = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.key") < F.col("b.key")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")))
     asked = F.least("a.l", "b.l") - F.least("a.hidden", "b.hidden")
     pairs = pairs.select(F.col("a.key").alias("a"), F.col("b.key").alias("b"), asked.alias("l")).groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("l").alias("l")).where("matches >= l")
-    groups = components(pairs.select("a", "b").unionByName(ties(hot, percent)), "candidates").withColumnRenamed("root", "grp")
+    pairs, tied = written(pairs.select("a", "b"), "pairs"), written(ties(hot, percent).distinct(), "ties")
+    groups = components(pairs.unionByName(tied), "candidates").withColumnRenamed("root", "grp")
 
     # only large groups have blocks; their sizes are few rows, so that no group's classes are brought together to learn them
     sizes = groups.groupBy("grp").agg(F.count("*").alias("classes")).where(F.col("classes") > BLOCK)
     sizes = broadcast_if_small(written(sizes, "large-groups"))
+    # large groups are held together by their ties alone; their pairs are verified one by one
+    groups = groups.join(sizes, "grp", "left")
+    in_large = groups.where("classes is not null").select("node")
+    cores = components(tied.join(in_large, F.col("a") == F.col("node"), "left_semi"), "cores").withColumnRenamed("root", "core")
+    groups = groups.join(cores, "node", "left").select("node", F.when(F.col("classes").isNull(), F.col("grp")).otherwise(F.coalesce("core", "node")).alias("grp"), F.col("classes").isNotNull().alias("large"))
+    sizes = groups.where("large").groupBy("grp").agg(F.count("*").alias("classes")).where(F.col("classes") > BLOCK)
+    sizes = broadcast_if_small(written(sizes, "large-cores"))
     first_of = keys.groupBy("key").agg(F.min("row").alias("row"), F.min("id").alias("id"))
     blocks = F.coalesce(F.ceil(F.col("classes") / BLOCK), F.lit(1))
-    members = groups.join(sizes, "grp", "left").join(first_of, F.col("node") == F.col("key")).select("row", "key", "grp", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.col("classes").isNotNull().alias("large"))
+    members = groups.join(sizes, "grp", "left").join(first_of, F.col("node") == F.col("key")).select("row", "key", "grp", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), "large")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # of repeated rows a task sends one
@@ -428,8 +437,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: s
 
     facing = minor.unionByName(major).withColumn("block", F.xxhash64("m", "chunk")).repartition("grp", "block").sortWithinPartitions("grp", "block")
     last = broadcast_if_small(components(facing.mapInArrow(groupwise(against, two), "a long, b long"), "parts"))
-    final = parts.where("not large").select("key", "label").unionByName(told.select("key", "label"))
-    final = final.join(last, final["label"] == last["node"], "left").select("key", F.coalesce("root", "label").alias("label"))
+    told = told.join(last, told["label"] == last["node"], "left").select("key", F.coalesce("root", "label").alias("label"), "shingles")
+
+    # the pairs of large groups whose classes aren't in one part yet, one by one
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (list(map(lambda v: np.frombuffer(v.as_py(), np.uint64), batch.column(c))) for c in (2, 3))
+            shared = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
+            links = [100 * c >= percent * (len(s) + len(t) - c) for c, s, t in zip(shared, x, y)]
+            yield batch.select([0, 1]).filter(pa.array(links, pa.bool_()))
+
+    labels = told.select("key", "label")
+    apart = pairs.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b").where("label_a <> label_b")
+    apart = apart.join(told.select(F.col("key").alias("a"), F.col("shingles").alias("x")), "a").join(told.select(F.col("key").alias("b"), F.col("shingles").alias("y")), "b")
+    linked = components(apart.select("label_a", "label_b", "x", "y").mapInArrow(verified, "label_a long, label_b long").toDF("a", "b"), "pairwise")
+    labels = labels.join(broadcast_if_small(linked), labels["label"] == linked["node"], "left").select("key", F.coalesce("root", "label").alias("label"))
+    final = parts.where("not large").select("key", "label").unionByName(labels)
 
     # smallest id of each component, by class
     rooted = first_of.drop("row").join(final, "key", "left").select("key", F.coalesce("label", "key").alias("label"), "id")
