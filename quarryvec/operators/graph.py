@@ -30,6 +30,8 @@ SHARD_BYTES = 16 << 20
 QUERIES_AT_ONCE = 256
 #: Centroids of which a graph is made for ranking; more are ranked by all distances.
 MOST_RANKED = 1 << 14
+#: Ranks of centroids that a task keeps from shard to shard; those of further queries are made again.
+RANKS_KEPT = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,8 @@ class GraphOptions:
     pull: ``never`` walks only; ``only`` takes clusters only; ``sparse`` takes clusters when ``sparse`` or less of what the last
     walk saw passes, or it found nothing; ``always`` takes turns; ``race`` goes on where the next thing is nearer; ``late`` takes clusters when
     the walk has ended without k rows; ``dead_end`` takes the clusters of nodes from which the walk found nothing.  Clusters are taken, nearest
-    first, until they give ``nrel`` passing rows; the nearest ``inject`` of these (half of k by default) go on the walk's frontier.
+    first, until they give ``nrel`` passing rows (``tree``, where the rows' clusters are cells of a box layout: the cells with passing rows in their
+    order, by turns with the walk); the nearest ``inject`` of these (half of k by default) go on the walk's frontier.
     A search ends with ``efs`` rows (``ef`` by default), or when both are exhausted.  rank: ``exact`` or by a ``graph`` over the centroids."""
 
     how: str = "two_hop"
@@ -412,7 +415,7 @@ def cooperate(graph: ShardGraph, q: np.ndarray, passing: np.ndarray, k: int, o:
             for _, node in sorted(cursor.dead_ends)[:inject]:
                 take(int(graph.clusters[node]))
             cursor.dead_ends = []
-        if ahead or o.pull in ("only", "always") or o.pull == "sparse" and (share <= o.sparse or not fresh) or o.pull in ("late", "dead_end") and (cursor.ended or len(cursor.found) < k and not fresh) or o.pull == "race" and cursor.ended:
+        if ahead or o.pull in ("only", "always", "tree") or o.pull == "sparse" and (share <= o.sparse or not fresh) or o.pull in ("late", "dead_end") and (cursor.ended or len(cursor.found) < k and not fresh) or o.pull == "race" and cursor.ended:
             take_next()
         if len(cursor.found) >= efs and (o.pull == "only" or not cursor.frontier or cursor.frontier[0][0] > cursor.bound()):
             break
@@ -561,7 +564,7 @@ def _walk_block(base, shards, block, k, predicate, options, centroids, members,
     qid = np.asarray(held.column("qid"), np.int64)
     q = _floats(held.column("q"), len(qid)) if len(qid) else np.zeros((0, 1), np.float32)
     numbers, centres, over = np.zeros(0, np.int32), np.zeros((0, q.shape[1]), np.float32), None
-    if options.pull != "never":
+    if options.pull not in ("never", "tree"):
         table = centroids.select(F.col("cluster").cast("int").alias("cluster"), F.col("centroid").cast("array<float>").alias("v")).toArrow()  # MOST_CLUSTERS at most, by ivf.train
         numbers, centres = np.asarray(table.column("cluster"), np.int32), _floats(table.column("v"), table.num_rows)
         if options.rank == "graph" and 1 < len(numbers) <= MOST_RANKED:
@@ -571,17 +574,21 @@ def _walk_block(base, shards, block, k, predicate, options, centroids, members,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qid, q, numbers, centres, over = shared.value
-        order = None
+        orders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def ranked(i: int) -> Iterator[tuple[float, int]]:
-            nonlocal order
+        def ranked(i: int, cells: np.ndarray) -> Iterator[tuple[float, int]]:
+            """Clusters for query i, nearest first; cells: the clusters of passing rows."""
+            if options.pull == "tree":
+                return ((0.0, c) for c in np.unique(cells).tolist())
             if over is not None:
                 return iter(Cursor(over, q[i], np.ones(len(numbers), bool), GraphOptions("plain", ef=16)).open())
-            if order is None:
-                d = np.maximum(0, (q * q).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * q @ centres.T)
-                order = d, np.lexsort((np.broadcast_to(numbers, d.shape), d), axis=1)
-            d, by = order
-            return ((float(d[i, c]), int(numbers[c])) for c in by[i].tolist())
+            if (order := orders.get(i)) is None:
+                d = ((centres - q[i]) ** 2).sum(1)
+                by = np.lexsort((numbers, d))
+                order = d[by], numbers[by]
+                if (len(orders) + 1) * len(numbers) <= RANKS_KEPT:
+                    orders[i] = order
+            return ((float(d), int(c)) for d, c in zip(*order))
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -599,7 +606,7 @@ def _walk_block(base, shards, block, k, predicate, options, centroids, members,
                     mask = masks.get(name, masks.get(None))
                     if mask is None or not mask.any():
                         continue
-                    rows, e = cooperate(graph, q[i], mask, k, options, ranked(i))
+                    rows, e = cooperate(graph, q[i], mask, k, options, ranked(i, graph.clusters[mask]))
                     efforts.append((name, e.walked, e.scanned, e.clusters, e.rounds))
                     best = np.array([x for _, _, x in heapq.nsmallest(2 * k, rows)], np.int64)
                     found.append((np.full(len(best), name), graph.ids[best], folded_distance("l2sq", graph.vectors[best], np.repeat(q[i : i + 1], len(best), 0))))

@@ -10,11 +10,11 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryvec.operators import exact, graph, ivf
+from quarryvec.operators import exact, graph, ivf, layout
 from quarryvec.operators.predicates import Predicate
 
 #: How a strategy takes clusters during a walk (graph.GraphOptions.pull).
-PULL = {"graph": "never", "cooperative": "sparse", "alternate": "always", "race": "race", "graph_first": "late", "frontier": "dead_end", "relational": "only"}
+PULL = {"graph": "never", "cooperative": "sparse", "alternate": "always", "race": "race", "graph_first": "late", "frontier": "dead_end", "relational": "only", "tree": "tree"}
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,14 @@ def build(base: DataFrame, nlist: int, shards: int | None = None, m: int = 16, c
     return Index(assigned, centroids, graph.build_shards(assigned, shards, m))
 
 
+def build_cells(base: DataFrame, attrs: list[str], bits: int = 3, shards: int | None = None, m: int = 16) -> Index:
+    """An index whose clusters are the cells of a box layout over attributes, for the strategy tree; centroids are the cells' means."""
+    assigned = layout.with_cells(base, attrs, bits).withColumn("cluster", F.col("cluster").cast("int"))
+    means = assigned.where("embedding is not null").select("cluster", F.posexplode("embedding")).groupBy("cluster", "pos").agg(F.avg("col").alias("mean"))
+    centroids = means.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("pos", "mean"))).alias("m")).select("cluster", F.col("m.mean").alias("centroid"))
+    return Index(assigned, centroids, graph.build_shards(assigned, shards, m))
+
+
 def save(index: Index, path: str, sort_by: str = "id") -> None:
     ivf.write_index(index.assigned, f"{path}/base", sort_by)
     index.centroids.write.parquet(f"{path}/centroids")

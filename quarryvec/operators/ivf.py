@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarryvec.functions.distances import DISTANCES, l2sq, masked_l1
 from quarryvec.operators.exact import top_k
 from quarryvec.operators.predicates import Predicate
+from quarryvec.sources.tables import written
 
 #: Clusters of a table of centroids that may be broadcast.
 MOST_CLUSTERS = 1 << 17
@@ -108,6 +109,67 @@ def wave_search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k
     return probe_search(assigned, queries, wave_probes(assigned, queries, centroids, efs, predicate, share=share), k, predicate)
 
 
+def with_radii(assigned: DataFrame, centroids: DataFrame, predicate: Predicate | None = None) -> DataFrame:
+    """centroids with radius (the farthest row of a cluster that passes a shared predicate, as a distance with its root) and n_rows; clusters without rows have none."""
+    rows = assigned.where(predicate.column()) if predicate and not predicate.per_query else assigned
+    farthest = rows.groupBy("cluster").agg(F.sqrt(F.max("cluster_dist")).alias("radius"), F.count("*").alias("n_rows"))
+    return centroids.select("cluster", "centroid").join(farthest, "cluster")
+
+
+#: What rounding may have added to a difference of two distances, relative to them.
+SLACK = 1e-9
+
+
+def bounded_probes(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, predicate: Predicate | None = None, first_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What bounded_search() takes first, as its k nearest (qid, rank, id, dist), and the clusters left that may hold nearer rows:
+    qid, cluster, gap (the query's distance to the centroid, with its root), bound (how far the k-th nearest is so far, squared)."""
+    known = with_radii(assigned, centroids, predicate)
+    first = wave_probes(assigned, queries, known.select("cluster", "centroid"), first_rows or k, predicate)
+    found = written(probe_search(assigned, queries, first, k, predicate), "first-wave")
+    bound = queries.select("qid").join(found.where(F.col("rank") == k).select("qid", F.col("dist").alias("bound")), "qid", "left")
+    bound = bound.select("qid", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+    ranked = rank_clusters(queries, known.select("cluster", "centroid")).join(_small(known.select("cluster", "radius")), "cluster").withColumn("gap", F.sqrt("cluster_dist"))
+    left = ranked.join(first.select("qid", "cluster"), ["qid", "cluster"], "left_anti").join(bound, "qid")
+    nearest = F.greatest(F.lit(0.0), F.col("gap") - F.col("radius") - SLACK * (F.col("gap") + F.col("radius")))
+    return found, written(left.where(nearest * nearest <= F.col("bound")).select("qid", "cluster", "gap", "bound"), "clusters-left")
+
+
+def _near_rows(assigned: DataFrame, left: DataFrame, predicate: Predicate | None) -> DataFrame:
+    """Rows of the clusters left that the triangle inequality doesn't rule out."""
+    rows = assigned.where(predicate.column()) if predicate and not predicate.per_query else assigned
+    own = F.sqrt("cluster_dist")
+    apart = F.greatest(F.lit(0.0), F.abs(own - F.col("gap")) - SLACK * (own + F.col("gap")))
+    return rows.join(left, "cluster").where(apart * apart <= F.col("bound"))
+
+
+def bounded_search(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, predicate: Predicate | None = None, first_rows: int | None = None) -> DataFrame:
+    """The exact k nearest (squared L2) through clusters, in two passes.
+
+    First the nearest clusters of each query, until they hold ``first_rows`` rows that pass (k by default): the k-th of these is as far as the
+    result can reach.  Then, by the triangle inequality, only clusters whose centroid is no farther than this and the
+    cluster's radius together, and of these only rows whose own distance to the centroid differs from the query's by no more.
+    Clusters end for each query where none can hold a nearer row; how early depends on how well the rows lie in clusters.
+    assigned: with cluster and cluster_dist, as assign() gives."""
+    found, left = bounded_probes(assigned, queries, centroids, k, predicate, first_rows)
+    met = _near_rows(assigned, left, None if predicate and predicate.per_query else predicate).join(queries, "qid")
+    if predicate and predicate.per_query:
+        met = met.where(predicate.column())
+    more = met.select("qid", "id", DISTANCES["l2sq"](F.col("embedding"), F.col("q")).alias("dist"))
+    return top_k(found.select("qid", "id", "dist").unionByName(more), k)
+
+
+def bounded_effort(assigned: DataFrame, queries: DataFrame, centroids: DataFrame, k: int, predicate: Predicate | None = None, first_rows: int | None = None) -> DataFrame:
+    """qid, clusters (taken, of n_clusters with passing rows), compared (rows whose distance bounded_search() computes, of n_rows)."""
+    known = with_radii(assigned, centroids, predicate)
+    first = wave_probes(assigned, queries, known.select("cluster", "centroid"), first_rows or k, predicate).select("qid", "cluster")
+    _, left = bounded_probes(assigned, queries, centroids, k, predicate, first_rows)
+    rows = assigned.where(predicate.column()) if predicate and not predicate.per_query else assigned
+    one = rows.join(first, "cluster").select("qid", "id").unionByName(_near_rows(assigned, left, predicate).select("qid", "id"))
+    taken = first.unionByName(left.select("qid", "cluster")).groupBy("qid").agg(F.count("*").alias("clusters"))
+    total = known.agg(F.count("*").alias("n_clusters"), F.sum("n_rows").alias("n_rows"))
+    return taken.join(one.groupBy("qid").agg(F.count("*").alias("compared")), "qid", "left").fillna(0, ["compared"]).crossJoin(F.broadcast(total))
+
+
 def imi_cells(base: DataFrame, halves: list[DataFrame], dim: int, vector: str = "embedding") -> DataFrame:
     """id, cell: inverted multi-index cell from the nearest centroid in each part of the vector (two or more of equal length)."""
     m = len(halves)

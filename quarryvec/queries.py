@@ -20,6 +20,7 @@ from quarryvec.functions.distances import masked_l1
 from quarryvec.operators import clustering, exact, generators, graph, hybrid, ivf, metrics
 from quarryvec.operators import predicates as P
 from quarryvec.sources import store, vectors
+from quarryvec.sources.tables import scratch
 
 K, NPROBE, SHARE = 10, 13, 0.85
 ATTRS = "vec_id AS id, embedding, label, label AS attr_0, (vec_id * 7919) % 1000 AS attr_1, (vec_id * 104729) % 997 AS attr_2"
@@ -115,7 +116,7 @@ def _effort(s, d):
 def _stored(kind: str, whole: bool = False):
     """The table written as vector files, part by part, and read again: an element a row."""
     def run(s, d):
-        at = f"{store.shared_dir(s)}/vectors-{store.uuid.uuid4().hex}"
+        at = scratch(s, "vectors")
         b = base(s, d).withColumn("embedding", F.array("label", "attr_1", "attr_2")) if whole else base(s, d)
         vectors.write_parts(b, at, kind)
         return vectors.read_vectors(s, at, kind, **({"dim": 64} if kind == "raw" else {})).select("id", F.posexplode("embedding").alias("i", "v"))
@@ -124,7 +125,7 @@ def _stored(kind: str, whole: bool = False):
 
 
 def _bounds(s, d):
-    at = f"{store.shared_dir(s)}/bounds-{store.uuid.uuid4().hex}"
+    at = scratch(s, "bounds")
     rows = asked(s, d).select(F.col("qid"), F.col("l_1").alias("l_0"), F.col("u_1").alias("u_0"))
     vectors.write_ranges(rows, at, 1)
     numbered = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("qid")) - 1

@@ -2,34 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
-from quarryvec.operators import hybrid
+from quarryvec.operators import hybrid, layout
+from quarryvec.sources.tables import scratch
 
 _paths: dict[tuple[str, str], str] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, a temporary folder on one machine, or one of the warehouse on a cluster."""
-    if at := spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return at
-    if not spark.sparkContext.master.startswith("local"):
-        return f"{spark.conf.get('spark.sql.warehouse.dir')}/indexes"
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
-    return spark.sparkContext.getCheckpointDir()
-
-
-def index_for(spark: SparkSession, name: str, make: Callable[[], hybrid.Index]) -> hybrid.Index:
-    """The index of this name: built and written the first time in an application, read from then on, deleted when it ends."""
+def _path_for(spark: SparkSession, name: str, save: Callable[[str], None]) -> str:
+    """Where the thing of this name lies: written the first time in an application, deleted when it ends."""
     key = spark.sparkContext.applicationId, name
     if key not in _paths:
-        path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-        hybrid.save(make(), path, "attr_0")
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        path = scratch(spark, "index")
+        save(path)
         _paths[key] = path
-    return hybrid.load(spark, _paths[key])
+    return _paths[key]
+
+
+def index_for(spark: SparkSession, name: str, make: Callable[[], hybrid.Index]) -> hybrid.Index:
+    return hybrid.load(spark, _path_for(spark, name, lambda path: hybrid.save(make(), path, "attr_0")))
+
+
+def layout_for(spark: SparkSession, name: str, make: Callable[[str], layout.Layout]) -> layout.Layout:
+    """make: writes the layout at a path."""
+    return layout.load(spark, _path_for(spark, f"layout:{name}", lambda path: make(path)))
