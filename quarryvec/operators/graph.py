@@ -7,7 +7,8 @@ one row of a table: ids, vectors, clusters and edges together, so that a search
 vectors.  What passes is worked out by Spark from the base's attributes, whatever the predicate; its ids, and no
 vectors, are brought to the shards.  A window merges the shards' rows.
 
-A row that is deleted is left out of the base that is searched: walks go through it and don't return it.
+A row that is deleted is left out of the base that is searched: walks go through it and don't return it.  ``remove_rows`` takes it out of its shard and
+mends the graph there; ``insert_rows`` adds rows on all levels.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ SHARD_BYTES = 16 << 20
 QUERIES_AT_ONCE = 256
 #: Centroids of which a graph is made for ranking; more are ranked by all distances.
 MOST_RANKED = 1 << 14
+#: Rows up to which a build computes all distances; beyond it: trees, rows of a leaf, rounds over neighbours of so many neighbours.
+EXACT_ROWS, TREES, LEAF_ROWS, DESCENTS, DESCENT_WIDTH = 1 << 12, 4, 128, 3, 12
+#: Nodes of each upper level with which a descent goes on.
+ENTRY_WIDTH = 8
+#: Rows that are inserted at a time.
+INSERT_BLOCK = 256
 #: Ranks of centroids that a task keeps from shard to shard; those of further queries are made again.
 RANKS_KEPT = 1 << 22
 
@@ -84,6 +91,119 @@ class Level:
         return [self.near(n) for n in self.nodes.tolist()]
 
 
+def nearest_of(x: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ef nearest other rows of each row and their squared distances, by all distances in blocks."""
+    n, square = len(x), (x * x).sum(1)
+    near, gap = np.zeros((n, ef), np.int64), np.zeros((n, ef))
+    for first in range(0, n, 512):
+        d = square[first : first + 512, None] + square[None, :] - 2 * x[first : first + 512] @ x.T
+        rows = np.arange(len(d))
+        d[rows, rows + first] = np.inf
+        some = np.argpartition(d, ef - 1, axis=1)[:, :ef]
+        by = np.argsort(d[rows[:, None], some], axis=1, kind="stable")
+        near[first : first + 512] = some[rows[:, None], by]
+        gap[first : first + 512] = d[rows[:, None], near[first : first + 512]]
+    return near, gap
+
+
+def _bettered(near: np.ndarray, gap: np.ndarray, more: np.ndarray, d: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of neighbours with further candidates: the least distances of both, each row once, no row itself."""
+    every, dist = np.concatenate([near, more], axis=1), np.concatenate([gap, d], axis=1)
+    by = np.lexsort((dist, every), axis=1)
+    every, dist = np.take_along_axis(every, by, 1), np.take_along_axis(dist, by, 1)
+    again = np.zeros(every.shape, bool)
+    again[:, 1:] = every[:, 1:] == every[:, :-1]
+    dist[again | (every == own[:, None]) | (every < 0)] = np.inf
+    by = np.argsort(dist, axis=1, kind="stable")[:, : near.shape[1]]
+    return np.take_along_axis(every, by, 1), np.take_along_axis(dist, by, 1)
+
+
+def neighbours(x: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """As nearest_of(); of more than ``EXACT_ROWS`` rows nearly, in time that grows as the rows do.
+
+    Trees split the rows at medians along random directions down to leaves, in which all distances are computed; then neighbours of neighbours,
+    both ways, are looked at in ``DESCENTS`` rounds."""
+    n = len(x)
+    if n <= EXACT_ROWS:
+        return nearest_of(x, ef)
+    r = np.random.default_rng(n)
+    near, gap = np.full((n, ef), -1), np.full((n, ef), np.inf)
+    leaf = max(LEAF_ROWS, 2 * ef)
+    for _ in range(TREES):
+        todo = [np.arange(n)]
+        while todo:
+            rows = todo.pop()
+            if len(rows) > leaf:
+                a, b = x[r.choice(rows, 2, replace=False)]
+                by = np.argsort(x[rows] @ (a - b if (a != b).any() else r.normal(size=x.shape[1])), kind="stable")
+                todo += [rows[by[: len(rows) // 2]], rows[by[len(rows) // 2 :]]]
+                continue
+            k = min(ef, len(rows) - 1)
+            own, d = nearest_of(x[rows], k)
+            near[rows], gap[rows] = _bettered(near[rows], gap[rows], rows[own], d, rows)
+    width = min(ef, DESCENT_WIDTH)
+    for _ in range(DESCENTS):
+        ahead = near[:, :width].copy()
+        # the first rows that have each row among their neighbours
+        to, of = ahead.ravel(), np.repeat(np.arange(n), width)
+        by = np.argsort(to, kind="stable")
+        to, of = to[by], of[by]
+        at = np.arange(len(to)) - np.searchsorted(to, to)
+        back = np.full((n, width), -1)
+        use = (at < width) & (to >= 0)
+        back[to[use], at[use]] = of[use]
+        around = np.concatenate([ahead, back], axis=1)
+        for first in range(0, n, 128):
+            own = np.arange(first, min(n, first + 128))
+            hops = around[ahead[own]].reshape(len(own), -1)
+            more = np.concatenate([hops, back[own]], axis=1)
+            gaps = x[more] - x[own][:, None, :]
+            near[own], gap[own] = _bettered(near[own], gap[own], more, np.einsum("ijk,ijk->ij", gaps, gaps), own)
+    return near, np.where(near < 0, np.inf, gap)
+
+
+def diverse(x: np.ndarray, near: np.ndarray, gap: np.ndarray, most: int | None) -> np.ndarray:
+    """Of each row's candidates (nearest first, with their distances) those that no chosen one is nearer to than the row is, ``most`` of them;
+    None: those that no nearer candidate is nearer to."""
+    there = np.isfinite(gap)
+    points = x[near]
+    square = np.einsum("ijk,ijk->ij", points, points)
+    between = square[:, :, None] + square[:, None, :] - 2 * points @ points.transpose(0, 2, 1)
+    closer = between < gap[:, :, None] - 1e-12  # [row, a, b]: b is nearer to a than the row is
+    c = near.shape[1]
+    if most is None:
+        return ~(closer & (np.arange(c)[None, :] < np.arange(c)[:, None])[None]).any(2) & there
+    rows, chosen, alive = np.arange(len(near)), np.zeros(near.shape, bool), there.copy()
+    for _ in range(most):
+        a = alive.argmax(1)
+        some = alive[rows, a]
+        if not some.any():
+            break
+        chosen[rows[some], a[some]] = True
+        alive[some] &= ~closer[rows[some], :, a[some]]
+        alive[rows[some], a[some]] = False
+    return chosen
+
+
+def join_parts(x: np.ndarray, both: list[set[int]]) -> None:
+    """Parts that no edge joins get one, to the nearest node of what is joined already."""
+    square, part = (x * x).sum(1), np.full(len(x), -1)
+    for first in range(len(x)):
+        if part[first] >= 0:
+            continue
+        joined = np.flatnonzero(part >= 0)
+        todo, part[first] = [first], first
+        while todo:
+            for j in both[todo.pop()]:
+                if part[j] < 0:
+                    part[j] = first
+                    todo.append(j)
+        if len(joined):
+            j = int(joined[np.argmin(square[joined] - 2 * x[joined] @ x[first])])
+            both[first].add(j)
+            both[j].add(first)
+
+
 class ShardGraph:
     """The rows of a shard in order of id, their clusters, and the neighbours of each on each level."""
 
@@ -117,107 +237,160 @@ class ShardGraph:
         n = len(nodes)
         if n == 1:
             return [np.zeros(0, np.int64)]
-        square = (x * x).sum(1)
         ef = min(ef, n - 1)
-        near, gap = np.zeros((n, ef), np.int64), np.zeros((n, ef))
-        for first in range(0, n, 512):
-            d = square[first : first + 512, None] + square[None, :] - 2 * x[first : first + 512] @ x.T
-            rows = np.arange(len(d))
-            d[rows, rows + first] = np.inf
-            some = np.argpartition(d, ef - 1, axis=1)[:, :ef]
-            by = np.argsort(d[rows[:, None], some], axis=1, kind="stable")
-            near[first : first + 512] = some[rows[:, None], by]
-            gap[first : first + 512] = d[rows[:, None], near[first : first + 512]]
+        near, gap = neighbours(x, ef)
         both: list[set[int]] = [set() for _ in range(n)]
         kept = []
-        for i in range(n):
-            order, d = near[i], gap[i]
+        for first in range(0, n, 256):
+            order, d = near[first : first + 256], gap[first : first + 256]
             if kind == "dense":
-                chosen, covered = list(range(min(m, ef))), set()
-                for a in range(m, ef):
-                    if int(order[a]) not in covered:
-                        chosen.append(a)
-                        covered.update(near[order[a], :m].tolist())
+                for own in order:
+                    chosen, covered = list(range(min(m, ef))), set()
+                    for a in range(m, ef):
+                        if int(own[a]) not in covered:
+                            chosen.append(a)
+                            covered.update(near[own[a], :m].tolist())
+                    kept.append(own[chosen])
             else:
-                between = square[order][:, None] + square[order][None, :] - 2 * x[order] @ x[order].T
-                closer = between < d[:, None] - 1e-12  # [a, b]: b is nearer to a than the node is
-                if kind == "relative":
-                    chosen = np.flatnonzero(~(closer & (np.arange(ef)[None, :] < np.arange(ef)[:, None])).any(1)).tolist()
-                else:
-                    chosen, alive = [], np.ones(ef, bool)
-                    while len(chosen) < max(1, most // 2) and alive.any():
-                        a = int(alive.argmax())
-                        chosen.append(a)
-                        alive &= ~closer[:, a]
-                        alive[a] = False
-            kept.append(order[chosen])
-            both[i].update(order[chosen].tolist())
+                chosen = diverse(x, order, d, None if kind == "relative" else max(1, most // 2))
+                kept += [own[c] for own, c in zip(order, chosen)]
+        for i, own in enumerate(kept):
+            both[i].update(own.tolist())
         for i, own in enumerate(kept):
             for j in own.tolist():
                 if kind != "layered" or len(both[j]) < most:
                     both[j].add(i)
-        # parts that no edge joins get one, to the nearest node of what is joined already
-        part = np.full(n, -1)
-        for first in range(n):
-            if part[first] >= 0:
-                continue
-            joined = np.flatnonzero(part >= 0)
-            todo, part[first] = [first], first
-            while todo:
-                for j in both[todo.pop()]:
-                    if part[j] < 0:
-                        part[j] = first
-                        todo.append(j)
-            if len(joined):
-                j = int(joined[np.argmin(square[joined] - 2 * x[joined] @ x[first])])
-                both[first].add(j)
-                both[j].add(first)
+        join_parts(x, both)
         return [nodes[sorted(b)] for b in both]
 
-    def insert(self, ids: np.ndarray, vectors: np.ndarray, m: int = 16, ef: int = 64, clusters: np.ndarray | None = None) -> "ShardGraph":
-        """The graph with further rows, each joined on the lowest level to diverse ones of the nearest that a walk finds; ids that are there already are replaced."""
-        out = self
-        stay = ~np.isin(self.ids, ids)
-        lists: list[set[int]] = [set(x.tolist()) for x in self.levels[0].lists()]
-        every, own_ids = [*self.vectors], [*self.ids.tolist()]
-        for i, v in zip(ids.tolist(), vectors.astype(np.float32)):
-            cursor = Cursor(out, v, np.ones(len(out.ids), bool), GraphOptions("plain", ef=ef)).open()
-            found = [n for _, _, n in heapq.nsmallest(ef, cursor.found)]
-            new = len(lists)
-            # among those that were inserted before too
-            found = sorted({*found, *range(len(out.ids), new)}, key=lambda n: float(((every[n] - v) ** 2).sum()))[:ef]
-            chosen: list[int] = []
-            for n in found:
-                if len(chosen) < m and all(((every[n] - every[c]) ** 2).sum() >= ((every[n] - v) ** 2).sum() for c in chosen):
-                    chosen.append(n)
-            lists.append(set(chosen))
-            for c in chosen:
-                lists[c].add(new)
-            every.append(v)
-            own_ids.append(i)
-        total = len(own_ids)
-        low = Level.of(total, np.arange(total), [np.array(sorted(x), np.int64) for x in lists])
-        upper = [Level(lv.nodes, np.append(lv.offsets, np.full(total - len(self.ids), lv.offsets[-1], np.int32)), lv.targets) for lv in self.levels[1:]]
-        both = np.append(self.clusters, np.zeros(len(ids), np.int32) if clusters is None else clusters).astype(np.int32)
-        names = np.array(own_ids, np.int64)
-        names[: len(self.ids)][~stay] = np.iinfo(np.int64).min  # a replaced row is walked through and has no name
-        return ShardGraph(names, np.array(every, np.float32), [low, *upper], both)
+    def _level_of(self, ids: np.ndarray, fanout: int) -> np.ndarray:
+        """The highest level of further rows, by the hash of the id: a level has one of ``fanout`` rows of the one below."""
+        share = ((ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).astype(float) / 2.0**64
+        top = np.floor(-np.log(np.maximum(share, 1e-300)) / np.log(fanout)).astype(int)
+        return np.minimum(top, len(self.levels) - 1)
+
+    def insert(self, ids: np.ndarray, vectors: np.ndarray, m: int = 16, ef: int = 64, clusters: np.ndarray | None = None, fanout: int = 16) -> "ShardGraph":
+        """The graph with further rows; those whose id is there already are replaced.
+
+        Rows go in by blocks.  On the lowest level a row is joined to diverse ones of the nearest that a walk finds and of its own block, on the
+        levels above (as many as the hash of its id gives it) to those nearest of the level's nodes; a list that grows beyond its bound is
+        thinned by the rule of the build."""
+        out = self.remove(ids, m) if np.isin(ids, self.ids).any() else self
+        vectors = vectors.astype(np.float32)
+        own = np.zeros(len(ids), np.int32) if clusters is None else np.asarray(clusters, np.int32)
+        for first in range(0, len(ids), INSERT_BLOCK):
+            some = slice(first, first + INSERT_BLOCK)
+            out = out._insert_block(ids[some].astype(np.int64), vectors[some], own[some], m, ef, fanout)
+        return out
+
+    def _insert_block(self, ids: np.ndarray, vectors: np.ndarray, clusters: np.ndarray, m: int, ef: int, fanout: int) -> "ShardGraph":
+        n, k = len(self.ids), len(ids)
+        if not n:
+            return ShardGraph.build(ids, vectors, m, ef, clusters=clusters)
+        every = np.concatenate([self.vectors, vectors])
+        x, new = every.astype(float), np.arange(n, n + k)
+        top = self._level_of(ids, fanout)
+        levels = []
+        for number, level in enumerate(self.levels):
+            joining = new[top >= number]
+            nodes = np.concatenate([level.nodes, joining])
+            lists: dict[int, set[int]] = {int(a): set(level.near(int(a)).tolist()) for a in level.nodes}
+            lists |= {int(a): set() for a in joining}
+            most = m * (1 if number else 2)
+            for a in joining.tolist():
+                if number:
+                    near = nodes[nodes != a]
+                else:
+                    cursor = Cursor(self, vectors[a - n], np.ones(n, bool), GraphOptions("plain", ef=ef)).open()
+                    near = np.array([b for _, _, b in heapq.nsmallest(ef, cursor.found)] + [b for b in new.tolist() if b != a], np.int64)
+                self._join(x, lists, a, near, max(1, most // 2), ef)
+                for b in list(lists[a]):
+                    lists[b].add(a)
+                    if len(lists[b]) > most:
+                        self._join(x, lists, b, np.array(sorted(lists[b]), np.int64), most, most + 1)
+            levels.append((nodes, lists))
+        total = n + k
+        made = [Level.of(total, np.sort(nodes), [np.array(sorted(lists[int(a)]), np.int64) for a in np.sort(nodes)]) for nodes, lists in levels]
+        return ShardGraph(np.concatenate([self.ids, ids]), every, made, np.concatenate([self.clusters, clusters]).astype(np.int32))
+
+    @staticmethod
+    def _join(x: np.ndarray, lists: dict[int, set[int]], a: int, near: np.ndarray, most: int, ef: int) -> None:
+        """The neighbours of a: diverse ones of these."""
+        if not len(near):
+            return
+        gap = ((x[near] - x[a]) ** 2).sum(1)
+        by = np.lexsort((near, gap))[:ef]
+        lists[a] = set(near[by][diverse(x, near[by][None], gap[by][None], most)[0]].tolist())
+
+    def remove(self, ids: np.ndarray, m: int = 16) -> "ShardGraph":
+        """The graph without these rows: what pointed to one is joined to the nearest and most diverse of what could be reached through it, and the rows' places are used again."""
+        gone = np.isin(self.ids, ids)
+        if not gone.any():
+            return self
+        place = np.cumsum(~gone) - 1
+        x, total = self.vectors.astype(float), int((~gone).sum())
+        levels: list[Level] = []
+        for number, level in enumerate(self.levels):
+            nodes = level.nodes[~gone[level.nodes]]
+            if not len(nodes):
+                break
+            most, lists = m * (1 if number else 2), {}
+            for a in nodes.tolist():
+                near = level.near(a)
+                lists[a] = set(near[~gone[near]].tolist())
+                if len(lists[a]) < len(near):
+                    reached, todo, passed = set(lists[a]), near[gone[near]].tolist(), set()
+                    while todo and len(reached) < 4 * most:  # through removed rows only
+                        c = todo.pop(0)
+                        if c in passed:
+                            continue
+                        passed.add(c)
+                        for b in level.near(c).tolist():
+                            if gone[b]:
+                                todo.append(b)
+                            elif b != a:
+                                reached.add(b)
+                    self._join(x, lists, a, np.array(sorted(reached), np.int64), most, 4 * most)
+            index = {a: i for i, a in enumerate(nodes.tolist())}
+            both = [{index[b] for b in lists[a]} for a in nodes.tolist()]
+            for i, near in enumerate(list(map(tuple, both))):
+                for j in near:
+                    if len(both[j]) < most:
+                        both[j].add(i)
+            join_parts(x[nodes], both)
+            levels.append(Level.of(total, place[nodes], [place[nodes[sorted(b)]] for b in both]))
+        if not levels:
+            return ShardGraph(self.ids[:0], self.vectors[:0], [Level.of(0, np.zeros(0, np.int64), [])], self.clusters[:0])
+        return ShardGraph(self.ids[~gone], self.vectors[~gone], levels, self.clusters[~gone])
 
     def near(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         gap = self.vectors[nodes] - q
         return np.einsum("ij,ij->i", gap, gap).astype(float)
 
-    def entry(self, q: np.ndarray) -> int:
-        """Greedy descent from the top level."""
-        at = int(self.levels[-1].nodes[0])
-        best = self.near(q, np.array([at]))[0]
+    def entries(self, q: np.ndarray) -> list[int]:
+        """Descent from the top level: on each the ``ENTRY_WIDTH`` nearest nodes that a walk finds, with which the next one begins."""
+        if not len(self.levels[-1].nodes):
+            return []
+        at = [int(self.levels[-1].nodes[0])]
         for level in self.levels[:0:-1]:
-            while len(around := level.near(at)):
-                d = self.near(q, around)
-                i = int(d.argmin())
-                if d[i] >= best:
+            seen = set(at)
+            frontier = list(zip(self.near(q, np.array(at)).tolist(), at))
+            best = [(-d, n) for d, n in frontier]
+            heapq.heapify(frontier)
+            heapq.heapify(best)
+            while frontier:
+                d, node = heapq.heappop(frontier)
+                if len(best) >= ENTRY_WIDTH and d > -best[0][0]:
                     break
-                at, best = int(around[i]), d[i]
+                around = [n for n in level.near(node).tolist() if n not in seen]
+                seen.update(around)
+                for e, n in zip(self.near(q, np.array(around, np.int64)).tolist(), around):
+                    if len(best) < ENTRY_WIDTH or e < -best[0][0]:
+                        heapq.heappush(frontier, (e, n))
+                        heapq.heappush(best, (-e, n))
+                        if len(best) > ENTRY_WIDTH:
+                            heapq.heappop(best)
+            at = [n for _, n in best]
         return at
 
     def rows_of(self, cluster: int) -> np.ndarray:
@@ -252,7 +425,7 @@ class Cursor:
         self.looked = self.passed = 0
 
     def open(self) -> "Cursor":
-        self.add([self.graph.entry(self.q)])
+        self.add(self.graph.entries(self.q))
         self.walk()
         return self
 
@@ -403,7 +576,7 @@ def cooperate(graph: ShardGraph, q: np.ndarray, passing: np.ndarray, k: int, o:
             upcoming = next(ranked, None)
 
     if o.pull != "only":
-        cursor.add([graph.entry(q)])
+        cursor.add(graph.entries(q))
     while True:
         effort.rounds += 1
         before = len(cursor.found)
@@ -505,6 +678,25 @@ def insert_rows(shards: DataFrame, rows: DataFrame, m: int = 16, ef: int = 64) -
     return shards.join(new, "shard", "left").mapInArrow(run, SHARD_SCHEMA)
 
 
+def remove_rows(shards: DataFrame, rows: DataFrame, m: int = 16) -> DataFrame:
+    """The shards without the rows whose id is in ``rows``, their graphs mended; a shard without rows is dropped."""
+    first = shards.select("shards").first()
+    n = first["shards"] if first else 1
+    shard = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("shard")
+    old = rows.select(shard, "id").distinct().groupBy("shard").agg(F.collect_list("id").alias("old"))  # a shard's rows at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                graph = unpacked(row["n"], row["ids"], row["vectors"], row["clusters"], row["levels"])
+                graph = graph.remove(np.array(row["old"], np.int64), m) if row["old"] else graph
+                if len(graph.ids):
+                    yield _packed(row["shard"], n, graph)
+
+    # ids that the shards don't hold would make the lists longer than a shard
+    return shards.join(old, "shard", "left").mapInArrow(run, SHARD_SCHEMA)
+
+
 def edges_of(shards: DataFrame) -> DataFrame:
     """Edges (shard, level, id, neighbors)."""
 

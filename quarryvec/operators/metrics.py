@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryvec.sources.tables import written
+
 TOLERANCE = 1e-3
 
 
@@ -95,9 +99,66 @@ def recall_at(result: DataFrame, truth: DataFrame, ks: list[int], ties: bool = T
     return out
 
 
+def ranked(rows: DataFrame, keys: list[str], order: list[Column], name: str = "place") -> DataFrame:
+    """The rows with their place in the order within their key, from 1 on.
+
+    Rows are dealt into ranges of key and order, ranges are counted, and a row's place is the number of its key's rows in earlier ranges and its
+    place in its own: no task holds a key's rows, however many there are.  Ties beyond ``order`` are in any order."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written, so that a row's range doesn't change when a task is run again
+    ranged = written(rows.repartitionByRange(parts, *keys, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # a row a range
+    before = counts.select(*[F.col(c).alias(f"__{c}") for c in keys], F.col("__part").alias("__range"), F.coalesce(earlier, F.lit(0)).alias("__before"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys] + [F.col("__part") == F.col("__range")]
+    numbered = ranged.withColumn("__number", F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order)))
+    out = numbered.join(before, reduce(Column.__and__, same))
+    return out.select(*rows.columns, (F.col("__number") + F.col("__before")).cast("int").alias(name))
+
+
 def by_recall(runs: DataFrame, keys: list[str]) -> DataFrame:
     """runs with place: within each configuration from the least recall on, of equal ones the most queries a second first."""
-    return runs.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("recall", F.desc("qps"), "ts")))
+    return ranked(runs, keys, [F.col("recall").asc(), F.col("qps").desc(), F.col("ts").asc()])
+
+
+#: Distinct values that one task sorts in the last step of an exact quantile.
+VALUES_SORTED = 1 << 20
+
+
+def exact_quantile(rows: DataFrame, value: str, share: float) -> float | None:
+    """The quantile by linear interpolation, null and NaN left out; none if there are no values.
+
+    A sketch gives a bracket that holds it, rows below the bracket are counted, and the bracket is narrowed again until it has at most
+    ``VALUES_SORTED`` distinct values, which a running sum of their counts then settles."""
+    values = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(value).cast("double").alias("v"))
+    n, low, high = values.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    place = share * (n - 1)
+    wanted = int(place), min(int(place) + 1, n - 1)
+    below = 0  # rows less than low
+    while True:
+        inside = values.where(F.col("v").between(low, high))
+        if inside.agg(F.approx_count_distinct("v")).first()[0] <= VALUES_SORTED // 2:
+            break
+        size = inside.count()
+        around = [max(0.0, (wanted[0] - below) / size - 1e-3), min(1.0, (wanted[1] - below + 1) / size + 1e-3)]
+        a, b = inside.agg(F.percentile_approx("v", around, 10_000)).first()[0]
+        less, upto = values.agg(F.count_if(F.col("v") < a), F.count_if(F.col("v") <= b)).first()
+        if less > wanted[0] or upto <= wanted[1] or (a, b) == (low, high):  # the sketch has missed, or can't narrow it
+            break
+        low, high, below = a, b, less
+    counts = inside.groupBy("v").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("v")) + below  # one row a value of the bracket
+    found = counts.withColumn("upto", upto)
+    a, b = (found.where(F.col("upto") > w).agg(F.min("v")).first()[0] for w in wanted)
+    return a if wanted[0] == wanted[1] else (wanted[1] - place) * a + (place - wanted[0]) * b
+
+
+def quantile_summary(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """One row: p (the exact quantile), low, high."""
+    p = exact_quantile(rows, value, share)
+    return rows.agg(F.lit(p).cast("double").alias("p"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def proposals(effort: DataFrame) -> DataFrame:

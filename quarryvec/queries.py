@@ -86,6 +86,21 @@ def _index(spark, d) -> hybrid.Index:
 FULL = 1 << 30
 
 
+def _tree(spark, d):
+    """Walks by turns with the cells of a box layout."""
+    index = store.index_for(spark, f"cells:{d}", lambda: hybrid.build_cells(base(spark, d), ["attr_0", "attr_1"], shards=4))
+    return hybrid.search(index, asked(spark, d), hybrid.SearchOptions("tree", efs=FULL, walk=graph.GraphOptions("plain")), _BOX2)
+
+
+def _removed(spark, d, again: bool = False):
+    """The graphs after a third of the rows is removed and, then, put in again."""
+    index = _index(spark, d)
+    gone = base(spark, d).where("id % 3 = 1")
+    shards = graph.remove_rows(index.shards, gone)
+    shards = graph.insert_rows(shards, gone) if again else shards
+    return graph.search(None, shards, asked(spark, d), K, None, graph.GraphOptions("plain", ef=FULL))
+
+
 def _graph(spark, d, how, predicate=P.between("attr_0", 2, 6), ef=64):
     index = _index(spark, d)
     return graph.search(index.assigned, index.shards, asked(spark, d), K, predicate, graph.GraphOptions(how=how, ef=ef))
@@ -261,7 +276,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "duplicate_vectors": lambda s, d: metrics.duplicate_vectors(base(s, d).unionByName(base(s, d).where("id % 5 = 0").withColumn("id", F.col("id") + 1_000_000))),
         "kmedoid_step": lambda s, d: clustering.medoid_step(_assigned(s, d)),
         "subspace_variance": lambda s, d: clustering.subspace_variance(_assigned(s, d)).select("cluster", "dim", F.round("variance", 9).alias("variance")),
-        "range_quantiles": lambda s, d: base(s, d).agg(F.percentile("attr_1", 0.9).alias("p90"), F.min("attr_1").alias("low"), F.max("attr_1").alias("high")),
+        "range_quantiles": lambda s, d: metrics.quantile_summary(base(s, d), "attr_1", 0.9).withColumnRenamed("p", "p90"),
         "attr_correlation": lambda s, d: base(s, d).agg(F.round(F.corr("attr_1", "attr_2"), 9).alias("rho")),
         "best_qps_at_recall": lambda s, d: metrics.best_at_recall(_runs(s, d), 0.5, ["method"]),
         "last3_runs": lambda s, d: metrics.last_runs(_runs(s, d), ["method", "workload"]).select("method", "workload", "max_qps", F.round("mean_qps", 6).alias("mean_qps")),
@@ -306,13 +321,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hybrid_packed_full": _hybrid("frontier", P.packed("lo", "hi", P.between("attr_1", 0, 800)), FULL),
         "hybrid_members_full": _hybrid("cooperative", efs=FULL, members=_members),
         "hybrid_relational_full": _hybrid("relational", P.any_of(P.between("attr_1", 0, 100), P.between("attr_1", 500, 550), P.between("attr_2", 900, 950)), FULL),
+        "hybrid_tree_full": _tree,
+        "graph_removed_full": _removed,
+        "graph_reinserted_full": lambda s, d: _removed(s, d, True),
         "hybrid_effort": _effort,
         "knn_member_per_query": lambda s, d: exact.member_knn(base(s, d), asked(s, d), K, _members(s, d)),
         "knn_regex": lambda s, d: exact.filtered_knn(base(s, d).withColumn("name", F.concat(F.lit("v"), F.col("attr_1").cast("string"))), asked(s, d), K, P.matches("name", "^v[1-3]?[0-9]?[05]$")),
         "transplanted_clusters": lambda s, d: clustering.transplant(_assigned(s, d), base(s, d).where("id between 16 and 39").select((F.col("id") - 16).cast("int").alias("cluster"), F.col("embedding").alias("centroid"))).select("id", "cluster", "cluster_dist"),
         "cluster_sizes_sorted": lambda s, d: metrics.sorted_histogram(metrics.cluster_histogram(_assigned(s, d), centroids(s, d))),
         "recall_by_k": lambda s, d: metrics.recall_at(exact.filtered_knn(base(s, d).where("id % 3 <> 1"), asked(s, d), K), exact.filtered_knn(base(s, d), asked(s, d), K), [1, 5, 10], ties=False).select("k", "queries", F.round("recall", 9).alias("recall")),
-        "runs_by_recall": lambda s, d: metrics.by_recall(_runs(s, d).where("ts < 4000"), ["method"]).select("method", "place", "ts"),
+        "runs_by_recall": lambda s, d: metrics.by_recall(_runs(s, d), ["method"]).select("method", "place", "ts"),
         "sq8_range": lambda s, d: s.createDataFrame([quantize.train_sq8(base(s, d))], "low double, high double"),
         "vectors_fvecs": _stored("fvecs"),
         "vectors_fbin": _stored("fbin"),
@@ -356,6 +374,9 @@ def oracle_sql() -> dict[str, str]:
         "knn_expression": _knn("attr_0 >= 2 AND attr_0 <= 6 AND attr_1 <> 7"),
         "knn_bitset_semi": _knn("attr_1 BETWEEN 200 AND 700 AND attr_0 <> 3"),
         "knn_tombstone": _knn("id % 3 <> 1"),
+        "hybrid_tree_full": _knn("attr_0 BETWEEN 2 AND 7 AND attr_1 BETWEEN 100 AND 800"),
+        "graph_removed_full": _knn("id % 3 <> 1"),
+        "graph_reinserted_full": _knn(),
         "knn_upsert": _knn(rows="(SELECT id, CASE WHEN id % 7 = 2 THEN list_transform(embedding, lambda v: -v) ELSE embedding END AS embedding FROM base)"),
         "knn_inner_product": _knn("attr_0 BETWEEN 2 AND 6", term="x[i]::DOUBLE * y[i]::DOUBLE", final="1.0::DOUBLE - d"),
         "knn_l1": _knn("attr_0 BETWEEN 2 AND 6", term="abs(x[i]::DOUBLE - y[i]::DOUBLE)"),
@@ -407,7 +428,7 @@ def oracle_sql() -> dict[str, str]:
         "transplanted_clusters": f"{IVF.replace('embedding AS centroid FROM base WHERE id < 16', 'embedding AS centroid FROM base WHERE id BETWEEN 16 AND 39').replace('CAST(id AS INTEGER) AS cluster', 'CAST(id - 16 AS INTEGER) AS cluster')} SELECT id, cluster, cluster_dist FROM assigned",
         "cluster_sizes_sorted": f"{IVF}, h AS (SELECT cluster, count(assigned.id) AS n FROM centroids LEFT JOIN assigned USING (cluster) GROUP BY cluster) SELECT CAST(row_number() OVER (ORDER BY n DESC, cluster) AS INTEGER) AS place, cluster, n FROM h",
         "recall_by_k": f"{CTE}, {_TRUTH}, {_FOUND} " + " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS queries, round(avg(r), 9) AS recall FROM (SELECT t.qid, count(f.id) / count(*) AS r FROM truth t LEFT JOIN (SELECT qid, id FROM found WHERE rank <= {k}) f ON f.qid = t.qid AND f.id = t.id WHERE t.rank <= {k} GROUP BY t.qid)" for k in (1, 5, 10)),
-        "runs_by_recall": f"SELECT method, CAST(row_number() OVER (PARTITION BY method ORDER BY recall, qps DESC, ts) AS INTEGER) AS place, ts FROM ({runs}) WHERE ts < 4000",
+        "runs_by_recall": f"SELECT method, CAST(row_number() OVER (PARTITION BY method ORDER BY recall, qps DESC, ts) AS INTEGER) AS place, ts FROM ({runs})",
         "sq8_range": "SELECT min(list_min(embedding))::DOUBLE AS low, max(list_max(embedding))::DOUBLE AS high FROM embeddings",
         "vectors_fvecs": "SELECT vec_id AS id, unnest(range(0, len(embedding)))::INTEGER AS i, unnest(embedding) AS v FROM embeddings",
         "vectors_fbin": "SELECT vec_id AS id, unnest(range(0, len(embedding)))::INTEGER AS i, unnest(embedding) AS v FROM embeddings",
