@@ -59,20 +59,21 @@ def _modulo(h: np.ndarray) -> np.ndarray:
 
 def prime_powers(base: int, n: int) -> np.ndarray:
     """Powers of base modulo PRIME, by doubling."""
-    known = _prime_powers.get(base, np.ones(1, np.uint32))
+    known = _prime_powers.get(base, np.ones(1, np.uint64))
     while len(known) < max(n, LEAST):
         step = np.uint64(pow(base, len(known), PRIME))
-        known = np.concatenate([known, _modulo(known.astype(np.uint64) * step).astype(np.uint32)])
+        known = np.concatenate([known, _modulo(known * step)])
     _prime_powers[base] = known
     return known[:n]
 
 
 def segment_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, by: int = MIX1) -> np.ndarray:
     """A 64-bit hash of each data[start:stop]."""
-    whole = np.zeros(len(starts), np.uint64)
+    whole, values = np.zeros(len(starts), np.uint64), data.astype(np.uint64) + np.uint64(1)
     for base in BASES:
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_folded((data.astype(np.uint64) + np.uint64(1)) * prime_powers(base, len(data))), out=sums[1:])
+        terms = values * prime_powers(base, len(data))  # under 2**40: sums of so many need no modulo
+        np.cumsum(terms if len(data) < 1 << 23 else _folded(terms), out=sums[1:])
         back = prime_powers(pow(base, -1, PRIME), len(data) + 1)[starts]
         whole = (whole << np.uint64(32)) + _modulo(_modulo(sums[stops] - sums[starts]) * back)
     return mixed(whole + (stops - starts).astype(np.uint64) * np.uint64(BASE), by)

@@ -55,9 +55,9 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if width > size else h
 
 
-def parse(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
+def parse(texts: list[bytes], length: int, gram: int, hashed: bool = True) -> tuple[np.ndarray, ...]:
     """Phrases of the texts: number of the text, first window, number of windows, trigger, hash of the
-    phrase's bytes, whether the trigger may occur twice in the phrase (as in text with a short period)."""
+    phrase's bytes (if ``hashed``), whether the trigger may occur twice in the phrase (as in text with a short period)."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     if len(data) < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, bool))
@@ -76,7 +76,7 @@ def parse(texts: list[bytes], length: int, gram: int) -> tuple[np.ndarray, ...]:
     text = np.searchsorted(ends, first, side="right")
     whole = stop <= last[np.minimum(text, len(texts) - 1)]
     first, stop, text = first[whole], stop[whole], text[whole]
-    phrase = segment_hashes(data, first, stop + length - 1, MIX2)
+    phrase = segment_hashes(data, first, stop + length - 1, MIX2) if hashed else np.zeros(0, np.uint64)
     width = length - gram + 1
     most = ~sliding_min(np.concatenate([np.full(width - 1, ~np.uint64(0)), ~trigger, np.full(width - 1, ~np.uint64(0))]), width)
     minimal = grams[np.flatnonzero(most == grams)]  # a gram that is smallest in one of its windows
@@ -200,7 +200,7 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
 
     def triggers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, values in _blocks(batches):
-            *_, trigger, _, twice = parse(values, length, gram)
+            *_, trigger, _, twice = parse(values, length, gram, hashed=False)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([trigger, trigger[twice]]).view(np.int64))], ["trigger"])
 
     common = written(texts.mapInArrow(triggers, "trigger long").groupBy("trigger").agg(F.count("*").alias("n")).where("n > 1").select("trigger"), "triggers")
