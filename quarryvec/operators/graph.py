@@ -35,6 +35,8 @@ MOST_RANKED = 1 << 14
 EXACT_ROWS, TREES, LEAF_ROWS, DESCENTS, DESCENT_WIDTH = 1 << 12, 4, 128, 3, 12
 #: Nodes of each upper level with which a descent goes on.
 ENTRY_WIDTH = 8
+#: Ways of taking clusters by which a walk ends for now where ``sparse`` or less passes of what it sees.
+LEAN = ("sparse", "tree")
 #: Rows that are inserted at a time.
 INSERT_BLOCK = 256
 #: Ranks of centroids that a task keeps from shard to shard; those of further queries are made again.
@@ -53,11 +55,10 @@ class GraphOptions:
     nodes; ``improving`` is plain that ends when ``step`` expansions in a row have not bettered the result.
 
     pull: ``never`` walks only; ``only`` takes clusters only; ``sparse`` takes clusters when ``sparse`` or less of what the last
-    walk saw passes, or it found nothing; ``always`` takes turns; ``race`` goes on where the next thing is nearer; ``late`` takes clusters when
+    walk saw passes, or it found nothing (a walk then ends early, and a search that has its rows there too); ``always`` takes turns; ``race`` goes on where the next thing is nearer; ``late`` takes clusters when
     the walk has ended without k rows; ``dead_end`` takes the clusters of nodes from which the walk found nothing.  Clusters are taken, nearest
-    first, until they give ``nrel`` passing rows (``tree``, where the rows' clusters are cells of a box layout: the cells with passing rows in their
-    order, by turns with the walk); the nearest ``inject`` of these (half of k by default) go on the walk's frontier.
-    A search ends with ``efs`` rows (``ef`` by default), or when both are exhausted.  rank: ``exact`` or by a ``graph`` over the centroids."""
+    first, until they give ``nrel`` passing rows (``tree``, where the rows' clusters are cells of a box layout: by turns with the walk); the nearest ``inject`` of these (half of k by default) go on the walk's frontier.
+    A search ends with ``efs`` rows (``ef`` by default), when all that passes is found, or when both are exhausted.  rank: ``exact`` or by a ``graph`` over the centroids."""
 
     how: str = "two_hop"
     ef: int = 64
@@ -422,7 +423,8 @@ class Cursor:
         self.seen = np.zeros(len(self.graph.ids), bool)
         self.ef = self.options.ef
         self.best: list[float] = []  # the ef least distances found, the greatest first, negative
-        self.looked = self.passed = 0
+        self.total = int(np.count_nonzero(self.passing))
+        self.around = self.around_passing = 0  # neighbours of what the walk expanded, and how many of them pass
 
     def open(self) -> "Cursor":
         self.add(self.graph.entries(self.q))
@@ -443,13 +445,11 @@ class Cursor:
             return 0
         self.seen[nodes] = True
         self.computed += len(nodes)
-        self.looked += len(nodes)
         rows = sorted(zip(self.graph.near(self.q, nodes).tolist(), nodes.tolist()))
         for i, (d, n) in enumerate(rows):
             if onward is None or i < onward:
                 heapq.heappush(self.frontier, (d, n))
             if self.passing[n]:
-                self.passed += 1
                 heapq.heappush(self.found, (d, int(self.graph.ids[n]), n))
                 heapq.heappush(self.best, -d)
                 if len(self.best) > self.ef:
@@ -464,9 +464,11 @@ class Cursor:
         """Nodes to look at from here."""
         level, how = self.graph.levels[0], self.options.how
         one = level.near(node)
+        passes = self.passing[one]
+        self.around += len(one)
+        self.around_passing += int(np.count_nonzero(passes))
         if how in ("plain", "improving") or not len(one):
             return one
-        passes = self.passing[one]
         share = passes.mean()
         if how == "one_hop":
             return one[passes] if passes.any() else one
@@ -488,8 +490,8 @@ class Cursor:
         return wanted if len(wanted) else one  # nothing passes near: go on as plain
 
     def walk(self) -> None:
-        self.looked = self.passed = idle = 0
-        while self.frontier:
+        self.around = self.around_passing = idle = 0
+        while self.frontier and len(self.found) < self.total:
             d, node = heapq.heappop(self.frontier)
             if d > self.bound():
                 heapq.heappush(self.turned_away, (d, node))
@@ -503,10 +505,18 @@ class Cursor:
             idle = 0 if self.bound() < bound or bound == np.inf else idle + 1
             if self.options.how == "improving" and idle >= self.options.step:
                 break
+            if self.options.pull in LEAN and self.around >= 4 * self.options.step and self.share <= self.options.sparse:
+                break  # hardly anything passes here: clusters tell more
+
+    @property
+    def share(self) -> float:
+        """Of the neighbours of what the last walk expanded, those that pass."""
+        return self.around_passing / self.around if self.around else 0.0
 
     @property
     def ended(self) -> bool:
-        return not self.frontier and not self.turned_away
+        """Whether nothing is left to walk to, or all that passes is found."""
+        return not self.frontier and not self.turned_away or len(self.found) >= self.total
 
     def more(self) -> None:
         self.ef += self.options.step
@@ -583,16 +593,17 @@ def cooperate(graph: ShardGraph, q: np.ndarray, passing: np.ndarray, k: int, o:
         ahead = o.pull == "race" and upcoming and (not cursor.frontier or upcoming[0] < cursor.frontier[0][0])
         if o.pull != "only" and not ahead:
             cursor.walk() if effort.rounds == 1 else cursor.more()
-        fresh, share = len(cursor.found) - before, cursor.passed / cursor.looked if cursor.looked else 0.0
+        fresh, share = len(cursor.found) - before, cursor.share
         if o.pull == "dead_end":
             for _, node in sorted(cursor.dead_ends)[:inject]:
                 take(int(graph.clusters[node]))
             cursor.dead_ends = []
         if ahead or o.pull in ("only", "always", "tree") or o.pull == "sparse" and (share <= o.sparse or not fresh) or o.pull in ("late", "dead_end") and (cursor.ended or len(cursor.found) < k and not fresh) or o.pull == "race" and cursor.ended:
             take_next()
-        if len(cursor.found) >= efs and (o.pull == "only" or not cursor.frontier or cursor.frontier[0][0] > cursor.bound()):
+        enough = o.pull == "only" or not cursor.frontier or cursor.frontier[0][0] > cursor.bound() or o.pull in LEAN and share <= o.sparse
+        if len(cursor.found) >= efs and enough:
             break
-        if not upcoming and (o.pull == "only" or cursor.ended):
+        if not upcoming and (o.pull == "only" or cursor.ended) or len(cursor.found) >= cursor.total:
             break
     effort.walked = cursor.computed
     return cursor.found, effort
@@ -756,7 +767,7 @@ def _walk_block(base, shards, block, k, predicate, options, centroids, members,
     qid = np.asarray(held.column("qid"), np.int64)
     q = _floats(held.column("q"), len(qid)) if len(qid) else np.zeros((0, 1), np.float32)
     numbers, centres, over = np.zeros(0, np.int32), np.zeros((0, q.shape[1]), np.float32), None
-    if options.pull not in ("never", "tree"):
+    if options.pull != "never":
         table = centroids.select(F.col("cluster").cast("int").alias("cluster"), F.col("centroid").cast("array<float>").alias("v")).toArrow()  # MOST_CLUSTERS at most, by ivf.train
         numbers, centres = np.asarray(table.column("cluster"), np.int32), _floats(table.column("v"), table.num_rows)
         if options.rank == "graph" and 1 < len(numbers) <= MOST_RANKED:
@@ -768,10 +779,8 @@ def _walk_block(base, shards, block, k, predicate, options, centroids, members,
         qid, q, numbers, centres, over = shared.value
         orders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-        def ranked(i: int, cells: np.ndarray) -> Iterator[tuple[float, int]]:
-            """Clusters for query i, nearest first; cells: the clusters of passing rows."""
-            if options.pull == "tree":
-                return ((0.0, c) for c in np.unique(cells).tolist())
+        def ranked(i: int) -> Iterator[tuple[float, int]]:
+            """Clusters for query i, nearest first."""
             if over is not None:
                 return iter(Cursor(over, q[i], np.ones(len(numbers), bool), GraphOptions("plain", ef=16)).open())
             if (order := orders.get(i)) is None:
@@ -798,7 +807,7 @@ def _walk_block(base, shards, block, k, predicate, options, centroids, members,
                     mask = masks.get(name, masks.get(None))
                     if mask is None or not mask.any():
                         continue
-                    rows, e = cooperate(graph, q[i], mask, k, options, ranked(i, graph.clusters[mask]))
+                    rows, e = cooperate(graph, q[i], mask, k, options, ranked(i))
                     efforts.append((name, e.walked, e.scanned, e.clusters, e.rounds))
                     best = np.array([x for _, _, x in heapq.nsmallest(2 * k, rows)], np.int64)
                     found.append((np.full(len(best), name), graph.ids[best], folded_distance("l2sq", graph.vectors[best], np.repeat(q[i : i + 1], len(best), 0))))

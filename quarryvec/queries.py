@@ -88,7 +88,7 @@ FULL = 1 << 30
 
 def _tree(spark, d):
     """Walks by turns with the cells of a box layout."""
-    index = store.index_for(spark, f"cells:{d}", lambda: hybrid.build_cells(base(spark, d), ["attr_0", "attr_1"], shards=4))
+    index = store.index_for(spark, f"embedding-cells:{d}", lambda: hybrid.build_cells(base(spark, d), ["attr_0", "attr_1"], shards=4))
     return hybrid.search(index, asked(spark, d), hybrid.SearchOptions("tree", efs=FULL, walk=graph.GraphOptions("plain")), _BOX2)
 
 
