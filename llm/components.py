@@ -29,6 +29,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, name: str) -> DataFrame:
     """links: columns a, b (long).  Returns node, root (the smallest node that it reaches) of all linked nodes."""
     now = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-links")
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     before = None
     while True:
         now = written(_star(_star(now, True), False), f"{name}-stars")
