@@ -85,11 +85,6 @@ def parse(texts: list[bytes], length: int, gram: int, hashed: bool = True) -> tu
     return text, first - (ends - sizes)[text], stop - first, own, phrase, np.isin(own, twice)
 
 
-def phrase_hash(phrase: bytes) -> int:
-    """The hash that parse() gives a phrase."""
-    return int(segment_hashes(np.frombuffer(phrase, np.uint8), np.zeros(1, np.int64), np.array([len(phrase)]), MIX2).view(np.int64)[0])
-
-
 def repeats(phrases: list[bytes], order: np.ndarray, starts: np.ndarray, length: int) -> list[list[int]]:
     """For each phrase of a dictionary the runs [from, to, from, to, ...) of its windows that also start earlier.
 
@@ -220,12 +215,15 @@ def deduplicate(docs: DataFrame, length: int = 100, gram: int = GRAM, id_col: st
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, values in _blocks(batches):
-            rows = []
-            for i, (t, ws) in enumerate(zip(values, batch.column(2).to_pylist())):
-                for w in ws:
-                    piece = t[w["start"] : w["start"] + w["windows"] + length - 1]
-                    if phrase_hash(piece) == w["phrase"]:
-                        rows.append((*w.values(), i, piece))
+            data = b"".join(values)
+            sizes = np.array([len(t) for t in values], np.int64)
+            asked = [(i, w) for i, ws in enumerate(batch.column(2).to_pylist()) for w in ws]
+            own = np.array([i for i, _ in asked], np.int64)
+            ends = np.cumsum(sizes)[own]
+            starts = np.minimum(ends - sizes[own] + np.array([w["start"] for _, w in asked], np.int64), ends)
+            stops = np.minimum(starts + np.array([w["windows"] for _, w in asked], np.int64) + length - 1, ends)
+            hashes = segment_hashes(np.frombuffer(data, np.uint8), starts, stops, MIX2).view(np.int64).tolist()
+            rows = [(*w.values(), i, data[x:y]) for (i, w), x, y, h in zip(asked, starts.tolist(), stops.tolist(), hashes) if h == w["phrase"]]
             c = [list(x) for x in zip(*rows)] or [[] for _ in range(7)]
             at = pa.array(c[5], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), batch.column(0).take(at), pa.array(c[2], pa.int32()), pa.array(c[4], pa.bool_()), pa.array(c[6], pa.binary()), batch.column(3).take(at)], ["trigger", "phrase", "id", "start", "hot", "bytes", "row"])
